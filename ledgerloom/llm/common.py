@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +48,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 2000, max_bytes: int = 16 << 20) -> None:
-    """Bound what a Python worker is handed at once, in rows and in bytes."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application, so that tasks can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
+def prepare_tasks(spark: SparkSession, rows: int = 2000, max_bytes: int = 16 << 20) -> None:
+    """Before Python functions run in tasks: bound what a worker is handed at once, in rows and bytes, and ship the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
@@ -54,7 +75,7 @@ def small_arrow_batches(spark: SparkSession, rows: int = 2000, max_bytes: int =
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, target: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece has about ``target`` bytes of ``column``, one row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = used = 0
         for i, n in enumerate(sizes):
             if used and used + n > target:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, warc
+from . import exact_dedup, licenses, matroska, mixing, ngram_join, pii, sentencepiece_codec, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_media_columns": matroska.op2_media_columns,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
+#: Texts that SQL can't give (tokenizers, media files, a fitted model, fuzzy and bootstrapped matches) are tested otherwise.
 SQL = {
+    "op3_ngram_jaccard_join": ngram_join.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_warc": warc.OP10_SQL,

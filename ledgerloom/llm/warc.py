@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hint_small, materialize, new_path, small_arrow_batches
+from .common import hint_small, materialize, new_path, prepare_tasks
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -68,7 +68,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     behind is not in the manifest and is never read.
     """
     spark = pages.sparkSession
-    small_arrow_batches(spark)
+    prepare_tasks(spark)
     folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("_sha", F.sha1("payload")).withColumn("_n", F.octet_length("payload"))
@@ -167,7 +167,7 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
     skipped to the next valid one; a file cut short inside a record raises. No files give no rows.
     """
     spark = files.sparkSession
-    small_arrow_batches(spark)
+    prepare_tasks(spark)
     schema = FIELDS + (", payload binary" if payload else "")
     ranges = files.where("n_bytes > 0").select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
