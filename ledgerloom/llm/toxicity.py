@@ -59,20 +59,36 @@ def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64), np.array(bounds)
 
 
-def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, batch: int = 32, seed: int = 7) -> Model:
-    """Logistic loss. Linear weights by FTRL with an L1 term, so that terms without a signal stay at 0; factors by AdaGrad with an L2 term.
+def telling_terms(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, z: float = 3.0, most: int = 1 << 14) -> np.ndarray:
+    """Whether each term is used: it occurs in 3 rows or more, and with label 1 more or less often than chance by ``z`` deviations."""
+    own = np.repeat(labels, np.diff(bounds))
+    n, ones, share = np.bincount(ids, minlength=size), np.bincount(ids, own, size), labels.mean()
+    score = np.abs(ones - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+    score[n < 3] = 0
+    cut = max(z, np.partition(score, size - most)[size - most])
+    return score >= cut
 
-    A term that occurs in fewer than 3 rows has no factors. Without both classes the model gives the share of label 1.
+
+def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 8, batch: int = 16, seed: int = 7) -> Model:
+    """Logistic loss over the telling terms. Linear weights by FTRL with an L1 term, factors by AdaGrad with an L2 term.
+
+    All other terms have weight 0 and no factors. Without both classes the model gives the share of label 1.
     """
     rng, size, n = np.random.default_rng(seed), 1 << bits, len(labels)
     share = (labels.sum() + 0.5) / (n + 1)
     model = Model(bits, float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not 0 < labels.sum() < n:
         return model
-    common = np.bincount(ids, minlength=size) >= 3
-    model.factors[common] = rng.normal(0, 0.01, (int(common.sum()), factors))
+    used = telling_terms(ids, bounds, labels, size)
+    keep = used[ids]
+    bounds = np.append(0, np.cumsum(keep))[bounds]
+    ids = ids[keep]
+    # Weights are fitted on the few terms in use, under numbers of their own.
+    names, ids = np.unique(ids, return_inverse=True)
+    size = max(1, len(names))
+    small = Model(bits, model.bias, np.zeros(size), rng.normal(0, 0.01, (size, factors)))
     z, squares, v_squares = np.zeros(size), np.zeros(size), np.full(size, 1e-2)
-    alpha, beta, l1, l2, v_rate, v_l2 = 0.15, 1.0, 0.6, 0.1, 0.03, 2e-3
+    alpha, beta, l1, l2, v_rate, v_l2 = 0.3, 1.0, 0.3, 0.1, 0.05, 1e-3
     for _ in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):
@@ -81,25 +97,25 @@ def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BIT
             at = np.cumsum(lengths) - lengths
             own = np.repeat(np.arange(len(rows)), lengths)
             x = ids[np.repeat(bounds[rows] - at, lengths) + np.arange(int(lengths.sum()))]
-            error = sigmoid(model.logits(x, np.append(at, len(x)))) - labels[rows]
-            model.bias -= 0.02 * float(error.mean())
+            error = sigmoid(small.logits(x, np.append(at, len(x)))) - labels[rows]
+            small.bias -= 0.05 * float(error.mean())
+            if not len(x):
+                continue
             terms, where = np.unique(x, return_inverse=True)
             g = np.bincount(where, error[own], len(terms))
-            w = model.linear[terms].astype(np.float64)
             grown = squares[terms] + g * g
-            z[terms] += g - (np.sqrt(grown) - np.sqrt(squares[terms])) / alpha * w
+            z[terms] += g - (np.sqrt(grown) - np.sqrt(squares[terms])) / alpha * small.linear[terms]
             squares[terms] = grown
             s = z[terms]
-            model.linear[terms] = np.where(np.abs(s) <= l1, 0, -(s - np.sign(s) * l1) / ((beta + np.sqrt(grown)) / alpha + l2))
-            v = model.factors[x]
-            total = np.zeros((len(rows), factors))
-            np.add.at(total, own, v)
+            small.linear[terms] = np.where(np.abs(s) <= l1, 0, -(s - np.sign(s) * l1) / ((beta + np.sqrt(grown)) / alpha + l2))
+            v = small.factors[x]
+            total = np.stack([np.bincount(own, v[:, k], len(rows)) for k in range(factors)], 1)
             gv = error[own, None] * (total[own] - v)
-            g = np.stack([np.bincount(where, gv[:, k], len(terms)) for k in range(factors)], 1)
-            keep = common[terms]
-            terms, g = terms[keep], g[keep] + v_l2 * model.factors[terms[keep]]
+            g = np.stack([np.bincount(where, gv[:, k], len(terms)) for k in range(factors)], 1) + v_l2 * small.factors[terms]
             v_squares[terms] += (g * g).mean(1)
-            model.factors[terms] -= v_rate * g / np.sqrt(v_squares[terms])[:, None]
+            small.factors[terms] -= v_rate * g / np.sqrt(v_squares[terms])[:, None]
+    model.bias = small.bias
+    model.linear[names], model.factors[names] = small.linear[: len(names)], small.factors[: len(names)]
     return model
 
 
@@ -111,8 +127,8 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
     """Fit on at most ``train_rows`` labelled rows that are not held out; a bounded sample, so it is fitted in one place.
 
-    Rows with null id or label are left out; of several labels of an id the largest counts, and repeated documents count as
-    often as they occur. Without labelled rows every score is one half.
+    Rows with null id or label are left out; of several labels of an id the largest counts. Documents with equal terms and
+    label count once. Without labelled rows every score is one half.
     """
     prepare_tasks(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -127,10 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array(terms, pa.binary())], ["_id", "label", "terms"])
 
     sample = rows.select("_id", "label", "text").mapInArrow(hashed, f"_id {dict(docs.dtypes)[id_col]}, label double, terms binary")
-    found = sorted(((r["_id"], r["label"], bytes(r["terms"])) for r in sample.collect()))
-    terms = [np.frombuffer(t, "<i4") for _, _, t in found]
+    found = sorted({(r["label"], bytes(r["terms"])) for r in sample.collect()})
+    terms = [np.frombuffer(t, "<i4") for _, t in found]
     ids = np.concatenate([*terms, np.zeros(0, "<i4")]).astype(np.int64)
-    return fit(ids, np.cumsum([0, *map(len, terms)]), np.array([y for _, y, _ in found]), bits)
+    return fit(ids, np.cumsum([0, *map(len, terms)]), np.array([y for y, _ in found]), bits)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
