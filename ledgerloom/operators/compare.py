@@ -19,11 +19,11 @@ def _counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """
     columns = expected.columns
     both = expected.withColumn("_e", F.lit(1)).withColumn("_a", F.lit(0)).unionByName(actual.select(columns).withColumn("_e", F.lit(0)).withColumn("_a", F.lit(1)))
-    per = both.groupBy(columns).agg(F.sum("_e").alias("e"), F.sum("_a").alias("a"))
+    per = both.groupBy(columns).agg(F.sum("_e").alias("_ours"), F.sum("_a").alias("_theirs"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return per.agg(
-        total("e").alias("expected"), total("a").alias("actual"),
-        total(F.greatest(F.col("e") - F.col("a"), F.lit(0))).alias("missing"), total(F.greatest(F.col("a") - F.col("e"), F.lit(0))).alias("extra"),
+        total("_ours").alias("expected"), total("_theirs").alias("actual"),
+        total(F.greatest(F.col("_ours") - F.col("_theirs"), F.lit(0))).alias("missing"), total(F.greatest(F.col("_theirs") - F.col("_ours"), F.lit(0))).alias("extra"),
     )
 
 

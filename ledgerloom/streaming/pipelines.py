@@ -72,13 +72,13 @@ def upsert_run(aggregated: DataFrame, keys: Sequence[str], out: str, checkpoint:
     """Update mode: each batch has the groups that changed; batch folders are kept and ``read_upserted`` takes the newest row."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/from_batch={number}")
 
     aggregated.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_upserted(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    rows = spark.read.parquet(out).drop("n")
+    rows = spark.read.parquet(out).drop("from_batch")
     values = [c for c in rows.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
     return newest.select(*keys, *(F.col(f"v.{c}").alias(c) for c in values if c != "_batch"))
