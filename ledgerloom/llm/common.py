@@ -43,6 +43,14 @@ def hint_small(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it (names don't differ by case alone)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

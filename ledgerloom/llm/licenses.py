@@ -82,7 +82,7 @@ class Scanner:
         """The best match of each notice around each place where one of its parts stands, each span once, in a normalised text.
 
         A part found at i puts the notice's start within the allowed edits of i less the part's place; windows that overlap
-        are searched as one. Matches must begin and end with whole words.
+        are searched as one. A match is widened to whole words and must then still be within the allowed edits.
         """
         windows: dict[int, list[list[int]]] = {}
         for last, where in self.seeds.iter(text):
@@ -105,8 +105,9 @@ class Scanner:
                         s += 1
                     while t > s and text[t - 1] == " ":
                         t -= 1
-                    if (s == 0 or text[s - 1] == " ") and (t == len(text) or text[t] == " "):
-                        edits = sum(m.fuzzy_counts)
+                    s, t = text.rfind(" ", 0, s) + 1, (text + " ").find(" ", t)
+                    if whole := pattern.fullmatch(text, s, t):
+                        edits = sum(whole.fuzzy_counts)
                         hits.add(Hit(label, s, t, edits, round(1 - edits / size, 6)))
         return sorted(hits, key=lambda h: (h.start, h.end, h.label, h.edits))
 

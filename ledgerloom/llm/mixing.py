@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hint_small, materialize
+from .common import hint_small, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,16 +100,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Copies are decided per (id, source, size); rows that agree in all three and differ in copies take theirs in any order.
     """
     taken = systematic_copies(docs, id_col, text_col, source_col, **options)
-    taken = materialize(taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("_copies")), "mix-copies")
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    names = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_copies")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    joined = rows.join(hint_small(names, 64), same)
-    single = joined.where(F.size("_copies") == 1).withColumn("_take", F.col("_copies")[0])
-    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_n").orderBy(F.lit(1)))
-    repeated = joined.where(F.size("_copies") > 1).withColumn("_take", F.element_at("_copies", nth))
-    both = single.unionByName(repeated).where("_take > 0")
-    return both.withColumn("_take", F.explode(F.array_repeat(F.lit(0), F.col("_take").cast("int")))).select(docs.columns)
+    _id, _source, _n, _size, _copies, _take = (unused(docs.columns, c) for c in ("_id", "_source", "_n", "_size", "_copies", "_take"))
+    taken = materialize(taken.groupBy(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col("size").alias(_n)).agg(F.sort_array(F.collect_list("copies")).alias(_copies)), "mix-copies")
+    rows = docs.withColumn(_size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col(id_col).eqNullSafe(F.col(_id)) & F.col(source_col).eqNullSafe(F.col(_source)) & (F.col(_size) == F.col(_n))
+    joined = rows.join(hint_small(taken, 64), same)
+    single = joined.where(F.size(_copies) == 1).withColumn(_take, F.col(_copies)[0])
+    nth = F.row_number().over(Window.partitionBy(_id, _source, _n).orderBy(F.lit(1)))
+    repeated = joined.where(F.size(_copies) > 1).withColumn(_take, F.element_at(_copies, nth))
+    both = single.unionByName(repeated).where(F.col(_take) > 0)
+    return both.withColumn(_take, F.explode(F.array_repeat(F.lit(0), F.col(_take).cast("int")))).select(docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

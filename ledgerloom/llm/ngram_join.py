@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hint_small, materialize, prepare_tasks
+from .common import byte_slices, hint_small, materialize, prepare_tasks, unused
 from .components import connected_components
 from .wordhash import mix, shingle_sets
 
@@ -362,8 +362,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows, _ = jaccard_classes(docs, id_col, text_col)
     gone = materialize(rows.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id"), "ngram-gone")
-    kept = docs.join(hint_small(gone.withColumnRenamed("doc_id", "_gone"), 16), F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept
+    other = unused(docs.columns, "_gone")
+    return docs.join(hint_small(gone.withColumnRenamed("doc_id", other), 16), F.col(id_col) == F.col(other), "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,15 +70,14 @@ def base_spans(text: Column) -> Column:
         "card": found(CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), lambda v: (n(v) <= 19) & luhn(v)),
         "phone": found(PHONE, F.contains(text, F.lit("+")), lambda v: n(v).between(9, 15)),
     }
-    return F.concat(
-        *(F.transform(per_kind[k], lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS)
-    )
+    def named(kind: str) -> Column:
+        return F.transform(per_kind[kind], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    return F.concat(*(named(k) for k in KINDS))
 
 
-def shape(value: Column) -> Column:
-    """Letters as a, digits as 9, runs of either as one: what a token looks like."""
-    runs = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), r"[0-9]+", "9")
-    return F.substring(runs, 1, 40)
+def token_class(value: Column) -> Column:
+    return F.when(F.contains(value, F.lit("@")), "at").otherwise("number")
 
 
 def mentions_of(text: Column) -> Column:
@@ -93,7 +92,8 @@ def mentions_of(text: Column) -> Column:
 def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """Patterns with their kind and confidence from the graph of patterns and instances.
 
-    ``mentions`` has pattern, value, kind (null unless a base span covers the token). An instance is a value, an edge says
+    ``mentions`` has pattern, value (of the base span that touches the token, else its own) and kind (null without such a
+    span). An instance is a value, an edge says
     that it occurs in a pattern. Base values of a kind score 1. In each round a pattern's confidence for a kind is the mean
     score of its instances, counted once each, if at least ``min_support`` of them have a score; an unseen instance then
     gets the confidence of its best pattern above the threshold, if its own occurrences do not contradict it.
@@ -122,7 +122,7 @@ def find_personal_data(
     """doc_id and spans, an array of (kind, start, end, value), for every row: base spans by kind, then those that context adds.
 
     Base spans are the four fixed patterns with their checks. Every token with a digit or an @ is a mention; its pattern is
-    the word before it and the token's shape. Base values seed a graph of patterns and values over the whole corpus, which
+    the word before it and whether it has an @. Base values seed a graph of patterns and values over the whole corpus, which
     is scored in ``rounds`` rounds; tokens in patterns of ``min_confidence`` and more that no base span touches are added with
     kind ``ctx_<kind>``. Patterns are learnt from distinct values, so copies of a document carry no weight.
 
@@ -133,16 +133,17 @@ def find_personal_data(
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
     read = read.withColumn("mentions", F.when(F.col("text").rlike("[0-9@]"), mentions_of(F.col("text"))).otherwise(no_mentions))
-    touched = lambda m: F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    marked = F.transform(
-        "mentions",
-        lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-            F.concat(m["left"], F.lit("|"), shape(m["value"])).alias("pattern"), F.get(touched(m), F.lit(0))["kind"].alias("kind"),
-        ),
-    )
+
+    def mark(m: Column) -> Column:
+        touched = F.get(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), F.lit(0))
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.concat(m["left"], F.lit("|"), token_class(m["value"])).alias("pattern"),
+            touched["kind"].alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"),
+        )
+
+    marked = F.transform("mentions", mark)
     rows = materialize(read.select("doc_id", "base", F.filter(marked, lambda m: ~m["pattern"].startswith("|")).alias("mentions")), "pii-rows")
-    patterns = _bootstrap(rows.select(F.explode("mentions").alias("m")).select("m.pattern", "m.value", "m.kind"), rounds, min_support, min_confidence)
+    patterns = _bootstrap(rows.select(F.explode("mentions").alias("m")).select("m.pattern", F.col("m.instance").alias("value"), "m.kind"), rounds, min_support, min_confidence)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = materialize(rows, "pii-numbered")
     free = rows.select("_row", F.explode("mentions").alias("m")).where("m.kind IS NULL").select("_row", "m.pattern", "m.start", "m.end", "m.value")
@@ -159,5 +160,5 @@ def _joined(spans: Column) -> Column:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "extra")).alias("spans"))
