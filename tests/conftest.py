@@ -5,9 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = Path("/root/testdata")
 
 
 @pytest.fixture(scope="session")
@@ -34,20 +33,9 @@ def oracle():
     def run(sql, size="sf0.001"):
         if size not in opened:
             opened[size] = duckdb.connect()
-            for p in (DATA / size).glob("*.parquet"):
+            for p in (Path("/root/testdata") / size).glob("*.parquet"):
                 opened[size].execute(f"CREATE VIEW {p.stem} AS FROM '{p}'")
         found = opened[size].execute(sql)
         return [c[0] for c in found.description], found.fetchall()
 
     return run
-
-
-def same_rows(df, columns, rows):
-    """Whether a DataFrame has the rows of a SQL result, in any order; doubles to nine digits."""
-    assert sorted(df.columns) == sorted(columns)
-
-    def form(r):
-        return tuple((v is None, str(round(v, 9) if isinstance(v, float) else v)) for v in r)
-
-    ours = sorted(form([r[c] for c in columns]) for r in df.collect())
-    return ours == sorted(form(r) for r in rows)
