@@ -82,7 +82,7 @@ class Scanner:
         """The best match of each notice around each place where one of its parts stands, each span once, in a normalised text.
 
         A part found at i puts the notice's start within the allowed edits of i less the part's place; windows that overlap
-        are searched as one. A match is widened to whole words and must then still be within the allowed edits.
+        are searched as one. A match is brought to whole words and must then still be within the allowed edits.
         """
         windows: dict[int, list[list[int]]] = {}
         for last, where in self.seeds.iter(text):
@@ -101,14 +101,12 @@ class Scanner:
             for a, b in mine:
                 for m in pattern.finditer(text, a, b):
                     s, t = m.span()
-                    while s < t and text[s] == " ":
-                        s += 1
-                    while t > s and text[t - 1] == " ":
-                        t -= 1
-                    s, t = text.rfind(" ", 0, s) + 1, (text + " ").find(" ", t)
-                    if whole := pattern.fullmatch(text, s, t):
-                        edits = sum(whole.fuzzy_counts)
-                        hits.add(Hit(label, s, t, edits, round(1 - edits / size, 6)))
+                    # Borders may cut a word: it is taken in or left out, whichever needs fewer edits.
+                    lefts, rights = {text.rfind(" ", 0, s + 1) + 1, text.find(" ", s) + 1}, {(text + " ").find(" ", t), text.rfind(" ", 0, t)}
+                    whole = [f for u in lefts for v in rights if u < v and (f := pattern.fullmatch(text, u, v))]
+                    if whole:
+                        edits, (u, v) = min((sum(f.fuzzy_counts), f.span()) for f in whole)
+                        hits.add(Hit(label, u, v, edits, round(1 - edits / size, 6)))
         return sorted(hits, key=lambda h: (h.start, h.end, h.label, h.edits))
 
     def base(self, text: str) -> list[tuple[int, str]]:
