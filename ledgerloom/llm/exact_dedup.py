@@ -47,11 +47,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     shared = refined.where(F.col("_full").isNotNull())
     groups = shared.groupBy(KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    tied = F.row_number().over(Window.partitionBy(*KEY, "doc_id").orderBy(F.lit(1))) == 1
-    rows = shared.withColumn("_first", tied).join(groups, KEY)
-    grouped = rows.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("_first")).alias("kept"), *(["text_sha256"] if digest else [])
-    )
+    best = shared.join(groups, KEY).withColumn("_best", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    out = ["doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if digest else [])]
+    # Only rows that have their group's largest id can tie; the others, however many, pass without being numbered.
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) == 1
+    grouped = best.where(~F.col("_best")).withColumn("kept", F.lit(False)).select(out).unionByName(best.where("_best").withColumn("kept", first).select(out))
     return alone.unionByName(grouped)
 
 

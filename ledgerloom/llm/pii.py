@@ -16,8 +16,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: A mention: a run of characters other than white space with a digit or an @ in it.
 MENTION = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 ROUNDS = 3
-MIN_SUPPORT = 3
-MIN_CONFIDENCE = 0.7
+MIN_SUPPORT = 5
+MIN_CONFIDENCE = 0.8
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -77,7 +77,8 @@ def base_spans(text: Column) -> Column:
 
 
 def token_class(value: Column) -> Column:
-    return F.when(F.contains(value, F.lit("@")), "at").otherwise("number")
+    """The sign that tells kinds of tokens apart: an @, a leading plus, dots between digits, or none of these."""
+    return F.when(F.contains(value, F.lit("@")), "at").when(value.startswith("+"), "plus").when(value.rlike(r"[0-9]\.[0-9]"), "dots").otherwise("plain")
 
 
 def mentions_of(text: Column) -> Column:
@@ -122,7 +123,7 @@ def find_personal_data(
     """doc_id and spans, an array of (kind, start, end, value), for every row: base spans by kind, then those that context adds.
 
     Base spans are the four fixed patterns with their checks. Every token with a digit or an @ is a mention; its pattern is
-    the word before it and whether it has an @. Base values seed a graph of patterns and values over the whole corpus, which
+    the word before it and the sign that marks its class. Base values seed a graph of patterns and values over the whole corpus, which
     is scored in ``rounds`` rounds; tokens in patterns of ``min_confidence`` and more that no base span touches are added with
     kind ``ctx_<kind>``. Patterns are learnt from distinct values, so copies of a document carry no weight.
 
