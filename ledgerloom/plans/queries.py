@@ -15,7 +15,10 @@ from ..operators import layout as L
 from ..operators import manifest as M
 from ..operators.aggregates import aggregate
 from ..operators.ranking import latest, top_items, top_k, top_users
-from ..sources.results import result_lines
+from ..schemas import TRANSACTIONS
+from ..sources import csv_tables as T
+from ..sources.results import read_result_files, result_lines, write_result_files
+from ..sources.scratch import scratch_path
 from ..streaming import pipelines as S
 from . import adapters as A
 from . import pipelines as Q
@@ -394,11 +397,11 @@ _NOTICES = """SELECT 'CLI' || (o_custkey % 3) AS client_id, 'TR0' || (1 + o_cust
 def _notices(spark, d):
     orders = A.table(spark, d, "orders")
     chunk = F.floor(F.col("o_orderkey") / 100).cast("int")
-    last = orders.agg(F.floor(F.max("o_orderkey") / 100).cast("int").alias("last"))
-    rows = orders.join(F.broadcast(last)).where(~((F.col("o_custkey") % 3 == 2) & (chunk == 5)))
+    last = orders.agg(F.floor(F.max("o_orderkey") / 100).cast("int").alias("last")).scalar()
+    rows = orders.where(~((F.col("o_custkey") % 3 == 2) & (chunk == 5)))
     return rows.select(
         F.concat(F.lit("CLI"), F.col("o_custkey") % 3).alias("client_id"), F.concat(F.lit("TR0"), F.col("o_custkey") % 2 + 1).alias("file_id"), F.lit(1).alias("table_id"),
-        chunk.alias("chunk_number"), (chunk == F.col("last")).alias("is_last_chunk"), ((chunk == F.col("last")) & (F.col("o_custkey") % 2 == 1)).alias("is_last_from_table"),
+        chunk.alias("chunk_number"), (chunk == last).alias("is_last_chunk"), ((chunk == last) & (F.col("o_custkey") % 2 == 1)).alias("is_last_from_table"),
     )
 
 
@@ -449,14 +452,71 @@ def dedup_redelivered(spark, d):
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE false")
 def misplaced_rows(spark, d):
     """Rows written by bucket and read back: none may be out of place."""
-    from ..sources.scratch import scratch_path
-
     rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     path = scratch_path(spark, "buckets")
     L.write_buckets(rows, path, "l_orderkey", 16, by=(), fmt="parquet")
     return CMP.misplaced_rows(rows, spark.read.parquet(path), "bucket", "l_orderkey", 16).select("l_orderkey", "l_linenumber")
 
 
+def _orders_as_csv(spark, d, short=False):
+    """Orders as a folder of transaction files, with headers; ``short`` also writes lines that lack fields."""
+    rows = A.order_transactions(spark, d).select(
+        "transaction_id", "store_id", F.lit(1).alias("payment_method_id"), F.lit(None).cast("string").alias("voucher_id"), F.concat("user_id", F.lit(".0")).alias("user_id"),
+        F.col("final_amount").cast("decimal(18,2)").alias("original_amount"), F.lit(0).alias("discount_applied"), F.col("final_amount").cast("decimal(18,2)").alias("final_amount"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+    )
+    folder = scratch_path(spark, "csv")
+    rows.write.option("header", True).csv(f"{folder}/transactions")
+    if short:
+        lines = rows.select(F.concat_ws(",", "transaction_id", F.coalesce(F.col("store_id").cast("string"), F.lit("")), "payment_method_id"))
+        lines.coalesce(4).write.option("header", False).option("quote", "").csv(f"{folder}/transactions/short")
+    return folder
+
+
+@query(f"""SELECT transaction_id::VARCHAR AS transaction_id, store_id::VARCHAR AS store_id, user_id, final_amount::DECIMAL(18,2)::DOUBLE AS final_amount, created_at FROM ({TX})""")
+def csv_transactions(spark, d):
+    """Written as CSV and read back with a schema: headers dropped, columns parsed, user ids normalised."""
+    rows = T.read_table(spark, f"{_orders_as_csv(spark, d)}/transactions", "TR")
+    return rows.select("transaction_id", "store_id", "user_id", "final_amount", "created_at")
+
+
+@query("SELECT count(*) AS good, count(*) AS short, 'TR' AS kind FROM orders")
+def csv_quarantine(spark, d):
+    """Lines with too few fields are set aside and counted, others pass."""
+    folder = _orders_as_csv(spark, d, short=True)
+    good, bad = T.split_good_bad(T.read_raw(spark, f"{folder}/transactions", TRANSACTIONS), TRANSACTIONS)
+    both = good.select("file_path", F.lit(1).alias("good"), F.lit(0).alias("short")).unionByName(bad.select("file_path", F.lit(0).alias("good"), F.lit(1).alias("short")))
+    return both.groupBy(T.classify(F.col("file_path")).alias("kind")).agg(F.sum("good").alias("good"), F.sum("short").alias("short"))
+
+
+@query(f"SELECT 'CLI1' AS client_id, year::VARCHAR AS year, semester::VARCHAR AS semester, store_id::VARCHAR AS store_id, total_final_amount::DECIMAL(18,2)::VARCHAR AS tpv FROM ({STORE_SEMESTER})")
+def result_files(spark, d):
+    """Result lines written by client and read back."""
+    rows = agg_store_semester(spark, d).select("year", "semester", "store_id", F.col("total_final_amount").alias("tpv"))
+    path = scratch_path(spark, "results")
+    write_result_files(result_lines(rows, 3, "CLI1"), path)
+    return read_result_files(spark, path, 3, rows.columns)
+
+
+@query("SELECT event_id AS row_number, event_type AS chunk_id, value FROM events")
+def idempotent_append(spark, d):
+    """A batch delivered twice is stored once."""
+    rows = A.table(spark, d, "events").select(F.col("event_id").alias("row_number"), F.col("event_type").alias("chunk_id"), "value")
+    path = scratch_path(spark, "append")
+    for batch in (rows.where("value < 50"), rows, rows):
+        L.append_missing(batch, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_type AS client_id, event_id FROM events WHERE event_type <> 'error'")
+def drop_finished_client(spark, d):
+    """One client's partition is removed, the others stay."""
+    path = scratch_path(spark, "clients")
+    A.table(spark, d, "events").select(F.col("event_type").alias("client_id"), "event_id").write.partitionBy("client_id").parquet(path)
+    L.drop_client(path, spark, "error")
+    return spark.read.parquet(path).select("client_id", "event_id")
+
+
 def _event_stream(spark, d):
     return S.file_stream(spark, f"{d}/event[s].parquet", A.table(spark, d, "events").schema)
 
