@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import io
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; it is removed when the driver ends."""
+    _made.append(f"{scratch_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def remove_scratch() -> None:
+    for path in _made:
+        with contextlib.suppress(Exception):  # what can't be reached here is left to whoever keeps the folder
+            system, name = open_fs(path)
+            system.delete_dir(name)
+
+
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, as driver and tasks open it; a plain path is local."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
@@ -65,12 +87,16 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     _shipped.add(app)
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
+    folder = new_path(spark, "package")
+    system, name = open_fs(folder)
+    system.create_dir(name, recursive=True)
+    with system.open_output_stream(f"{name}/{root.name}.zip", compression=None) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
 
 
 def prepare_tasks(spark: SparkSession, rows: int = 2000, max_bytes: int = 16 << 20) -> None:

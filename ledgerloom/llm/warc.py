@@ -9,11 +9,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hint_small, materialize, new_path, prepare_tasks
+from .common import hint_small, materialize, new_path, open_fs, prepare_tasks
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -32,11 +31,6 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI, as tasks open it; a plain path is local."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
     """One record as a gzip member; a revisit holds headers only."""
     name = "null" if page_id is None else str(page_id)
