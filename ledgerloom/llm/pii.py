@@ -20,23 +20,58 @@ MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+#: Running sums over arrays go by blocks of so many items: appending to an array copies it, and blocks keep that short.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(items: Column, start: Column, size, item, kind: str) -> Column:
+    """``item(position before, x)`` for each x of ``items``, the position growing by ``size(x)`` from ``start``."""
+    state = F.struct(start.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(item(acc["at"], x))).alias("out"))
+
+    return F.aggregate(items, state, step, lambda acc: acc["out"])
+
+
+def _places(sizes: Column) -> Column:
+    """(start, end) of each match from the (gap, size) pairs of a text, which must not be empty."""
+    whole = lambda s: s["gap"] + s["size"]
+    span = lambda at, s: F.struct((at + s["gap"]).alias("start"), (at + whole(s)).alias("end"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, s: acc + whole(s)))
+        starts = _running(totals, F.lit(0), lambda t: t, lambda at, t: at, "int")
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: _running(b, at, whole, span, "struct<start:int,end:int>")))
+
+    return _let(blocks, placed)
+
+
+def spans_of(text: Column, pattern: str, left: bool = False) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of (start, end, value), in code points.
 
-    Built from the text between the matches and the matches themselves, each read by one pass of the pattern.
+    Built from the text between the matches and the matches themselves, each read by one pass of the pattern. With ``left``
+    also the word before each match, lower-cased, or the empty string.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.zip_with(F.transform(between, lambda s: F.length(s)), F.transform(found, lambda s: F.length(s)), lambda b, m: F.struct(b.alias("gap"), m.alias("size")))
-    ends = F.aggregate(
-        F.slice(step, 1, F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.zip_with(ends, found, lambda e, v: F.struct(e["start"].alias("start"), e["end"].alias("end"), v.alias("value")))
+    fields = "start:int,end:int,value:string" + (",left:string" if left else "")
+    none = F.expr(f"cast(array() as array<struct<{fields}>>)")
+
+    def build(m: Column) -> Column:
+        gaps = F.slice(m["between"], 1, F.size(m["found"]))
+        sizes = F.zip_with(gaps, m["found"], lambda b, v: F.struct(F.length(b).alias("gap"), F.length(v).alias("size")))
+        spans = F.zip_with(_let(sizes, _places), m["found"], lambda e, v: F.struct(e["start"].alias("start"), e["end"].alias("end"), v.alias("value")))
+        if left:
+            before = lambda b: F.lower(F.regexp_extract(b, r"(\p{L}[\p{L}\p{M}'_-]{1,30})[^\p{L}]{0,8}$", 1))
+            spans = F.zip_with(spans, gaps, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(b).alias("left")))
+        return F.when(F.size(m["found"]) > 0, spans).otherwise(none)
+
+    return _let(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), build)
 
 
 def _digits(value: Column) -> Column:
@@ -81,15 +116,6 @@ def token_class(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("@")), "at").when(value.startswith("+"), "plus").when(value.rlike(r"[0-9]\.[0-9]"), "dots").otherwise("plain")
 
 
-def mentions_of(text: Column) -> Column:
-    """Tokens with a digit or an @ as (start, end, value, left): ``left`` is the word before, lower-cased, on the same text."""
-    between = F.split(text, MENTION, -1)
-    spans = spans_of(text, MENTION)
-    left = F.transform(between, lambda s: F.lower(F.regexp_extract(s, r"(\p{L}[\p{L}\p{M}'_-]{1,30})[^\p{L}]{0,8}$", 1)))
-    trimmed = F.zip_with(spans, left, lambda s, w: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), w.alias("left")))
-    return F.filter(trimmed, lambda s: s["start"].isNotNull())
-
-
 def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """Patterns with their kind and confidence from the graph of patterns and instances.
 
@@ -133,7 +159,7 @@ def find_personal_data(
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
-    read = read.withColumn("mentions", F.when(F.col("text").rlike("[0-9@]"), mentions_of(F.col("text"))).otherwise(no_mentions))
+    read = read.withColumn("mentions", F.when(F.col("text").rlike("[0-9@]"), spans_of(F.col("text"), MENTION, left=True)).otherwise(no_mentions))
 
     def mark(m: Column) -> Column:
         touched = F.get(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), F.lit(0))

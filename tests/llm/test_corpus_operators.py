@@ -152,6 +152,7 @@ def test_mix_comes_near_its_targets(spark, odd, empty):
 PRIVATE = [
     "a@b.co, x@y, a@b@c.d; a.b.@c-d.e.f_g@h.i", "1.2.3.4.5 256.1.1.1 001.2.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111",
     "+1 (523) 555-1055 +12 +123456789 +1 555 0000 4111111111111111", "é@é.é é1.1.1.1é a@b.cé", "4" * 13 + " " + "0" * 16, "+" * 50 + "1" + "(" * 50 + "2", "a" * 3000 + "@b.c",
+    "née 10.0.0.1 a@b.c " * 700,
 ]
 
 
