@@ -191,7 +191,9 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
-    found = ranges.repartition(max(2, spark.sparkContext.defaultParallelism), "path", "start").mapInArrow(scan, schema)
+    total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    # A task has about one range, so that one which is lost costs little.
+    found = ranges.repartition(max(1, -(-total // split_bytes)), "path", "start").mapInArrow(scan, schema)
     above = F.max("end").over(Window.partitionBy("path").orderBy("offset", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("_above", above).where(F.col("_above").isNull() | (F.col("offset") >= F.col("_above"))).drop("_above")
 
