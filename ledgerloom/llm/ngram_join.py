@@ -35,6 +35,8 @@ NUM, DEN = 80, 100
 MEMBERS = 200
 OUTSIDERS = 64
 POSTINGS = 1_500_000
+#: Buckets of shingles whose counts of nodes meet in one pack.
+PACKED = 2
 _SHARED = np.int64(-(1 << 63))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -120,11 +122,23 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((-1 - int(nodes[0]) % buckets, times.astype("<u4").tobytes(), known.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["r", "cell", "node"])
 
+    # Counts of a bucket leave it packed by groups of nodes, each of which is added up in one task.
+    packs = -(-buckets // PACKED)
+
+    def packed(node: np.ndarray, c: np.ndarray) -> pa.Table:
+        pack = node % packs
+        order = np.argsort(pack, kind="stable")
+        node, c, pack = node[order].astype("<i8"), c[order].astype("<u4"), pack[order]
+        ends = np.searchsorted(pack, np.arange(packs + 1))
+        used = np.flatnonzero(np.diff(ends))
+        cut = lambda a: pa.array([a[ends[i] : ends[i + 1]].tobytes() for i in used], pa.binary())
+        return pa.table({"pack": used.astype(np.int64), "node": cut(node), "c": cut(c)})
+
     def count(table: pa.Table) -> pa.Table:
         cell, _ = _joined(table.column("cell"), "<u4")
         node, _ = _joined(table.column("node"), "<i8")
         if table.column("r")[0].as_py() < 0:
-            return pa.table({"node": node, "c": cell.astype(np.int64)})
+            return packed(node, cell)
         order = np.lexsort((node, cell))
         cell, node = cell[order], node[order]
         fresh = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
@@ -132,11 +146,15 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         size = np.diff(np.append(start, len(cell)))
         shared = np.repeat((size > 1) | (node[start] == _SHARED), size) & (node != _SHARED)
-        nodes, c = np.unique(node[shared], return_counts=True)
-        return pa.table({"node": nodes, "c": c.astype(np.int64)})
+        return packed(*np.unique(node[shared], return_counts=True))
+
+    def add(table: pa.Table) -> pa.Table:
+        c, _ = _joined(table.column("c"), "<u4")
+        nodes, where = np.unique(_joined(table.column("node"), "<i8")[0], return_inverse=True)
+        return pa.table({"node": nodes, "c": np.bincount(where, c).astype(np.int64)})
 
     sent = docs.select("text").mapInArrow(postings, "r long, cell binary, node binary")
-    return sent.groupBy("r").applyInArrow(count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    return sent.groupBy("r").applyInArrow(count, "pack long, node binary, c binary").groupBy("pack").applyInArrow(add, "node long, c long")
 
 
 def _regions(sets: DataFrame, buckets: int) -> DataFrame:

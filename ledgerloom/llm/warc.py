@@ -58,6 +58,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     occurs more than once in a group, all its rows are responses; of a group of null ids only, all rows are. Ids are 64-bit
     integers. Other columns are ignored.
 
+    ``folder`` keeps the archives; without it they go to the scratch folder and are removed when the driver ends. Driver and
+    tasks open it with pyarrow, so it must be a file system that pyarrow knows (a shared mount, HDFS, an object store).
+
     A task writes to a name of its own and the manifest is committed by Spark, so what a lost or doubled attempt leaves
     behind is not in the manifest and is never read.
     """
