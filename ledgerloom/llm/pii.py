@@ -13,8 +13,24 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: A mention: a run of characters other than white space with a digit or an @ in it.
-MENTION = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+_AT, _DOT = r"(?:\x20at\x20|\x20?[\[(]\x20?at\x20?[\])]\x20?)", r"(?:\.|\x20dot\x20|\x20?[\[(]\x20?dot\x20?[\])]\x20?)"
+#: An address in words: 'jane at example dot com', 'jane (at) example.com'. A plain 'at' needs a 'dot', for it is a common word.
+SPELLED_AT = rf"(?i:[a-z0-9._%+-]++(?:{_AT}(?=[a-z0-9-]++\x20?[\[(]?\x20?dot\b)|\x20?[\[(]\x20?at\x20?[\])]\x20?)[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++)"
+_WORD_DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
+SPELLED_DIGITS = rf"(?i:{_WORD_DIGIT}(?:[\x20,-]{{1,2}}+{_WORD_DIGIT}){{5,}}+(?![\p{{L}}\p{{N}}]))"
+_ENDS = r"(?=[^\p{L}\p{N}@\x20\x09-\x0D]{0,4}(?:[\x20\x09-\x0D]|$))"
+_QUAD = r"[0-9]++(?:\.[0-9]++){3}+"
+_NUMBER = r"[0-9]++(?:[().:/-]{1,3}+[0-9]++)*+"
+#: A mention, in this order: a spelled-out address or number; a dotted quad; a run of adjacent numbers; a token with a digit or
+#: an @; an address in hexadecimal groups.
+MENTION = (
+    rf"(?<![^\x20\x09-\x0D])(?:{SPELLED_AT}|{SPELLED_DIGITS}|{_QUAD}{_ENDS}"
+    rf"|[+(]{{0,3}}+{_NUMBER}{_ENDS}(?:[\x20/-]{{1,3}}+(?!{_QUAD})\(?{_NUMBER}{_ENDS})*+"
+    r"|[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+|[A-Fa-f]{0,4}+:[A-Fa-f]{0,4}+:[A-Fa-f:]*+(?![^\x20\x09-\x0D]))"
+)
+#: Texts without any of these have no mention.
+_HINT = rf"[0-9@]|[A-Fa-f]:|:[A-Fa-f]|(?i:\bdot\b|{_WORD_DIGIT}[\x20,-])"
+_DATE = r"^\D*(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2}(?:[0-9]{2})?|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2})(?!\d)\D*$"
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
@@ -53,22 +69,24 @@ def _places(sizes: Column) -> Column:
     return _let(blocks, placed)
 
 
-def spans_of(text: Column, pattern: str, left: bool = False) -> Column:
+def spans_of(text: Column, pattern: str, words: bool = False) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of (start, end, value), in code points.
 
-    Built from the text between the matches and the matches themselves, each read by one pass of the pattern. With ``left``
-    also the word before each match, lower-cased, or the empty string.
+    Built from the text between the matches and the matches themselves, each read by one pass of the pattern. With ``words``
+    also the words before and after each match, lower-cased, or the empty string.
     """
-    fields = "start:int,end:int,value:string" + (",left:string" if left else "")
+    fields = "start:int,end:int,value:string" + (",left:string,right:string" if words else "")
     none = F.expr(f"cast(array() as array<struct<{fields}>>)")
 
     def build(m: Column) -> Column:
         gaps = F.slice(m["between"], 1, F.size(m["found"]))
         sizes = F.zip_with(gaps, m["found"], lambda b, v: F.struct(F.length(b).alias("gap"), F.length(v).alias("size")))
         spans = F.zip_with(_let(sizes, _places), m["found"], lambda e, v: F.struct(e["start"].alias("start"), e["end"].alias("end"), v.alias("value")))
-        if left:
-            before = lambda b: F.lower(F.regexp_extract(b, r"(\p{L}[\p{L}\p{M}'_-]{1,30})[^\p{L}]{0,8}$", 1))
-            spans = F.zip_with(spans, gaps, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(b).alias("left")))
+        if words:
+            before = lambda b: F.lower(F.regexp_extract(b, r"(\p{L}[\p{L}\p{M}'_-]{0,30})[^\p{L}]{0,8}$", 1))
+            after = lambda b: F.lower(F.regexp_extract(b, r"^[^\p{L}]{0,8}(\p{L}[\p{L}\p{M}'_-]{0,30})", 1))
+            sides = F.zip_with(gaps, F.slice(m["between"], 2, F.size(m["found"])), lambda b, a: F.struct(before(b).alias("left"), after(a).alias("right")))
+            spans = F.zip_with(spans, sides, lambda s, w: F.struct(*(s[k].alias(k) for k in ("start", "end", "value")), w["left"].alias("left"), w["right"].alias("right")))
         return F.when(F.size(m["found"]) > 0, spans).otherwise(none)
 
     return _let(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), build)
@@ -111,34 +129,47 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(named(k) for k in KINDS))
 
 
-def token_class(value: Column) -> Column:
-    """The sign that tells kinds of tokens apart: an @, a leading plus, dots between digits, or none of these."""
-    return F.when(F.contains(value, F.lit("@")), "at").when(value.startswith("+"), "plus").when(value.rlike(r"[0-9]\.[0-9]"), "dots").otherwise("plain")
+def is_address(value: Column) -> Column:
+    """Whether a mention has the form of an e-mail address, in signs or in words; all other kinds are numbers."""
+    return F.contains(value, F.lit("@")) | value.rlike(SPELLED_AT)
+
+
+def is_ordinary(value: Column) -> Column:
+    """Whether a mention is known to be no identifier: a handle or price with an @, a date, a number of more than 19 digits, or
+    one of fewer than six without a leading plus, two dots or two colons."""
+    n = F.length(_digits(value))
+    short = (n < 6) & ~value.rlike(r"^\(?\+[0-9]|[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]*:") & ~value.rlike(SPELLED_DIGITS)
+    number = (n > 19) | value.rlike(_DATE) | short
+    return F.when(F.contains(value, F.lit("@")), ~value.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}\[]")).otherwise(number & ~value.rlike(SPELLED_AT))
 
 
 def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """Patterns with their kind and confidence from the graph of patterns and instances.
 
-    ``mentions`` has pattern, value (of the base span that touches the token, else its own) and kind (null without such a
-    span). An instance is a value, an edge says
-    that it occurs in a pattern. Base values of a kind score 1. In each round a pattern's confidence for a kind is the mean
-    score of its instances, counted once each, if at least ``min_support`` of them have a score; an unseen instance then
-    gets the confidence of its best pattern above the threshold, if its own occurrences do not contradict it.
+    ``mentions`` has pattern, value (of the base span that touches the mention, else its own), kind (null without such a
+    span) and ordinary. An instance is a value, an edge says that it occurs in a pattern. Base values of a kind score 1,
+    ordinary values are known negatives, and others are unseen: they count neither for nor against a pattern. In each round a
+    pattern's confidence for a kind is the score of its instances of that kind over the number of its instances that have a
+    score or are negatives, counted once each, if at least ``min_support`` have a score of the kind; an unseen instance of a
+    form that the kind can have then gets the confidence of its best pattern above the threshold.
     """
-    edges = materialize(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    degree = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-degree")
+    edges = materialize(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.min("ordinary").alias("ordinary")), "pii-edges")
+    negatives = materialize(edges.where("kind IS NULL AND ordinary").groupBy("pattern").agg(F.count("*").alias("negatives")), "pii-negatives")
     scores = materialize(edges.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
+    unseen = edges.where("kind IS NULL AND NOT ordinary").select("pattern", "value").join(scores.select("value"), "value", "left_anti")
     seeds = scores
     patterns = None
     for k in range(rounds):
         support = edges.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("score").alias("mass"))
-        good = support.where(F.col("support") >= min_support).join(degree, "pattern").withColumn("confidence", F.col("mass") / F.col("n"))
+        per_kind = support.groupBy("pattern").agg(F.sum("support").alias("scored"), F.collect_list(F.struct("kind", "support", "mass")).alias("kinds"))
+        known = per_kind.join(negatives, "pattern", "left").select("pattern", (F.col("scored") + F.coalesce("negatives", F.lit(0))).alias("n"), F.explode("kinds").alias("s"))
+        good = known.select("pattern", "s.kind", "s.support", (F.col("s.mass") / F.col("n")).alias("confidence")).where(F.col("support") >= min_support)
         best = F.max(F.struct("confidence", "kind"))
         good = good.where(F.col("confidence") >= min_confidence).groupBy("pattern").agg(best.alias("b"))
         patterns = materialize(good.select("pattern", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence")), f"pii-patterns-{k}")
         if k + 1 < rounds:
-            unseen = edges.where("kind IS NULL").join(hint_small(patterns.withColumnRenamed("kind", "k"), 120), "pattern")
-            grown = unseen.groupBy("value", F.col("k").alias("kind")).agg(F.max("confidence").alias("score"))
+            found = unseen.join(hint_small(patterns, 120), "pattern").where(is_address(F.col("value")) == (F.col("kind") == "email"))
+            grown = found.groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("value", "b.kind", F.col("b.confidence").alias("score"))
             scores = materialize(seeds.unionByName(grown), f"pii-scores-{k}")
     return patterns
 
@@ -148,33 +179,40 @@ def find_personal_data(
 ) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, value), for every row: base spans by kind, then those that context adds.
 
-    Base spans are the four fixed patterns with their checks. Every token with a digit or an @ is a mention; its pattern is
-    the word before it and the sign that marks its class. Base values seed a graph of patterns and values over the whole corpus, which
-    is scored in ``rounds`` rounds; tokens in patterns of ``min_confidence`` and more that no base span touches are added with
-    kind ``ctx_<kind>``. Patterns are learnt from distinct values, so copies of a document carry no weight.
+    Base spans are the four fixed patterns with their checks. Mentions are runs of adjacent numbers, other tokens with a digit
+    or an @, and forms in (English) words. The word before a mention is one pattern and the word after it another, whatever the
+    mention looks like. Base values seed a graph of patterns and values over the whole corpus, which is scored in ``rounds``
+    rounds; mentions in patterns of ``min_confidence`` and more that no base span touches are added with kind ``ctx_<kind>``,
+    unless they are ordinary numbers or have no form of that kind (an e-mail has an @ or says 'at', other kinds have neither).
+    Patterns are learnt from distinct values, so copies of a document carry no weight.
 
     Null text counts as empty and has no spans. Ids may be null or repeat. Empty input gives no rows. Other columns are
     ignored. Positions are code points, end exclusive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
-    read = read.withColumn("mentions", F.when(F.col("text").rlike("[0-9@]"), spans_of(F.col("text"), MENTION, left=True)).otherwise(no_mentions))
+    no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string,right:string>>)")
+    read = read.withColumn("mentions", F.when(F.col("text").rlike(_HINT), spans_of(F.col("text"), MENTION, words=True)).otherwise(no_mentions))
 
     def mark(m: Column) -> Column:
         touched = F.get(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), F.lit(0))
+        sides = F.array(F.concat(m["left"], F.lit("|")), F.concat(F.lit("|"), m["right"]))
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.concat(m["left"], F.lit("|"), token_class(m["value"])).alias("pattern"),
-            touched["kind"].alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"),
+            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.filter(sides, lambda p: p != "|").alias("patterns"),
+            touched["kind"].alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"), is_ordinary(m["value"]).alias("ordinary"),
         )
 
     marked = F.transform("mentions", mark)
-    rows = materialize(read.select("doc_id", "base", F.filter(marked, lambda m: ~m["pattern"].startswith("|")).alias("mentions")), "pii-rows")
-    patterns = _bootstrap(rows.select(F.explode("mentions").alias("m")).select("m.pattern", F.col("m.instance").alias("value"), "m.kind"), rounds, min_support, min_confidence)
+    rows = materialize(read.select("doc_id", "base", F.filter(marked, lambda m: F.size(m["patterns"]) > 0).alias("mentions")), "pii-rows")
+    edges = rows.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("value"), "m.kind", "m.ordinary")
+    patterns = _bootstrap(edges, rounds, min_support, min_confidence)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = materialize(rows, "pii-numbered")
-    free = rows.select("_row", F.explode("mentions").alias("m")).where("m.kind IS NULL").select("_row", "m.pattern", "m.start", "m.end", "m.value")
-    added = free.join(hint_small(patterns, 120), "pattern").groupBy("_row").agg(
+    free = rows.select("_row", F.explode("mentions").alias("m")).where("m.kind IS NULL AND NOT m.ordinary")
+    free = free.select("_row", F.explode("m.patterns").alias("pattern"), "m.start", "m.end", "m.value")
+    fits = free.join(hint_small(patterns, 120), "pattern").where(is_address(F.col("value")) == (F.col("kind") == "email"))
+    once = fits.groupBy("_row", "start", "end", "value").agg(F.max(F.struct("confidence", "kind")).alias("b")).withColumn("kind", F.col("b.kind"))
+    added = once.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end", "value"))).alias("extra")
     )
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")

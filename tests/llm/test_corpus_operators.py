@@ -173,6 +173,24 @@ def test_context_finds_unseen_identifiers(spark, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_context_finds_other_forms(spark):
+    """At the production parameters: numbers without the base form's sign, in several tokens, in words, and by the word after."""
+    cards = [n for n in range(1111, 1400) if plain.luhn(f"411111111111{n}")][:12]
+    seeds = [f"Call +49 30 5551{i:03}. Mail p{i}@x.org ip 10.0.0.{i} card 4111 1111 1111 {n} ok" for i, n in enumerate(cards)]
+    seeds += [f"+49 89 7771{i:03} ringing" for i in range(12)]
+    texts = [
+        "call 0171 2345678 now", "ip fe80::1ff:fe23:4567 up", "card 4111.1111.1111.1112", "mail jane at example dot com soon", "0171 7654321 ringing",
+        "call zero one seven one two three four", "call 5 times", "call 12.05.2024", "call me@home", "meet 0171 2345679 there", "ip dead::beef", "mail @jane", *["call unit-771234"] * 3,
+    ]
+    found = {r.doc_id: [(s.kind, s.value) for s in r.extra] for r in pii.find_personal_data(frame(spark, [*seeds, *texts])).collect()}
+    assert [found[i] for i in range(24)] == [[]] * 24
+    want = [
+        "phone:0171 2345678", "ip:fe80::1ff:fe23:4567", "card:4111.1111.1111.1112", "email:jane at example dot com", "phone:0171 7654321",
+        "phone:zero one seven one two three four", None, None, None, None, "ip:dead::beef", None, *["phone:unit-771234"] * 3,
+    ]
+    assert [found[i] for i in range(24, 39)] == [[(f"ctx_{w.split(':')[0]}", w.split(":", 1)[1])] if w else [] for w in want]
+
+
 def test_copies_do_not_make_a_pattern(spark):
     texts = ["call number +1 (523) 555-1055 now"] * 30 + ["call number 77-88 now"]
     assert not any(r.extra for r in pii.find_personal_data(frame(spark, texts)).collect())
