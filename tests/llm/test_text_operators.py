@@ -148,6 +148,17 @@ def test_codec_is_lossless_varied_and_repeatable(odd):
     assert len({ids for ids, _ in codec.encode(list(range(10)), [text] * 10)}) == 10
 
 
+def test_every_occurrence_has_its_own_dropout(spark):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_path(), 0.1, seed=2)
+    assert len({ids for ids, _ in codec.encode(list(range(400)), ["internationalization"] * 400)}) > 20
+    text = " ".join(real_texts(spark, 3)) + " " + "abcd" * 20
+    words = codec.model.words.findall(" " + text)
+    keys = codec.occurrence_keys("d", len(words))
+    want = [codec.segmenters[0].by_heap(w, keys[i : i + 1]) for i, w in enumerate(words)]
+    for _ in range(2):
+        assert codec.encode(["d"], [text]) == [(b"".join(c for c, _ in want), sum(d for _, d in want))]
+
+
 # licenses
 
 
