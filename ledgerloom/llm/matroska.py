@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,12 +293,11 @@ def features(data: bytes) -> dict:
     counts = dict.fromkeys(LACINGS, 0)
     for p in media.packets:
         counts[p.lacing] += 1
-    levels = payload[:: FRAME // 8]
     cues_ok = len(media.cues) == len(media.clusters) and all(data[at : at + 4] == element_id(CLUSTER) for _, _, at in media.cues)
     feature = {
         "tracks": len(media.tracks), "clusters": len(media.clusters), "packets": len(media.packets), "cues": len(media.cues), "cues_ok": int(cues_ok),
         "end_ms": media.packets[-1].timestamp + media.packets[-1].frame * (FRAME * 1000 // RATE) + FRAME * 1000 // RATE,
-        **{f"laced_{k}": v for k, v in counts.items()}, "level": sum(levels) // len(levels),
+        **{f"laced_{k}": v for k, v in counts.items()}, "level": int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)) // len(payload),
     }
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),

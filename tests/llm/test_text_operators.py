@@ -62,6 +62,11 @@ def test_media_round_trip(odd):
         assert f.media_sha256 == hashlib.sha256(matroska.encode(payload)).hexdigest() and "cues_ok=1" in f.feature
 
 
+def test_level_is_of_all_samples():
+    payload = bytes(0 if i % 24 == 0 else 240 for i in range(960))
+    assert matroska.features(matroska.encode(payload))["feature"].endswith("level=230")
+
+
 def test_packet_table_covers_the_payload(odd):
     media = matroska.text_to_media(odd.where("text IS NOT NULL AND doc_id = 10"))
     packets = matroska.packet_table(media).orderBy("start").collect()
