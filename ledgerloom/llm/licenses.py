@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -79,36 +80,43 @@ class Scanner:
         self.seeds.make_automaton()
 
     def fuzzy(self, text: str) -> list[Hit]:
-        """The best match of each notice around each place where one of its parts stands, each span once, in a normalised text.
+        """The matches of each notice in a normalised text: all spans of whole words within the allowed edits, of which those with
+        the fewest edits stay where spans of one notice overlap.
 
-        A part found at i puts the notice's start within the allowed edits of i less the part's place; windows that overlap
-        are searched as one. A match is brought to whole words and must then still be within the allowed edits.
+        A part found at i puts the notice's start within the allowed edits of i less the part's place, and every match has a part
+        that stands unchanged, so the borders of words there are all the spans there are.
         """
-        windows: dict[int, list[list[int]]] = {}
+        spans: dict[int, dict[tuple[int, int], int | None]] = {}
         for last, where in self.seeds.iter(text):
             for k, at, n in where:
-                _, size, e, _ = self.notices[k]
+                _, size, e, pattern = self.notices[k]
                 start = last - n + 1 - at
-                a, b = max(0, start - e - 1), min(len(text), start + size + e + 1)
-                mine = windows.setdefault(k, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(a, mine[-1][0]), max(b, mine[-1][1])
-                else:
-                    mine.append([a, b])
+                mine = spans.setdefault(k, {})
+                for u in self.borders(text, start - e - 1, start + e, 1):
+                    for v in self.borders(text, max(u + size - e, last + 1 - e), u + size + e + 1, 0):
+                        if u < v and (u, v) not in mine:
+                            f = pattern.fullmatch(text, u, v)
+                            mine[u, v] = sum(f.fuzzy_counts) if f else None
         hits = set()
-        for k, mine in windows.items():
-            label, size, _, pattern = self.notices[k]
-            for a, b in mine:
-                for m in pattern.finditer(text, a, b):
-                    s, t = m.span()
-                    # Borders may cut a word: it is taken in or left out, whichever needs fewer edits.
-                    lefts, rights = {text.rfind(" ", 0, s + 1) + 1, text.find(" ", s) + 1}, {(text + " ").find(" ", t), text.rfind(" ", 0, t)}
-                    whole = [f for u in lefts for v in rights if u < v and (f := pattern.fullmatch(text, u, v))]
-                    if whole:
-                        edits, (u, v) = min((sum(f.fuzzy_counts), f.span()) for f in whole)
-                        hits.add(Hit(label, u, v, edits, round(1 - edits / size, 6)))
+        for k, mine in spans.items():
+            label, size, _, _ = self.notices[k]
+            kept: list[tuple[int, int]] = []
+            for edits, u, v in sorted((edits, u, v) for (u, v), edits in mine.items() if edits is not None):
+                i = bisect.bisect(kept, (u, v))
+                if (i == 0 or kept[i - 1][1] <= u) and (i == len(kept) or v <= kept[i][0]):
+                    kept.insert(i, (u, v))
+                    hits.add(Hit(label, u, v, edits, round(1 - edits / size, 6)))
         return sorted(hits, key=lambda h: (h.start, h.end, h.label, h.edits))
 
+    @staticmethod
+    def borders(text: str, a: int, b: int, after: int) -> list[int]:
+        """Places of spaces in [a, b), or after them, the text being framed by one space on each side."""
+        found, at = [], text.find(" ", max(0, a), max(0, b))
+        while at >= 0:
+            found.append(at + after)
+            at = text.find(" ", at + 1, b)
+        return [0] * (after and a <= -1 < b) + found + [len(text)] * (not after and a <= len(text) < b)
+
     def base(self, text: str) -> list[tuple[int, str]]:
         """(word number, label) of each exact place of a base phrase in a normalised text."""
         places, framed = [], f" {text} "

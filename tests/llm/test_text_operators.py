@@ -206,6 +206,22 @@ def test_fuzzy_search_finds_every_edited_notice():
     assert not scanner.fuzzy(licenses.normalised("a plain text about rights and wrongs, released under pressure by the general"))
 
 
+def test_misspelt_notices_beside_better_ones_are_found():
+    import random
+
+    scanner, rng = licenses.Scanner({"all rights reserved": "reserved"}), random.Random(5)
+    found = lambda t: [(h.start, h.end, h.edits) for h in scanner.fuzzy(t)]
+    assert found("all rights reservd all rights reserved") == [(0, 18, 1), (19, 38, 0)]
+    assert found("al rights reserved x all rights reserved") == [(0, 18, 1), (21, 40, 0)]
+    for _ in range(300):
+        text = " ".join(rng.choice(["all", "al", "rights", "right", "s", "reserved", "reservd", "x"]) for _ in range(14))
+        starts = [0, *(m.end() for m in re.finditer(" ", text))]
+        ends = [*(m.start() for m in re.finditer(" ", text)), len(text)]
+        spans = [(u, v) for u in starts for v in ends if u < v and edits("all rights reserved", text[u:v]) <= 1]
+        got = found(text)
+        assert {(u, v) for u, v, _ in got} <= set(spans) and all(any(u < d and c < v for c, d, _ in got) for u, v in spans)
+
+
 def test_license_spans_are_words(spark):
     df = spark.createDataFrame([(1, "Intro. Licensed under the Apache Licence, Version 2.0. End")], "doc_id long, text string")
     r = licenses.scan_licenses(df).first()
