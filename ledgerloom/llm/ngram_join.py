@@ -1,19 +1,19 @@
 """N-gram Jaccard join: an exact self-join of documents in the metric space of their shingle sets.
 
-Jaccard distance is a metric, so with radius r = 1 - threshold and any pivot p, two linked sets x and y have
-``|d(x, p) - d(y, p)| <= r``. The steps, none of which loses a link:
+Jaccard distance is a metric, so with radius r = 1 - threshold and pivots p and q, a set y that is linked to a set x nearer to p
+than to q has ``d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r``. The steps, none of which loses a link:
 
 1. Equal sets become one class. A prefix bound drops classes that share too little with any other to have a link.
-2. Every shingle has a pivot: the class with the smallest key among those that contain it. A class belongs to the Voronoi
-   region of a pivot if one of its rarest shingles has that pivot. Two linked classes have one of their rarest shingles in
-   common, hence a region: those at a border are members of several.
-3. In each region the distance of every member to the pivot is computed. Members within the radius are linked to it.
-4. A region whose members are one component by then is done. In the others, members outside the largest component are
-   joined with the rest, through the windows of the triangle inequality, each compared class being a further pivot inside
-   its block.
-
-What links have in common is the component, so pairs known to be connected are not compared again. A region with very many
-members is split by salt, and its pivot, or block of outsiders, is sent to each part.
+2. Every shingle has a pivot: the class with the smallest key among those that contain it. A class belongs to the region of a
+   pivot if one of its rarest shingles has that pivot. Two linked classes have one of their rarest shingles in common, hence a
+   region. A pair with several regions in common is looked at in the one with the smallest pivot.
+3. A region with many members gets pivots of its own, and each member the Voronoi cell of its nearest. Members whose distance to
+   another cell's pivot is within the window of twice the radius, and within the radius of the distances that the cell's own
+   members have, are replicated there, and each cell is a region again, until it is small enough. Of a pair with different cells one is replicated to the other's: to the cell that comes first.
+   Cells that pivots don't separate (all members about equally far from each other) are left whole.
+4. Members of a region are compared exactly, in blocks of bounded size: each region's members are dealt to parts, and each pair of
+   parts meets in a task. A block returns one row for each member, with its number of links and its component in the block,
+   never a row for each pair.
 """
 
 from __future__ import annotations
@@ -32,8 +32,14 @@ from .wordhash import mix, shingle_sets
 WORDS = 5
 #: A link needs DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-MEMBERS = 200
-OUTSIDERS = 64
+#: Members, and shingles of all of them, of a part of a region; a region of up to twice as many members is one part.
+MEMBERS, PART_SHINGLES = 128, 2_000_000
+#: Pivots of a region that is split, and how often parts of it are split again at most.
+PIVOTS, LEVELS = 16, 4
+#: A split is kept if it leaves at most this share of a region's pairs.
+WORTH = 0.7
+#: Shingles that are multiplied out at once when sets are compared.
+COLUMNS = 4096
 POSTINGS = 1_500_000
 #: Buckets of shingles whose counts of nodes meet in one pack.
 PACKED = 2
@@ -226,84 +232,169 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.toDF(*df.columns)
 
 
-def _overlaps(target: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """The intersection of ``target`` with each of ``sets``, none of them empty."""
-    flat = np.concatenate(sets)
-    at = np.minimum(np.searchsorted(target, flat), len(target) - 1)
-    hit = (target[at] == flat).astype(np.int64)
-    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    return np.add.reduceat(hit, np.cumsum(lengths) - lengths)
-
-
-def _to_pivot(left: pa.Table, right: pa.Table) -> pa.Table:
-    if not len(left) or not len(right):
-        return pa.table({k: pa.array([], pa.int64()) for k in ("p", "x", "n", "np", "both")})
-    sets = [np.frombuffer(s, "<u8") for s in left.column("set").to_pylist()]
-    pivot = np.frombuffer(right.column("set")[0].as_py(), "<u8")
-    p = np.full(len(sets), right.column("p")[0].as_py(), np.int64)
-    return pa.table({"p": p, "x": left.column("x"), "n": np.array([len(s) for s in sets], np.int64), "np": np.full(len(sets), len(pivot), np.int64), "both": _overlaps(pivot, sets)})
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``left`` with each of ``right``: products of incidence matrices, some shingles at a time."""
+    flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float64)
+    if not len(both):
+        return out.astype(np.int64)
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, flat[k]), len(both) - 1)
+        there = both[at] == flat[k]
+        at, own = at[there], rows[k][there]
+        order = np.argsort(at, kind="stable")
+        flat[k], rows[k] = at[order], own[order]
+    for first in range(0, len(both), COLUMNS):
+        part = []
+        for k, side in enumerate((left, right)):
+            a, b = np.searchsorted(flat[k], (first, first + COLUMNS))
+            part.append(np.zeros((len(side), min(COLUMNS, len(both) - first)), np.float32))
+            part[k][rows[k][a:b], flat[k][a:b] - first] = 1
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
 
 
 def _linked(both, n, m):
     return DEN * both >= NUM * (n + m - both)
 
 
-def _across(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links u, v between members (left) and outsiders (right) of one block that are in different components.
-
-    Every outsider becomes a pivot once it has been compared: its distances narrow the windows of those after it.
-    """
-    us, vs = [], []
+def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+    """cell, q, x, outer, d: the Voronoi cell of each member (left) among the pivots (right), and the cells before it whose window
+    the member is in, as an outer one. q numbers a region's pivots by their keys, d is the distance to the cell's pivot."""
+    out: list[list] = [[], [], [], []]
     if len(left) and len(right):
-        radius = 1 - NUM / DEN + 1e-9
-        x, comp, n, far = (left.column(c).to_numpy().copy() for c in ("x", "comp", "n", "d"))
-        sets = [np.frombuffer(s, "<u8") for s in left.column("set").to_pylist()]
-        place = {k: i for i, k in enumerate(x.tolist())}
-        seen: list[np.ndarray] = []
-        rows = sorted(zip(*(right.column(c).to_pylist() for c in ("x", "comp", "d", "set"))))
-        now = {}
-        for y, c, d, raw in rows:
-            own = np.frombuffer(raw, "<u8")
-            c = now.get(c, c)
-            ok = (comp != c) & (x != y) & (np.abs(far - d) <= radius) & (DEN * np.minimum(n, len(own)) >= NUM * np.maximum(n, len(own)))
-            if y in place:
-                for distances in seen:
-                    mine = distances[place[y]]
-                    if mine == mine:
-                        ok &= ~(np.abs(distances - mine) > radius)
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            both = _overlaps(own, [sets[i] for i in at])
-            distances = np.full(len(x), np.nan)
-            distances[at] = 1 - both / (n[at] + len(own) - both)
-            if len(seen) < 16:
-                seen.append(distances)
-            for i in at[_linked(both, n[at], len(own))]:
-                if comp[i] != c:
-                    us.append(y)
-                    vs.append(int(x[i]))
-                    old = comp[i]
-                    comp[comp == old] = c
-                    now = {k: (c if v == old else v) for k, v in now.items()} | {int(old): c}
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        pivots = sorted(zip(right.column("q").to_pylist(), right.column("set").to_pylist()))
+        sets = [[np.frombuffer(s, "<u8") for s in column] for column in (left.column("set").to_pylist(), [s for _, s in pivots])]
+        both = _intersections(*sets)
+        n, m = (np.array([len(s) for s in side]) for side in sets)
+        distance = 1 - both / (n[:, None] + m - both)
+        own = distance.argmin(1)
+        least = distance[np.arange(len(n)), own]
+        inside = (distance <= least[:, None] + 2 * (1 - NUM / DEN) + 1e-9) & (np.arange(len(m)) < own[:, None])
+        row, q = np.nonzero(inside)
+        x = left.column("x").to_numpy()
+        out = [[*own.tolist(), *q.tolist()], [*x.tolist(), *x[row].tolist()], [0] * len(own) + [1] * len(q), [*least.tolist(), *distance[row, q].tolist()]]
+    cell = (left if len(left) else right).column("cell")[0].as_py()
+    return pa.table({"cell": pa.array([cell] * len(out[0]), pa.int64()), "q": pa.array(out[0], pa.int64()), "x": pa.array(out[1], pa.int64()), "outer": pa.array(out[2], pa.int64()), "d": pa.array(out[3], pa.float64())})
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest number that each row of a symmetric matrix of links reaches."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label, len(label)).min(1, initial=len(label))
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """x, links, root of the members of one block: two parts of a region, or one part with itself.
+
+    Pairs that belong elsewhere are left out: those with a common region of a smaller pivot, and those that are both outer
+    members of a cell.
+    """
+    x, part, outer, w = (table.column(c).to_numpy() for c in ("x", "part", "outer", "w"))
+    sets = [np.frombuffer(s, "<u8") for s in table.column("set").to_pylist()]
+    p = table.column("p").to_numpy()[0]
+    earlier = [(c := np.frombuffer(s, "<i8"))[c < p].view(np.uint64) for s in table.column("regions").to_pylist()]
+    order = np.lexsort((x, part))
+    first, second = (order[part[order] == table.column(side)[0].as_py()] for side in ("a", "b"))
+    n = np.array([len(s) for s in sets])
+    pick = lambda values, rows: [values[i] for i in rows]
+    found = _linked(_intersections(pick(sets, first), pick(sets, second)), n[first][:, None], n[second])
+    found &= (outer[first][:, None] & outer[second]) == 0
+    found &= _intersections([np.unique(e) for e in pick(earlier, first)], [np.unique(e) for e in pick(earlier, second)]) == 0
+    size = len(x)
+    square = np.zeros((size, size), bool)
+    square[np.ix_(first, second)] = found
+    square |= square.T
+    np.fill_diagonal(square, False)
+    links = square.astype(np.int64) @ w
+    root = x[_roots(square)]
+    some = np.flatnonzero(links)
+    return pa.table({"x": x[some], "links": links[some], "root": root[some]})
 
 
 def _salt(key: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(key), parts)
 
 
-def _parts(count: str, size: int) -> Column:
-    return F.ceil(F.col(count) / size).cast("long")
-
-
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links). rows: doc_id, n_shingles, node, component_id for every row of ``docs``; links: u, v between nodes.
+def _numbers(n: Column) -> Column:
+    """0 to n - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _sizes(cells: DataFrame) -> DataFrame:
+    """cell, m and the parts that its members are dealt to, for cells with two members or more."""
+    most = lambda c, n: F.ceil(c / n).cast("long")
+    found = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("_n")).where("m > 1")
+    by_members = F.when(F.col("m") > 2 * MEMBERS, most(F.col("m"), MEMBERS)).otherwise(F.lit(1).cast("long"))
+    return found.select("cell", "m", F.greatest(by_members, most(F.col("_n"), PART_SHINGLES)).alias("parts"))
+
+
+def _split(big: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, whole): the Voronoi cells of regions that are worth splitting, and the regions that are not."""
+    by_hash = F.pmod(F.xxhash64(F.lit(level), "x"), F.lit(PIVOTS))
+    pivots = big.groupBy("cell", by_hash.alias("_b")).agg(F.min_by("x", F.xxhash64(F.lit(-level - 1), "x")).alias("q"), F.first("parts").alias("parts"))
+    pivots = materialize(pivots.select("cell", "q", "parts"), "ngram-pivots")
+    dealt = big.select("cell", "x", _salt("x", F.col("parts")).alias("salt")).join(sets, "x")
+    sent = pivots.join(sets.withColumnRenamed("x", "q"), "q").select("cell", "q", "set", _numbers(F.col("parts")).alias("salt"))
+    cells = materialize(dealt.groupBy("cell", "salt").cogroup(_fresh(sent).groupBy("cell", "salt")).applyInArrow(_to_cells, "cell long, q long, x long, outer long, d double"), "ngram-distances")
+    # No link leads to an outer member that is further from the pivot than the cell's own members by more than the radius, or nearer.
+    own = cells.where("outer = 0").groupBy("cell", "q").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    window = (F.col("outer") == 0) | F.col("d").between(F.col("least") - (1 - NUM / DEN) - 1e-9, F.col("most") + (1 - NUM / DEN) + 1e-9)
+    cells = materialize(cells.join(own, ["cell", "q"]).where(window).select("cell", "q", "x", "outer"), "ngram-cells")
+    per = cells.groupBy("cell", "q").agg(F.count_if(F.col("outer") == 0).alias("h"), F.count("*").alias("m"))
+    pairs = per.groupBy("cell").agg(F.sum(F.col("h") * (F.col("m") - F.col("h") / 2)).alias("after"))
+    worth = materialize(pairs.join(big.groupBy("cell").agg(F.first("m").alias("m")), "cell").where(F.col("after") <= WORTH * F.col("m") * F.col("m") / 2).select("cell"), "ngram-worth")
+    rest = ["cell", "p", "x", "n", "outer"]
+    children = cells.withColumnRenamed("outer", "_o").join(worth, "cell").join(big.select(*rest), ["cell", "x"])
+    bit = F.shiftleft(F.col("_o"), level).bitwiseOR(F.col("outer"))
+    return children.select(F.xxhash64("cell", "q").alias("cell"), "p", "x", "n", bit.alias("outer")), big.join(worth, "cell", "left_anti").select(*rest)
+
+
+def _compared(members: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFrame:
+    """x, links and root of every member of every block of the regions ``members`` (p, x, n)."""
+    regions = members.groupBy("x").agg(F.sort_array(F.collect_list("p")).alias("_p"))
+    number = pa.binary()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, "<i8").tobytes() for v in batch.column(1).to_pylist()], number)], ["x", "regions"])
+
+    facts = materialize(sets.join(regions.mapInArrow(packed, "x long, regions binary"), "x").join(weights, "x"), "ngram-facts")
+    todo = members.select(F.col("p").alias("cell"), "p", "x", "n", F.lit(0).cast("long").alias("outer"))
+    done = []
+    for level in range(LEVELS):
+        sized = materialize(todo.join(_sizes(todo), "cell"), "ngram-regions-sized")
+        big = sized.where(F.col("m") > 2 * MEMBERS)
+        done.append(sized.where(F.col("m") <= 2 * MEMBERS).drop("m", "parts"))
+        if big.isEmpty():
+            todo = None
+            break
+        todo, whole = _split(big, sets, level)
+        todo = materialize(todo, "ngram-todo")
+        done.append(whole)
+    for more in [*done[1:], *([todo] if todo is not None else [])]:
+        done[0] = done[0].unionByName(more)
+    cells = materialize(done[0], "ngram-done")
+    placed = cells.join(_sizes(cells), "cell").withColumn("part", _salt("x", F.col("parts"))).withColumn("other", _numbers(F.col("parts")))
+    placed = placed.select("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "p", "x", "outer", "part")
+    return placed.join(facts, "x").groupBy("cell", "a", "b").applyInArrow(_compare, "x long, links long, root long")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, node, component_id and n_links for every row of ``docs``.
 
     A text's words are runs of other characters than space and tab to carriage return, A-Z lower-cased; its set has its
     distinct five-word shingles, or its whole sequence if it has fewer words. Two rows link if their sets' intersection is
-    at least 80 % of their union. ``node`` stands for a set and component_id is the smallest doc_id reachable by links. links
-    has enough pairs of nodes to connect each component: pairs that are known to be connected already are left out.
+    at least 80 % of their union. ``node`` stands for a set, component_id is the smallest doc_id reachable by links, and n_links
+    the number of other rows that the row links with.
 
     Null and empty texts, and texts of white space, have an empty set, link with nothing (not even each other) and are
     components of their own. Null ids are never a component_id unless all ids of the component are null. Rows may repeat
@@ -315,7 +406,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare_tasks(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_classes(docs), "ngram-rows")
-    classes = materialize(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = materialize(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w")), "ngram-classes")
     shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-shingles * 2 // 5 // POSTINGS))
@@ -338,38 +429,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(sets.dropDuplicates(["x"]).withColumn("batch", F.pmod(F.xxhash64("x"), F.lit(batches))), "ngram-sets")
 
     members = materialize(_regions(sets, max(partitions, -(-left // POSTINGS))), "ngram-regions")
-    sizes = materialize(members.groupBy("p").agg(F.count("*").alias("m")).where("m > 1"), "ngram-sizes").withColumn("parts", _parts("m", MEMBERS))
-    plain = sets.select("x", "set")
-    salted = members.join(sizes, "p").withColumn("salt", _salt("x", F.col("parts"))).select("p", "salt", "x").join(plain, "x")
-    pivots = sizes.join(plain.withColumnRenamed("x", "p"), "p").select("p", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
-    near = salted.groupBy("p", "salt").cogroup(_fresh(pivots).groupBy("p", "salt")).applyInArrow(_to_pivot, "p long, x long, n long, np long, both long")
-    near = materialize(near, "ngram-distances")
-    first = materialize(near.where((F.col("x") != F.col("p")) & _linked(F.col("both"), F.col("n"), F.col("np"))).select(F.col("p").alias("u"), F.col("x").alias("v")), "ngram-links")
-    known = connected_components(first, "ngram-first")
-
-    placed = near.join(known.withColumnRenamed("node", "x"), "x", "left").select(
-        "p", "x", "n", (1 - F.col("both") / (F.col("n") + F.col("np") - F.col("both"))).alias("d"), F.coalesce("component", "x").alias("comp")
-    )
-    placed = materialize(placed, "ngram-placed")
-    per = placed.groupBy("p", "comp").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("p").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
-    open_ = open_.select("p", F.col("main.comp").alias("main"), _parts("m", MEMBERS).alias("parts"), F.ceil((F.col("m") - F.col("main.c")) / OUTSIDERS).cast("long").alias("chunks"))
-    inside = materialize(placed.join(materialize(open_, "ngram-open"), "p"), "ngram-inside")
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    block = ["p", "salt", "chunk"]
-    ours = inside.select("p", "x", "n", "d", "comp", _salt("x", F.col("parts")).alias("salt"), spread("chunks").alias("chunk")).join(plain, "x")
-    others = inside.where("comp <> main").select("p", "x", "d", "comp", _salt("x", F.col("chunks")).alias("chunk"), spread("parts").alias("salt")).join(plain, "x")
-    second = ours.groupBy(block).cogroup(_fresh(others).groupBy(block)).applyInArrow(_across, "u long, v long")
-    links = materialize(first.unionByName(second), "ngram-all-links")
-
-    final = connected_components(links, "ngram-final").withColumnRenamed("node", "a")
-    joined = classes.join(final, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    weights = classes.join(alive.select("a"), "a").select(F.col("a").alias("x"), "w")
+    compared = materialize(_compared(members, sets.select("x", "set"), weights), "ngram-compared")
+    final = connected_components(compared.select(F.col("root").alias("u"), F.col("x").alias("v")), "ngram-final").withColumnRenamed("node", "a")
+    counts = compared.groupBy(F.col("x").alias("a")).agg(F.sum("links").alias("links"))
+    joined = classes.join(final, "a", "left").join(counts, "a", "left").withColumn("component", F.coalesce("component", "a"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(joined.join(smallest, "component").select("a", "b", "n", "component_id"), "ngram-named")
+    links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
+    named = materialize(joined.join(smallest, "component").select("a", "b", "n", "component_id", links.alias("n_links")), "ngram-named")
     out = rows.join(named, ["a", "b", "n"], "left")
+    some = F.col("n") > 0
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("node"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ), links
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("a")).alias("node"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,15 +451,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without words stay; so do rows of components that have null ids only, one of each set. Ids should be distinct, as
     exact dedup leaves them; if an id repeats, rows of it stay together with the one that is kept unless they are equal.
     """
-    rows, _ = jaccard_classes(docs, id_col, text_col)
+    rows = jaccard_classes(docs, id_col, text_col)
     gone = materialize(rows.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id"), "ngram-gone")
     other = unused(docs.columns, "_gone")
     return docs.join(hint_small(gone.withColumnRenamed("doc_id", other), 16), F.col(id_col) == F.col(other), "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_shingles", "component_id")
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP3_SQL = r"""
@@ -398,6 +470,6 @@ sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.component_id
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.component_id, (SELECT count(*) FROM links WHERE u = d.doc_id)::BIGINT AS n_links
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u) m USING (doc_id)
 """

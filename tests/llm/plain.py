@@ -40,6 +40,17 @@ def components(rows):
     return {i: least.get(find(i)) for i in range(len(rows))}
 
 
+def link_counts(rows):
+    """{row number: number of other rows it links with} of (doc_id, text) rows."""
+    sets, found = [shingles(t) for _, t in rows], dict.fromkeys(range(len(rows)), 0)
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                found[i] += 1
+                found[j] += 1
+    return found
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):

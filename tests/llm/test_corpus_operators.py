@@ -5,6 +5,7 @@ import hashlib
 import uuid
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,27 +62,44 @@ def test_long_texts_with_equal_prefixes_are_told_apart(spark):
 
 def check_components(df):
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    found, _ = ngram_join.jaccard_classes(df)
-    want = plain.components(rows)
-    ours = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
-    assert ours == sorted(((d, len(plain.shingles(t)), want[i]) for i, (d, t) in enumerate(rows)), key=str)
+    want, links = plain.components(rows), plain.link_counts(rows)
+    ours = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect()), key=str)
+    assert ours == sorted(((d, len(plain.shingles(t)), want[i], links[i]) for i, (d, t) in enumerate(rows)), key=str)
 
 
 def test_components_of_odd_rows(odd, empty):
     check_components(odd)
-    assert ngram_join.jaccard_classes(empty)[0].count() == 0
+    assert ngram_join.jaccard_classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("members", [200, 3])
-def test_components_equal_brute_force(spark, monkeypatch, members):
-    """With small blocks as well, so that regions are salted and outsiders chunked."""
+@pytest.mark.parametrize(("members", "worth"), [(128, 0.7), (3, 0.7), (2, 9.0)])
+def test_links_equal_brute_force(spark, monkeypatch, members, worth):
+    """With small parts as well, so that regions are split into cells, again and again, and compared in blocks."""
     from llm_data import near_copies
 
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
-    monkeypatch.setattr(ngram_join, "OUTSIDERS", 2 if members == 3 else 64)
+    monkeypatch.setattr(ngram_join, "WORTH", worth)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 4 if members < 128 else 16)
     check_components(frame(spark, near_copies(seed=members)))
 
 
+def test_all_links_of_a_group_are_counted(spark):
+    words = [f"g{i}" for i in range(300)]
+    texts = [" ".join([*words[:k * 10], f"own{k}", *words[k * 10 + 1 :]]) for k in range(20)]
+    found = ngram_join.jaccard_classes(frame(spark, texts)).collect()
+    assert sum(r.n_links for r in found) == 2 * 190 and {r.component_id for r in found} == {0}
+
+
+def test_regions_become_cells(spark):
+    """Clusters around the members of one region: cells leave most pairs out, and replicate what lies between."""
+    sets = [np.sort(np.concatenate([np.arange(20), 1000 * (c + 1) + np.arange(40), [10**6 + i]])).astype("<u8") for c in range(8) for i in range(40)]
+    rows = [(0, 0, i, len(s), 0, 320, 3) for i, s in enumerate(sets)]
+    big = spark.createDataFrame(rows, "cell long, p long, x long, n long, outer long, m long, parts long")
+    cells, whole = ngram_join._split(big, spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "x long, set binary"), 0)
+    per = cells.groupBy("cell").agg(F.count_if(F.col("outer") == 0).alias("home"), F.count_if(F.col("outer") > 0).alias("guests")).collect()
+    assert whole.count() == 0 and sum(r.home for r in per) == 320 and sum(r.home * (r.home + 2 * r.guests) for r in per) < 0.7 * 320**2
+
+
 def test_links_at_the_threshold(spark):
     """Sets of 9 and 9 with 8 in common: 8 of 10, which links; 7 of 11 doesn't."""
     w = [f"t{i}" for i in range(13)]
