@@ -23,15 +23,20 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder shared by driver and executors, from ``spark.checkpoint.dir``; where that is unset, a new local one in local
+    mode, and an error on a cluster, whose executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 _made: list[str] = []
+#: Paths of written tables that are to be discarded before the driver ends, by the identity of their DataFrame.
+_written: dict[int, str] = {}
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -40,12 +45,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return _made[-1]
 
 
+def remove(path: str) -> None:
+    with contextlib.suppress(Exception):  # what can't be reached here is left to whoever keeps the folder
+        system, name = open_fs(path)
+        system.delete_dir(name)
+
+
 @atexit.register
 def remove_scratch() -> None:
     for path in _made:
-        with contextlib.suppress(Exception):  # what can't be reached here is left to whoever keeps the folder
-            system, name = open_fs(path)
-            system.delete_dir(name)
+        remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for ``table``, which nothing reads any more."""
+    if path := _written.pop(id(table), None):
+        remove(path)
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -57,12 +72,18 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(table)] = path
+    return table
+
 
+def hint_small(table: DataFrame, row_bytes: int, *texts: str) -> DataFrame:
+    """``table`` (materialized) with a broadcast hint if its measured size allows it; else as it is, and the join shuffles.
 
-def hint_small(table: DataFrame, row_bytes: int) -> DataFrame:
-    """``table`` (materialized) with a broadcast hint if its counted size allows it; else as it is, and the join shuffles."""
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+    The size is ``row_bytes`` for each row, and what the columns ``texts`` hold.
+    """
+    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(row_bytes))
+    return F.broadcast(table) if (table.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 def unused(columns: Iterable[str], name: str) -> str:
@@ -74,8 +95,8 @@ def unused(columns: Iterable[str], name: str) -> str:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z and nothing else. Where all characters are ASCII, which lengths tell, Spark's own lower case does the same, sooner."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 _shipped: set[str] = set()
@@ -100,7 +121,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare_tasks(spark: SparkSession, rows: int = 2000, max_bytes: int = 16 << 20) -> None:
-    """Before Python functions run in tasks: bound what a worker is handed at once, in rows and bytes, and ship the package."""
+    """Before Python functions run in tasks: bound what a worker is handed at once, in rows and bytes, and ship the package.
+
+    The bounds are settings of the session, which Spark reads when a query starts; so they are set here and stay set.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hint_small, lower_ascii, materialize
+from .common import UPPER, hint_small, lower_ascii, materialize
 
 PREFIX_CHARS = 256
 KEY = ["_len", "_prefix", "_full"]
 
 
 def _refined(docs: DataFrame, text_col: str, prefix_chars: int) -> DataFrame:
-    """``docs`` with _text (normalised), _len, _prefix and _full; _full is null for rows that length or prefix hash shows to be alone."""
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    shaped = docs.withColumn("_text", text).withColumn("_len", F.octet_length("_text").cast("long"))
+    """``docs`` with _len, _prefix and _full; _full is null for rows that length or prefix hash shows to be alone.
+
+    Each pass reads only what it needs: lengths are those of the texts as they are, for lower case keeps them; prefixes are cut
+    before they are lower-cased; whole texts are lower-cased and hashed only where a prefix recurs.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    shaped = docs.withColumn("_len", F.octet_length(text).cast("long"))
     lengths = materialize(shaped.groupBy("_len").count().where("count > 1").select("_len", F.lit(True).alias("_same_len")), "dedup-lengths")
-    # The second pass hashes a prefix only where another row has the length, the third reads whole texts only where a prefix recurs.
-    prefixed = shaped.join(hint_small(lengths, 16), "_len", "left").withColumn(
-        "_prefix", F.when(F.col("_same_len"), F.xxhash64(F.substring("_text", 1, prefix_chars)))
-    )
+    prefix = F.xxhash64(F.translate(F.substring(text, 1, prefix_chars), UPPER, UPPER.lower()))
+    prefixed = shaped.join(hint_small(lengths, 16), "_len", "left").withColumn("_prefix", F.when(F.col("_same_len"), prefix))
     prefixes = materialize(
         prefixed.where("_same_len").groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix", F.lit(True).alias("_same_prefix")),
         "dedup-prefixes",
     )
-    full = F.when(F.col("_same_prefix"), F.sha2("_text", 256))
+    full = F.when(F.col("_same_prefix"), F.sha2(lower_ascii(text), 256))
     return prefixed.join(hint_small(prefixes, 32), ["_len", "_prefix"], "left").withColumn("_full", full)
 
 
@@ -39,20 +41,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Groups are formed by length, then by hash of a prefix, then by SHA-256 of the whole text, each step only for rows which
     the one before could not tell apart. Rows of known singletons take no part in the last grouping's comparison of texts.
     """
-    extra = [F.sha2("_text", 256).alias("text_sha256")] if digest else []
+    # The digest of a text that is not alone is its full hash; only the others are hashed for it.
+    digests = [F.coalesce("_full", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)).alias("text_sha256")] if digest else []
+    out = ["doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if digest else [])]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    refined = materialize(_refined(plain, "text", prefix_chars).select("doc_id", *KEY, *extra), "dedup-rows")
-    alone = refined.where(F.col("_full").isNull()).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *(["text_sha256"] if digest else [])
-    )
+    refined = materialize(_refined(plain, "text", prefix_chars).select("doc_id", *KEY, *digests), "dedup-rows")
     shared = refined.where(F.col("_full").isNotNull())
-    groups = shared.groupBy(KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    best = shared.join(groups, KEY).withColumn("_best", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    out = ["doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if digest else [])]
+    groups = shared.groupBy(KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # A group's row goes to its members, broadcast if all groups' rows are measured small; else both sides are shuffled, and a
+    # group that is too large for a task is split by Spark at run time, for its other side has one row.
+    judged = refined.join(hint_small(materialize(groups, "dedup-groups"), 120), KEY, "left")
+    judged = judged.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    judged = judged.withColumn("keep_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")))
+    winner = (F.col("group_size") == 1) | F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Only rows that have their group's largest id can tie; the others, however many, pass without being numbered.
+    single = judged.where((F.col("group_size") == 1) | ~winner).withColumn("kept", F.col("group_size") == 1)
+    tied = judged.where((F.col("group_size") > 1) & winner)
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) == 1
-    grouped = best.where(~F.col("_best")).withColumn("kept", F.lit(False)).select(out).unionByName(best.where("_best").withColumn("kept", first).select(out))
-    return alone.unionByName(grouped)
+    return single.select(out).unionByName(tied.withColumn("kept", first).select(out))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:

@@ -19,7 +19,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     share ``share`` times all words by weight. No target exceeds ``cap`` times its source's size; what is cut off goes to
     the others by weight until none is above. That end state is a water level: sources are capped in order of cap / weight
     for as long as the level that the rest would get is at or above their cap. Needs ``share <= cap``.
-    A source without words gets 0. Returns source, source_size, weight, target.
+    A source without words gets 0. Returns source, source_size, weight, target. One task ranks all sources, a row each; a
+    million of them are a few dozen MB.
     """
     if share > cap:
         raise ValueError("share must not exceed cap")
@@ -55,7 +56,7 @@ def systematic_copies(
     """Copies of each document in the mix, by systematic sampling within each source.
 
     A document's expected copies are target / source size, at most ``cap``. Within a source, documents stand in the order
-    (words, keyed md5, id); their expected copies are summed up along it, one random offset per source is added, and a copy
+    (words, keyed md5, id, hash of the text); their expected copies are summed up along it, one random offset per source is added, and a copy
     is emitted for each integer passed. Order by size keeps a source's words within about one document of its target.
 
     The order is never formed in one task: sizes are counted per source, keyed buckets per size, and rows are numbered only
@@ -63,13 +64,14 @@ def systematic_copies(
 
     Null text counts as 0 words; null source is a source of its own, last; null ids share one place in the order. Rows that
     repeat are rows of their own and may differ in copies. Empty input gives no rows. Only the three named columns are read.
-    Returns id, source, size, source_size, target, copies, taken.
+    Returns doc_id, source, size, source_size, target, copies, taken and text_hash.
     """
     sized = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _source_key(source_col).alias("_s"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_h"),
+            F.xxhash64(text_col).alias("_t"),
         ).withColumn("_b", F.substring("_h", 1, 2)),
         "mix-sized",
     )
@@ -85,28 +87,29 @@ def systematic_copies(
     run_base = runs.select("_s", "size", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_run"))
     before = Window.partitionBy("_s", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.select("_s", "size", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_bucket"))
-    bases = bases.join(run_base, ["_s", "size"]).join(hint_small(materialize(targets, "mix-targets"), 200), "_s")
-    place = F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id"))
+    bases = bases.join(run_base, ["_s", "size"]).join(hint_small(materialize(targets, "mix-targets"), 64, "_s"), "_s")
+    place = F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id", "_t"))
     rows = sized.withColumn("_i", place).join(bases, ["_s", "size", "_b"]).withColumn("_i", F.col("_i") + F.col("_bucket") + F.col("_run"))
     copies = F.floor(F.col("_u") + F.col("_i") * F.col("_e")) - F.floor(F.col("_u") + (F.col("_i") - 1) * F.col("_e"))
     return rows.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_t").alias("text_hash")
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as ``systematic_copies`` takes it, all columns unchanged.
 
-    Copies are decided per (id, source, size); rows that agree in all three and differ in copies take theirs in any order.
+    Copies are decided per (id, source, text hash); rows that agree in all three have one text and take theirs in any order.
+    Nulls, repeats and empty input are as in ``systematic_copies``.
     """
     taken = systematic_copies(docs, id_col, text_col, source_col, **options)
-    _id, _source, _n, _size, _copies, _take = (unused(docs.columns, c) for c in ("_id", "_source", "_n", "_size", "_copies", "_take"))
-    taken = materialize(taken.groupBy(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col("size").alias(_n)).agg(F.sort_array(F.collect_list("copies")).alias(_copies)), "mix-copies")
-    rows = docs.withColumn(_size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col(id_col).eqNullSafe(F.col(_id)) & F.col(source_col).eqNullSafe(F.col(_source)) & (F.col(_size) == F.col(_n))
-    joined = rows.join(hint_small(taken, 64), same)
+    _id, _source, _t, _hash, _copies, _take = (unused(docs.columns, c) for c in ("_id", "_source", "_t", "_hash", "_copies", "_take"))
+    taken = materialize(taken.groupBy(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col("text_hash").alias(_t)).agg(F.sort_array(F.collect_list("copies")).alias(_copies)), "mix-copies")
+    rows = docs.withColumn(_hash, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(_id)) & F.col(source_col).eqNullSafe(F.col(_source)) & (F.col(_hash) == F.col(_t))
+    joined = rows.join(hint_small(taken, 96, _source), same)
     single = joined.where(F.size(_copies) == 1).withColumn(_take, F.col(_copies)[0])
-    nth = F.row_number().over(Window.partitionBy(_id, _source, _n).orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy(_id, _source, _t).orderBy(F.lit(1)))
     repeated = joined.where(F.size(_copies) > 1).withColumn(_take, F.element_at(_copies, nth))
     both = single.unionByName(repeated).where(F.col(_take) > 0)
     return both.withColumn(_take, F.explode(F.array_repeat(F.lit(0), F.col(_take).cast("int")))).select(docs.columns)
