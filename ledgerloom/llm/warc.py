@@ -7,6 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,32 +32,41 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
-    """One record as a gzip member; a revisit holds headers only."""
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as a gzip member: an HTTP response, of which a revisit holds the header only.
+
+    Its id names the page and, unless others may refer to it, is made unique by a random part.
+    """
     name = "null" if page_id is None else str(page_id)
-    block = b"" if revisit else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
+    unique = f":{uuid.uuid4().hex}" if revisit or page_id is None else ""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <urn:page:{name}:{digest}{unique}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Write one record per row and return the manifest (path, n_records, n_bytes), itself a written table.
 
     Of records with equal payloads of at least ``min_bytes`` bytes, that with the smallest id is a response and the others
     are revisits; smaller payloads are all responses. Null payloads count as empty. Null ids are largest. If the smallest id
-    occurs more than once in a group, all its rows are responses; of a group of null ids only, all rows are. Ids are 64-bit
-    integers. Other columns are ignored.
+    occurs more than once in a group, all its rows are responses (with one record id, for nothing tells them apart); of a group
+    of null ids only, all rows are. Ids may be numbers or texts without white space. ``date`` is the records' WARC-Date, by
+    default the present. Empty input writes nothing. Other columns are ignored.
 
     ``folder`` keeps the archives; without it they go to the scratch folder and are removed when the driver ends. Driver and
     tasks open it with pyarrow, so it must be a file system that pyarrow knows (a shared mount, HDFS, an object store).
@@ -66,7 +76,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     """
     spark = pages.sparkSession
     prepare_tasks(spark)
-    folder = folder or new_path(spark, "warc")
+    folder, date = folder or new_path(spark, "warc"), date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("_sha", F.sha1("payload")).withColumn("_n", F.octet_length("payload"))
     groups = rows.where(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.min("page_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
@@ -83,7 +93,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
                     system.create_dir(root, recursive=True)
                     path = f"{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(f"{root}/{path}", compression=None)
-                size += out.write(record := record_bytes(page_id, url, payload.encode(), digest, first, again)) or len(record)
+                size += out.write(record := record_bytes(page_id, url, payload.encode(), digest, first, again, date)) or len(record)
                 n += 1
         if out is not None:
             out.close()
@@ -139,33 +149,65 @@ def next_record(window: _Window, offset: int, end: int) -> int | None:
     return None
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, body = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    return fields, body[: int(fields["Content-Length"])]
+def header_fields(lines: bytes) -> dict[str, str]:
+    """Fields by lower-case name; of a repeated one the first; a line that begins with white space goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines.decode("utf-8", "replace").split("\n")[1:]:
+        line = line.rstrip("\r")
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            found, _, value = line.partition(":")
+            name = found.strip().lower()
+            fields.setdefault(name, value.strip())
+    return fields
 
 
-def _page(urn: str | None) -> int | None:
-    name = (urn or "null").strip("<>").rpartition(":")[2]
-    return None if name == "null" else int(name)
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isascii() and text.isdigit() else None
 
 
-FIELDS = "path string, offset long, end long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, digest_ok boolean"
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes | None, int | None]:
+    """Header fields, the payload, and its length; of a revisit no payload, and the length that its HTTP header says, if any.
 
+    The payload of an HTTP message is what follows its own header; of other records it is the whole block.
+    """
+    head, _, body = data.partition(b"\r\n\r\n")
+    fields = header_fields(head)
+    length = _number(fields.get("content-length"))
+    if length is None or length > len(body):
+        raise ValueError("no block of the stated length")
+    block, http = body[:length], None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        lines, found, rest = block.partition(b"\r\n\r\n")
+        http, block = header_fields(lines), rest if found else b""
+    if fields.get("warc-type", "").lower() == "revisit":
+        return fields, None, _number(http.get("content-length")) if http else None
+    return fields, block, len(block)
 
-def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = False) -> DataFrame:
+
+FIELDS = "path string, offset long, end long, record_id string, url string, date string, record_type string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean"
+
+
+def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = False, damaged: bool = False) -> DataFrame:
     """Records of the archives listed in ``files`` (path, n_bytes): one row each, with ``payload`` also the payload (null for revisits).
 
+    Archives may come from any writer: names of header fields are matched without regard to case, and records of any type, with
+    any ids and without digests, are read. payload_digest is the header's as base32 of SHA-1, or computed where there is none; of a
+    revisit without one it is null. ``digest_ok`` tells whether the payload has the digest its header says; it is null for
+    revisits and where the header has none, or one of another kind, which is then given as it stands.
+
     Each task has a byte range. It looks for gzip magic, takes a member for a record if its first bytes decode to a WARC
     version line, and owns the records that start inside its range, reading past its end where a record does. A range
     that begins inside a stored payload might take an archive quoted there for records: such rows lie before the end of a
-    record found further up in the file, and are removed by one pass over offsets in each file. ``digest_ok`` tells
-    whether a response's payload has the digest and length its header says. A corrupt member between two records is
-    skipped to the next valid one; a file cut short inside a record raises. No files give no rows.
+    record found in an earlier range, and are removed by the furthest end of each range, a small table. A member that begins
+    as a record but can't be decoded or parsed is skipped, and the search goes on behind its magic; with ``damaged`` it is a row of
+    that type, so that such members can be counted. No files give no rows.
     """
     spark = files.sparkSession
     prepare_tasks(spark)
-    schema = FIELDS + (", payload binary" if payload else "")
+    schema = f"part long, {FIELDS}" + (", payload binary" if payload else "")
     ranges = files.where("n_bytes > 0").select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
@@ -180,13 +222,25 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
                     window = _Window(handle)
                     at = next_record(window, start, end)
                     while at is not None and at < end:
-                        data, after = read_member(window, at)
-                        fields, body = parse_record(data)
-                        kind = fields["WARC-Type"]
-                        digest, length = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-                        good = kind == "revisit" or (len(body) == length and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest)
-                        rows.append([path, at, after, _page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, _page(fields.get("WARC-Refers-To")), digest, length, good] + [body if kind == "response" else None] * payload)
-                        held += len(body) * payload + 300
+                        try:
+                            data, after = read_member(window, at)
+                            fields, body, length = parse_record(data)
+                        except (zlib.error, ValueError):
+                            rows.append([start, path, at, at, None, None, None, "damaged", None, None, None, None] + [None] * payload)
+                            at = next_record(window, at + 1, end)
+                            continue
+                        digest = fields.get("warc-payload-digest")
+                        kind, _, stated = digest.partition(":") if digest else ("", "", "")
+                        mine = base64.b32encode(hashlib.sha1(body).digest()).decode() if body is not None else None
+                        known = kind.lower() == "sha1" and len(stated) == 32
+                        shown = stated.upper() if known else digest or mine
+                        rows.append(
+                            [
+                                start, path, at, after, fields.get("warc-record-id", "").strip("<>") or None, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-type", "").lower(),
+                                fields.get("warc-refers-to", "").strip("<>") or None, shown, length, stated.upper() == mine if known and mine else None,
+                            ] + [body] * payload
+                        )
+                        held += len(body or b"") * payload + 300
                         at = after if window.at(after, len(MAGIC)) == MAGIC and is_record(window, after) else next_record(window, after, end)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
@@ -196,14 +250,24 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
 
     total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     # A task has about one range, so that one which is lost costs little.
-    found = ranges.repartition(max(1, -(-total // split_bytes)), "path", "start").mapInArrow(scan, schema)
-    above = F.max("end").over(Window.partitionBy("path").orderBy("offset", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("_above", above).where(F.col("_above").isNull() | (F.col("offset") >= F.col("_above"))).drop("_above")
+    found = materialize(ranges.repartition(max(1, -(-total // split_bytes)), "path", "start").mapInArrow(scan, schema), "warc-records")
+    per = found.groupBy("path", "part").agg(F.max("end").alias("_end"))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = materialize(per.select("path", "part", F.max("_end").over(before).alias("_above")), "warc-ends")
+    owned = found.join(hint_small(per, 24, "path"), ["path", "part"]).where(F.col("_above").isNull() | (F.col("offset") >= F.col("_above")))
+    return (owned if damaged else owned.where("record_type <> 'damaged'")).drop("part", "_above")
+
+
+def page_of(urn: Column) -> Column:
+    """The page id in the record ids that ``write_warc`` gives; null for others and for a null id."""
+    return F.regexp_extract(urn, r"^urn:page:([^:]+):", 1).try_cast("long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    page, first = page_of(F.col("record_id")).alias("page_id"), page_of(F.col("refers_to")).alias("refers_to")
+    ok = F.coalesce("digest_ok", F.lit(True)).alias("digest_ok")
+    return read_warc(manifest).select(page, "payload_bytes", "payload_digest", "record_type", first, ok)
 
 
 OP10_SQL = """

@@ -232,14 +232,20 @@ def digest(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def warc_rows(manifest, *args, **options):
+    rows = warc.read_warc(manifest, *args, **options)
+    return rows.withColumn("page_id", warc.page_of(F.col("record_id"))).withColumn("refers_to", warc.page_of(F.col("refers_to"))).collect()
+
+
 def test_warc_round_trip(spark, odd, tmp_path):
     pages = odd.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "kind", "digest", "revisit")
     manifest = warc.write_warc(pages, f"file://{tmp_path}/w")
     for split in (37, 1000, 1 << 20):
-        rows = warc.read_warc(manifest, split, payload=True).collect()
+        rows = warc_rows(manifest, split, payload=True)
         got = sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in rows), key=str)
         assert got == sorted(((r.page_id, len((r.html or "").encode()), digest((r.html or "").encode())) for r in pages.collect()), key=str)
-        assert all(r.digest_ok and (r.record_type == "revisit" or digest(r.payload) == r.payload_digest) for r in rows)
+        assert all(r.digest_ok is None and r.payload is None if r.record_type == "revisit" else r.digest_ok and digest(r.payload) == r.payload_digest for r in rows)
+        assert all(r.date for r in rows) and len({r.record_id for r in rows}) == len(rows) - 2, "two rows repeat another's id and payload"
     first = {}
     for r in pages.collect():
         if r.page_id is not None:
@@ -252,24 +258,53 @@ def test_warc_round_trip(spark, odd, tmp_path):
 
 def test_small_payloads_are_never_revisits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "long" * 9), (4, "u", "long" * 9)], "page_id long, url string, html string")
-    rows = warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}/w", min_bytes=10)).collect()
+    rows = warc_rows(warc.write_warc(pages, f"file://{tmp_path}/w", min_bytes=10))
     assert {r.page_id: r.refers_to for r in rows} == {1: None, 2: None, 3: None, 4: 3}
 
 
-def test_reader_is_not_fooled(spark, tmp_path):
-    """Gzip magic in payloads, an archive quoted in a stored payload, and a damaged member between two records."""
+def archive(spark, tmp_path, data):
+    name = tmp_path / f"{uuid.uuid4().hex}.warc.gz"
+    name.write_bytes(data)
+    return spark.createDataFrame([(f"file://{name}", len(data))], "path string, n_bytes long")
+
+
+def member(head, body=b"", level=6):
     import zlib
 
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n") + packer.flush()
+
+
+def test_reader_is_not_fooled(spark, tmp_path):
+    """Gzip magic in payloads, an archive quoted in a stored payload, and damaged members between two records."""
     inner = warc.record_bytes(99, "u", b"inner", digest(b"inner"))
-    store = zlib.compressobj(0, zlib.DEFLATED, 31)
-    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:{digest(inner * 3)}\r\nX-Payload-Length: {len(inner) * 3}\r\nContent-Length: {len(inner) * 3}\r\n\r\n"
-    quoted = store.compress(head.encode() + inner * 3 + b"\r\n\r\n") + store.flush()
+    quoted = member(["WARC/1.1", "WARC-Type: resource", "WARC-Record-ID: <urn:page:1:x>", "WARC-Target-URI: u", f"WARC-Payload-Digest: sha1:{digest(inner * 3)}"], inner * 3, level=0)
     last = warc.record_bytes(2, "u", b"\x1f\x8b\x08 end", digest(b"\x1f\x8b\x08 end"))
-    name = tmp_path / f"{uuid.uuid4().hex}.warc.gz"
-    name.write_bytes(quoted + b"\x1f\x8b\x08 broken " + last)
-    files = spark.createDataFrame([(f"file://{name}", name.stat().st_size)], "path string, n_bytes long")
+    broken = warc.record_bytes(3, "u", bytes(range(256)) * 20, digest(b""))
+    broken = broken[: len(broken) // 2] + bytes(40) + broken[len(broken) // 2 + 40 :]
+    files = archive(spark, tmp_path, quoted + b"\x1f\x8b\x08 broken " + broken + last)
     for split in (16, 64, 250, 1 << 20):
-        assert sorted((r.page_id, r.digest_ok) for r in warc.read_warc(files, split).collect()) == [(1, True), (2, True)]
+        assert sorted((r.page_id, r.digest_ok) for r in warc_rows(files, split)) == [(1, True), (2, True)]
+        assert sorted(r.record_type for r in warc_rows(files, split, damaged=True)) == ["damaged", "resource", "response"]
+
+
+def test_reader_takes_archives_of_other_writers(spark, tmp_path):
+    """Unknown types, no digests or other ones, ids of any form, names in any case, and a file cut short."""
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/plain\r\n\r\nhello"
+    data = b"".join([
+        member(["WARC/1.0", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z"], b"software: x\r\n"),
+        member(["WARC/1.0", "warc-type: Response", "warc-record-id: <urn:uuid:2>", "Warc-Target-Uri: http://a/", "content-type: application/http; msgtype=response"], http),
+        member(["WARC/1.0", "WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:3>", "WARC-Payload-Digest: md5:abc"], b"m"),
+        member(["WARC/1.0", "WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4>", "WARC-Refers-To: <urn:uuid:2>"]),
+        member(["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:5>"], b"lost" * 500)[:-30],
+    ])
+    for split in (100, 1 << 20):
+        rows = sorted(warc.read_warc(archive(spark, tmp_path, data), split, payload=True, damaged=True).collect(), key=lambda r: r.offset)
+        assert [(r.record_id, r.record_type, r.payload_bytes, r.payload_digest, r.digest_ok, r.refers_to) for r in rows] == [
+            ("urn:uuid:1", "warcinfo", 13, digest(b"software: x\r\n"), None, None), ("urn:uuid:2", "response", 5, digest(b"hello"), None, None),
+            ("urn:uuid:3", "metadata", 1, "md5:abc", None, None), ("urn:uuid:4", "revisit", None, None, None, "urn:uuid:2"), (None, "damaged", None, None, None, None),
+        ]
+        assert bytes(rows[1].payload) == b"hello" and rows[1].url == "http://a/"
 
 
 def test_warc_of_nothing(spark, empty):
