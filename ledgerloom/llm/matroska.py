@@ -18,6 +18,7 @@ from .common import byte_slices, materialize, prepare_tasks
 # Element ids of the format.
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -35,6 +36,7 @@ PAD = b" "
 class Packet(NamedTuple):
     track: int
     timestamp: int
+    duration: int | None
     cluster: int
     block: int
     frame: int
@@ -101,7 +103,7 @@ def encode(payload: bytes) -> bytes:
     ms = FRAME * 1000 // RATE
     head = element(EBML, element(DOC_TYPE, b"matroska"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">f", RATE)) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
-    track = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
+    track = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_TYPE, 2) + unsigned(DEFAULT_DURATION, ms * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
     parts = [element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000)), element(TRACKS, element(TRACK_ENTRY, track))]
     at, cues = sum(map(len, parts)), []
     step = FRAME * BLOCK_FRAMES
@@ -191,7 +193,11 @@ def unlace(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
 
 
 def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a file; raises ValueError if an element is cut short or malformed."""
+    """Tracks, packets and cues of a file; raises ValueError if an element is cut short or malformed.
+
+    A packet lasts its share of its block's duration if the block has one, else its track's default duration, else it is not
+    known how long. A laced packet comes after those before it; where durations aren't known it has its block's timestamp.
+    """
     doc_type, scale, tracks, packets, cues, clusters = "", 1_000_000, [], [], [], []
     for i, a, b in children(data, 0, len(data)):
         if i == EBML:
@@ -207,20 +213,25 @@ def parse(data: bytes) -> Media:
                         e = {m: (u, v) for m, u, v in children(data, p, q)}
                         s = {m: (u, v) for m, u, v in children(data, *e[AUDIO])} if AUDIO in e else {}
                         codec = data[slice(*e[CODEC_ID])].decode() if CODEC_ID in e else ""
-                        tracks.append({"track": number(data, *e[TRACK_NUMBER]), "codec": codec, "bit_depth": number(data, *s[BIT_DEPTH]) if BIT_DEPTH in s else None})
+                        tracks.append({"track": number(data, *e[TRACK_NUMBER]), "codec": codec, "bit_depth": number(data, *s[BIT_DEPTH]) if BIT_DEPTH in s else None, "duration_ns": number(data, *e[DEFAULT_DURATION]) if DEFAULT_DURATION in e else None})
             elif j == CLUSTER:
                 time, nth = 0, 0
                 clusters.append(x)
                 for k, p, q in children(data, x, y):
                     if k == TIMESTAMP:
                         time = number(data, p, q)
-                    inner = [(p, q, True)] if k == SIMPLE_BLOCK else [(u, v, False) for m, u, v in children(data, p, q) if m == BLOCK] if k == BLOCK_GROUP else []
-                    for u, v, simple in inner:
+                    group = list(children(data, p, q)) if k == BLOCK_GROUP else []
+                    lasts = next((number(data, u, v) for m, u, v in group if m == BLOCK_DURATION), None)
+                    for u, v, simple in [(p, q, True)] if k == SIMPLE_BLOCK else [(u, v, False) for m, u, v in group if m == BLOCK]:
                         track, at = read_vint(data, u)
                         relative, flags = struct.unpack_from(">hB", data, at)
                         lacing = flags >> 1 & 3
-                        for f, (s, t) in enumerate(unlace(data, at + 3, v, lacing)):
-                            packets.append(Packet(track, time + relative, len(clusters) - 1, nth, f, LACINGS[lacing], simple and bool(flags & 0x80), s, t))
+                        frames = unlace(data, at + 3, v, lacing)
+                        own = next((e["duration_ns"] for e in tracks if e["track"] == track), None)
+                        ticks = lasts / len(frames) if lasts is not None else own / scale if own is not None else None
+                        for f, (s, t) in enumerate(frames):
+                            begin = time + relative + round(f * (ticks or 0))
+                            packets.append(Packet(track, begin, None if ticks is None else round(ticks), len(clusters) - 1, nth, f, LACINGS[lacing], simple and bool(flags & 0x80), s, t))
                         nth += 1
             elif j == CUES:
                 for k, p, q in children(data, x, y):
@@ -259,13 +270,14 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(store, MEDIA.format(dict(docs.dtypes)[id_col]))
 
 
-PACKETS = "track int, timestamp long, cluster int, block int, frame int, lacing string, keyframe boolean, start long, end long"
+PACKETS = "track int, timestamp long, duration long, cluster int, block int, frame int, lacing string, keyframe boolean, start long, end long"
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per packet: doc_id and the fields of ``Packet``; ``timestamp`` in ticks of the file's scale, byte range end exclusive.
+    """One row per packet: doc_id and the fields of ``Packet``; ``timestamp`` and ``duration`` in ticks of the file's scale, byte range end exclusive.
 
-    Null media gives no packets; a malformed file raises, and Spark reports the task. Ids may be null or repeat.
+    Null media gives no packets; a malformed file raises, and Spark reports the task. Ids may be null or repeat. Empty input gives
+    no rows. Other columns are ignored.
     """
     prepare_tasks(media.sparkSession)
 
@@ -277,7 +289,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 ids += [doc_id] * len(found)
                 rows += found
             columns = list(zip(*rows)) or [[] for _ in Packet._fields]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *Packet._fields]
             )
@@ -289,6 +301,8 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 def features(data: bytes) -> dict:
     """Figures of one stored file, all of them from its packets read back."""
     media = parse(data)
+    if not media.packets:
+        raise ValueError("no packets")
     payload = b"".join([data[p.start : p.end] for p in media.packets])
     counts = dict.fromkeys(LACINGS, 0)
     for p in media.packets:
@@ -296,7 +310,7 @@ def features(data: bytes) -> dict:
     cues_ok = len(media.cues) == len(media.clusters) and all(data[at : at + 4] == element_id(CLUSTER) for _, _, at in media.cues)
     feature = {
         "tracks": len(media.tracks), "clusters": len(media.clusters), "packets": len(media.packets), "cues": len(media.cues), "cues_ok": int(cues_ok),
-        "end_ms": media.packets[-1].timestamp + media.packets[-1].frame * (FRAME * 1000 // RATE) + FRAME * 1000 // RATE,
+        "end_ms": max(p.timestamp + (p.duration or 0) for p in media.packets) * media.timestamp_scale // 1_000_000,
         **{f"laced_{k}": v for k, v in counts.items()}, "level": int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)) // len(payload),
     }
     return {
@@ -306,20 +320,24 @@ def features(data: bytes) -> dict:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of each row of ``text_to_media``, from the stored bytes alone."""
+    """Digests and features of each row of ``text_to_media``, from the stored bytes alone.
+
+    Null media gives nulls; a malformed file raises. Ids may be null or repeat, each row has its own result. Empty input gives no
+    rows. Other columns are ignored.
+    """
     prepare_tasks(media.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "media", 4 << 20):
-            found = [features(m) for m in batch.column("media").to_pylist()]
+            found = [features(m) if m is not None else {} for m in batch.column("media").to_pylist()]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([f[n] for f in found], k) for n, k in zip(names, kinds))], ["doc_id", "n_bytes", *names]
+                [batch.column(0), batch.column(1), *(pa.array([f.get(n) for f in found], k) for n, k in zip(names, kinds))], ["doc_id", "n_bytes", *names]
             )
 
     kind = dict(media.dtypes)["doc_id"]
-    return media.mapInArrow(
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(
         read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
@@ -327,3 +345,20 @@ def media_features(media: DataFrame) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(text_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     return media_features(stored)
+
+
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packet table of each document's file says: packets, blocks, clusters, times in ms and bytes."""
+    stored = materialize(text_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return packet_table(stored).groupBy("doc_id").agg(
+        F.count("*").alias("packets"), F.count_distinct("cluster", "block").alias("blocks"), F.count_distinct("cluster").alias("clusters"),
+        F.sum("timestamp").alias("sum_ms"), F.max(F.col("timestamp") + F.col("duration")).alias("end_ms"), F.sum(F.col("end") - F.col("start")).alias("bytes"),
+        F.count_if("keyframe").alias("keyframes"),
+    )
+
+
+MEDIA_PACKETS_SQL = f"""
+WITH n AS (SELECT doc_id, greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / {FRAME}))::BIGINT AS p FROM documents)
+SELECT doc_id, p AS packets, ceil(p / {BLOCK_FRAMES})::BIGINT AS blocks, ceil(p / {BLOCK_FRAMES * CLUSTER_BLOCKS})::BIGINT AS clusters,
+       ({FRAME * 1000 // RATE} * p * (p - 1) // 2)::BIGINT AS sum_ms, ({FRAME * 1000 // RATE} * p)::BIGINT AS end_ms, ({FRAME} * p)::BIGINT AS bytes, p AS keyframes FROM n
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "media_packets": matroska.media_packets,
 }
 #: Texts that SQL can't give (tokenizers, media files, a fitted model, fuzzy and bootstrapped matches) are tested otherwise.
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "media_packets": matroska.MEDIA_PACKETS_SQL,
 }

@@ -6,7 +6,9 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,16 @@ VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
 #: Bytes of text per call of the encoder.
 BATCH_BYTES = 1 << 20
-#: Segments whose counts a worker remembers before it starts afresh.
-REMEMBERED = 600_000
-#: A cut is safe between a visible ASCII or Latin character and a single space: white space never joins what stands before
-#: it, and the pieces on either side are matched without regard to the other. No special string contains a space.
-UNSAFE = re.compile(r"[^!-~À-ÖØ-öø-ɏ] ")
-SAFE_CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ])(?= )")
+#: Bytes of segments, and of what it takes to keep them, that a process remembers before it starts afresh; longer segments never are.
+REMEMBERED, SHORT = 64 << 20, 64
+#: Characters that are no white space in any sense: visible ASCII, letters and digits of all scripts. A cut between one of them
+#: and white space is safe: white space never joins what stands before it, and the pieces on either side are matched without
+#: regard to the other. No special string contains white space.
+SAFE = r"[!-~\w]"
+SAFE_END = re.compile(SAFE + r"\Z")
+#: So is a cut between a letter and a sign beyond ASCII, such as an ideographic comma: both are matched for as long as their kind
+#: lasts, and special strings and contractions have ASCII signs only.
+SAFE_CUT = re.compile(rf"(?<={SAFE})(?=[ \t\n\r])|(?<=[^\W\d_])(?=[\u3000-\u3003\u3008-\u3011\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -40,38 +46,75 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def segments(text: str) -> list[str]:
-    """``text`` cut at all safe boundaries; joined they give ``text``, and their token counts add up to its own."""
-    if text.startswith(" ") or UNSAFE.search(text):
-        return [s for s in SAFE_CUT.split(text) if s]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + s for s in rest]
-
-
 class Counter:
     """Counts tokens of texts; equal segments are encoded once as long as they are remembered."""
 
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES, remembered: int = REMEMBERED):
-        self.tokenizer, self.batch_bytes, self.remembered, self.known = _tokenizer(path), batch_bytes, remembered, {}
+        self.tokenizer, self.batch_bytes, self.remembered = _tokenizer(path), batch_bytes, remembered
+        self.known: dict[str, int] = {}
+        self.held = 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _encode(self, new: list[str]) -> list[int]:
+        """Numbers of tokens, in calls of about ``batch_bytes``."""
+        counts: list[int] = []
         start = used = 0
         for i, s in enumerate(new):
-            used += len(s)
+            used += len(s) if s.isascii() else len(s.encode())
             if used >= self.batch_bytes or i + 1 == len(new):
-                part = new[start : i + 1]
-                encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update(zip(part, map(len, encoded)))
+                counts += map(len, self.tokenizer.encode_batch_fast(new[start : i + 1], add_special_tokens=False))
                 start, used = i + 1, 0
-
-    def __call__(self, texts: list[str]) -> list[int]:
-        cut = [segments(t) for t in texts]
-        wanted = set().union(*cut)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, wanted
-        self._learn(list(new))
-        return [sum(map(self.known.__getitem__, s)) for s in cut]
+        return counts
+
+    def _count(self, segments: list[str]) -> np.ndarray:
+        """The count of each of some distinct segments; long ones are cut again where that is safe."""
+        out = np.zeros(len(segments), np.int64)
+        known, new, where = self.known, [], []
+        for i, s in enumerate(segments):
+            if (n := known.get(s)) is not None:
+                out[i] = n
+            else:
+                for part in (s,) if len(s) <= SHORT else SAFE_CUT.split(s):
+                    new.append(part)
+                    where.append(i)
+        counts = self._encode(new)
+        np.add.at(out, where, counts)
+        if self.held > self.remembered:
+            self.known, self.held = {}, 0
+        short = [(s, n) for s, n in zip(new, counts) if len(s) <= SHORT]
+        self.known.update(short)
+        self.held += sum(len(s) + 120 for s, _ in short)
+        return out
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """The count of each text. Texts are split at spaces and equal pieces numbered in Arrow, so that each is looked at once."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        full = texts.filter(pa.array(sizes > 0))
+        if not len(full):
+            return out
+        lists = pc.split_pattern(full, pattern=" ")
+        coded = lists.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        # A piece goes with the space before it. Where the one before ends in no safe character the two stay together.
+        begins = np.ones(len(index), bool)
+        begins[1:] = np.array([bool(SAFE_END.search(s)) for s in names])[index[:-1]]
+        begins[bounds[:-1]] = True
+        firsts = np.flatnonzero(begins)
+        lasts = np.append(firsts[1:], len(index))
+        opening = np.zeros(len(index), bool)
+        opening[bounds[:-1]] = True
+        plain = (lasts - firsts == 1) & ~opening[firsts]
+        counts = np.zeros(len(firsts), np.int64)
+        numbers, at = np.unique(index[firsts[plain]], return_inverse=True)
+        counts[plain] = self._count([" " + names[k] for k in numbers.tolist()])[at] if len(numbers) else 0
+        other = np.flatnonzero(~plain)
+        made = [("" if opening[a] else " ") + " ".join([names[k] for k in index[a:b].tolist()]) for a, b in zip(firsts[other].tolist(), lasts[other].tolist())]
+        distinct = list(dict.fromkeys(made))
+        found = dict(zip(distinct, self._count(distinct).tolist()))
+        counts[other] = [found[s] for s in made]
+        out[sizes > 0] = np.add.reduceat(counts, np.searchsorted(firsts, bounds[:-1]))
+        return out
 
 
 def token_counts(
@@ -83,9 +126,10 @@ def token_counts(
     default. Null text counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat; each row gets its own result. Empty
     input gives no rows. Only the two named columns are read, so others may have any name.
 
-    Texts reach the encoder in batches of about ``batch_bytes``. Texts are cut where the vocabulary's own splitting always
-    cuts, so a very long text never makes one large call, and a segment that recurs is encoded once. Only lengths leave the
-    Arrow function. A text without any safe boundary is encoded whole.
+    Texts reach the encoder in batches of about ``batch_bytes``. All texts are cut where the vocabulary's own splitting always
+    cuts: mostly between words, so a very long text never makes one large call, and a segment that recurs is encoded once (which
+    takes less time than whole texts do). Only lengths leave the Arrow function. What has no safe boundary at all is encoded
+    whole, and not remembered.
     """
     path = tokenizer or tokenizer_path()
     prepare_tasks(docs.sparkSession)
@@ -93,9 +137,8 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, batch_bytes)
         for batch in byte_slices(batches, "text", batch_bytes):
-            texts = batch.column("text").to_pylist()
-            n = counter([t or "" for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            n = counter(batch.column("text").fill_null(""))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(

@@ -19,6 +19,8 @@ PREFIXES = (4, 5)
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 5, 0
+#: Rows of the sample that a term must occur in to be looked at by itself; both terms of a pair; the most frequent terms that pair.
+MIN_ROWS, PAIR_ROWS, PAIR_TERMS = 3, 20, 4096
 
 
 @dataclass
@@ -59,18 +61,47 @@ def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64), np.array(bounds)
 
 
-def telling_terms(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, z: float = 3.0, most: int = 1 << 14) -> np.ndarray:
-    """Whether each term is used: it occurs in 3 rows or more, and with label 1 more or less often than chance by ``z`` deviations."""
+def telling(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, z: float = 3.0) -> np.ndarray:
+    """Whether each term is in ``MIN_ROWS`` rows or more, and with label 1 more or less often than chance by ``z`` deviations."""
     own = np.repeat(labels, np.diff(bounds))
     n, ones, share = np.bincount(ids, minlength=size), np.bincount(ids, own, size), labels.mean()
-    score = np.abs(ones - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    score[n < 3] = 0
-    cut = max(z, np.partition(score, size - most)[size - most])
-    return score >= cut
+    return (n >= MIN_ROWS) & (np.abs(ones - n * share) >= z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
+
+
+def telling_pairs(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, most: int = PAIR_TERMS, rows: int = PAIR_ROWS, z: float = 12.0) -> np.ndarray:
+    """Whether each term is half of a pair that tells more than its halves do: of the rows with both, ``rows`` or more, the
+    share with label 1 is above the shares of both terms, or below both, by ``z`` deviations.
+
+    All pairs of the ``most`` most frequent terms are counted, some terms at a time.
+    """
+    used = np.zeros(size, bool)
+    n, own = np.bincount(ids, minlength=size), np.repeat(np.arange(len(labels)), np.diff(bounds))
+    terms = np.argsort(-n, kind="stable")[:most]
+    terms = terms[n[terms] >= rows]
+    place = np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    there = place[ids] >= 0
+    seen = np.zeros((len(labels), len(terms)), np.float32)
+    seen[own[there], place[ids[there]]] = 1
+    ones = seen[labels > 0]
+    rate = np.bincount(ids, np.repeat(labels, np.diff(bounds)), size)[terms] / n[terms]
+    for a in range(0, len(terms), 512):
+        both, toxic = seen[:, a : a + 512].T @ seen[:, a:], ones[:, a : a + 512].T @ ones[:, a:]
+        pair = rate[a : a + 512, None], rate[a:]
+        off = np.zeros(both.shape, bool)
+        for bound, side in ((np.maximum, 1), (np.minimum, -1)):
+            expected = np.clip(both * bound(*pair), 0.5, np.maximum(both - 0.5, 0.5))
+            off |= side * (toxic - expected) >= z * np.sqrt(expected * (1 - expected / np.maximum(both, 1)))
+        off &= both >= rows
+        np.fill_diagonal(off, False)
+        used[terms[a : a + 512][off.any(1)]] = True
+        used[terms[a:][off.any(0)]] = True
+    return used
 
 
 def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 8, batch: int = 16, seed: int = 7) -> Model:
-    """Logistic loss over the telling terms. Linear weights by FTRL with an L1 term, factors by AdaGrad with an L2 term.
+    """Logistic loss over the terms that tell the classes apart, by themselves or as halves of pairs. Linear weights by FTRL with an L1
+    term, factors by AdaGrad with an L2 term.
 
     All other terms have weight 0 and no factors. Without both classes the model gives the share of label 1.
     """
@@ -79,8 +110,7 @@ def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BIT
     model = Model(bits, float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not 0 < labels.sum() < n:
         return model
-    used = telling_terms(ids, bounds, labels, size)
-    keep = used[ids]
+    keep = (telling(ids, bounds, labels, size) | telling_pairs(ids, bounds, labels, size))[ids]
     bounds = np.append(0, np.cumsum(keep))[bounds]
     ids = ids[keep]
     # Weights are fitted on the few terms in use, under numbers of their own.
@@ -169,7 +199,11 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the model does not predict as toxic, with all their columns unchanged."""
+    """Rows of ``docs`` that the model does not predict as toxic, with all their columns unchanged.
+
+    Null and empty texts have the score of the bias. Ids are not looked at, rows may repeat, and each is judged by its own text.
+    Empty input gives no rows.
+    """
     prepare_tasks(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

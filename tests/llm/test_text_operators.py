@@ -5,8 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import plain
 from support import DATA
 from ledgerloom.llm import licenses, matroska, sentencepiece_codec, token_counts, toxicity
@@ -30,15 +33,23 @@ def test_token_counts_are_the_librarys(spark, odd):
     count = lambda t: len(whole.encode(t or "", add_special_tokens=False))
     want = sorted(((r.doc_id, len((r.text or "").encode()), count(r.text), count(r.text) > 1024) for r in odd.collect()), key=str)
     assert by_row(token_counts.token_counts(odd), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
-    counter = token_counts.Counter(token_counts.tokenizer_path(), remembered=50)
-    texts = real_texts(spark)
-    assert counter(texts) == [count(t) for t in texts]
-    assert counter(["a" * 3000 + " b" * 3000, " x", "a  b \n c"]) == [count(t) for t in ("a" * 3000 + " b" * 3000, " x", "a  b \n c")]
+    for remembered in (50, 1 << 20):
+        counter, texts = token_counts.Counter(token_counts.tokenizer_path(), 4000, remembered), real_texts(spark)
+        assert counter(pa.array(texts)).tolist() == [count(t) for t in texts]
+        assert counter.held < remembered + 4000 * 130
+
+
+def test_cuts_are_safe():
+    """Texts of many kinds of characters at random, short and long: counts are those of the library."""
+    import random
 
+    from tokenizers import Tokenizer
 
-def test_segments_join_to_the_text():
-    for t in ("a b  c", " a", "a\n b", "", "é z ", "a  b", "x <|endoftext|> y"):
-        assert "".join(token_counts.segments(t)) == t
+    whole, rng = Tokenizer.from_file(token_counts.tokenizer_path()), random.Random(4)
+    bits = [*" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000", "  ", "\r\n", "a", "Bc", "é", "ß", "字", "漢字", "か", "ไทย", "русский", "عربى", "e\u0301", "7", "٣", "²", "½", ",", ".", "'s", "'", "、", "。", "，", "！", "_", "-", "<|endoftext|>", "<|", "😀", "\u200d", "ͺ", "ªº"]
+    texts = ["".join(rng.choices(bits, k=rng.choice([1, 3, 8, 30, 200]))) for _ in range(3000)] + ["字" * 3000 + "，" + "漢" * 3000]
+    found = token_counts.Counter(token_counts.tokenizer_path(), 4000)(pa.array(texts))
+    assert [t for t, n in zip(texts, found.tolist()) if n != len(whole.encode(t, add_special_tokens=False))] == []
 
 
 def test_empty_inputs(spark, empty):
@@ -72,7 +83,23 @@ def test_packet_table_covers_the_payload(odd):
     packets = matroska.packet_table(media).orderBy("start").collect()
     data = media.first().media
     assert b"".join(data[p.start : p.end] for p in packets).rstrip() == ("wörd " * 3000).encode().rstrip()
-    assert {p.lacing for p in packets} >= {"fixed", "xiph", "ebml"} and [p.timestamp for p in packets] == sorted(p.timestamp for p in packets)
+    assert {p.lacing for p in packets} >= {"fixed", "xiph", "ebml"} and [p.timestamp for p in packets] == [24 * i for i in range(len(packets))]
+    assert {p.duration for p in packets} == {24}
+
+
+def test_media_features_of_null(spark):
+    media = spark.createDataFrame([(1, None, None), (None, 3, bytearray(matroska.encode(b"abc" + b" " * 189)))], "doc_id long, n_bytes long, media binary").withColumn("feature", F.lit(1))
+    found = {r.doc_id: (r.payload_bytes, r.feature and r.feature[:8]) for r in matroska.media_features(media).collect()}
+    assert found == {1: (None, None), None: (192, "tracks=1")} and matroska.packet_table(media).count() == 1
+
+
+def test_media_query_equals_brute_force(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    for r in matroska.op2_media_columns(spark, f"{DATA}/sf0.001").collect():
+        payload = docs[r.doc_id] + b" " * (-len(docs[r.doc_id]) % 192 or (0 if docs[r.doc_id] else 192))
+        n = len(payload) // 192
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert f"packets={n};" in r.feature and f"end_ms={24 * n};" in r.feature and r.feature.endswith(f"level={sum(payload) // len(payload)}")
 
 
 def test_lacings_with_unequal_frames():
@@ -90,6 +117,9 @@ def test_unknown_sizes_groups_and_damage():
     cluster = matroska.element_id(matroska.CLUSTER) + unknown + matroska.unsigned(matroska.TIMESTAMP, 1000) + block
     data = matroska.element_id(matroska.SEGMENT) + unknown + cluster + matroska.element(matroska.CLUSTER, matroska.unsigned(matroska.TIMESTAMP, 2000) + block)
     found = matroska.parse(data).packets
+    assert {p.duration for p in found} == {None}
+    timed = matroska.parse(matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.BLOCK_GROUP, block[2 + (block[1] == 0x41):] + matroska.unsigned(matroska.BLOCK_DURATION, 40))))).packets
+    assert [(p.timestamp, p.duration) for p in timed] == [(7, 20), (27, 20)]
     assert [(p.timestamp, p.cluster, data[p.start : p.end] == payload[:192]) for p in found] == [(1007, 0, True), (1007, 0, False), (2007, 1, True), (2007, 1, False)]
     whole = matroska.encode(payload)
     with pytest.raises(ValueError):
@@ -237,6 +267,23 @@ def test_misspelt_notices_beside_better_ones_are_found():
         assert {(u, v) for u, v, _ in got} <= set(spans) and all(any(u < d and c < v for c, d, _ in got) for u, v in spans)
 
 
+def test_license_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    for r in licenses.op8_license_scan(spark, f"{DATA}/sf0.001").collect():
+        n, places = plain.base_phrases(docs[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        base, labels = r.base_labels.split(","), r.labels.split(",")
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and (not places or (set(base) <= set(labels) and r.score == 1)) and 0 <= r.score <= 1
+
+
+def test_many_adjacent_notices_take_time_in_proportion(spark):
+    import time
+
+    text, began = "all rights resarved " * 20_000, time.perf_counter()
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r.spans) == 20_000 and [(s.start, s.end) for s in r.spans[:2]] == [(0, 3), (3, 6)] and time.perf_counter() - began < 60
+
+
 def test_license_spans_are_words(spark):
     df = spark.createDataFrame([(1, "Intro. Licensed under the Apache Licence, Version 2.0. End")], "doc_id long, text string")
     r = licenses.scan_licenses(df).first()
@@ -273,6 +320,28 @@ def test_pairs_of_terms_are_learnt():
     assert (toxicity.sigmoid(model.logits(test_ids, test_bounds)) >= 0.5).tolist() == [False, False, True, False]
 
 
+def test_pairs_without_marginals_are_learnt():
+    """Toxic if exactly both or none of two terms are there: neither tells anything by itself."""
+    rng, texts, labels = np.random.default_rng(1), [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([*rng.choice([f"n{i}" for i in range(50)], 8), *["insult"] * a, *["group"] * b]).encode())
+        labels.append(float(a == b))
+    ids, bounds = toxicity.term_ids(texts)
+    model = toxicity.fit(ids, bounds, np.array(labels), epochs=12)
+    assert np.mean((toxicity.sigmoid(model.logits(ids, bounds)) >= 0.5) == (np.array(labels) == 1)) > 0.95
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(8, 0.3, rng.normal(size=256), rng.normal(size=(256, 4)))
+    ids, bounds = toxicity.term_ids([b"some words of a text", b"", b"Some other text"], 8)
+    for got, a, b in zip(model.logits(ids, bounds), bounds, bounds[1:]):
+        x = ids[a:b]
+        want = 0.3 + model.linear[x].sum() + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(x) for j in x[:k])
+        assert got == pytest.approx(want)
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
