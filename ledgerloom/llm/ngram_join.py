@@ -371,7 +371,7 @@ def _compared(members: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFr
     todo = members.select(F.col("p").alias("cell"), "p", "x", "n", F.lit(0).cast("long").alias("outer"))
     done = []
     for level in range(LEVELS):
-        sized = materialize(todo.join(_sizes(todo), "cell"), "ngram-regions-sized")
+        sized = materialize(todo.join(hint_small(materialize(_sizes(todo), "ngram-sizes"), 24), "cell"), "ngram-regions-sized")
         big = sized.where(F.col("m") > 2 * MEMBERS)
         done.append(sized.where(F.col("m") <= 2 * MEMBERS).drop("m", "parts"))
         if big.isEmpty():
@@ -383,7 +383,7 @@ def _compared(members: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFr
     for more in [*done[1:], *([todo] if todo is not None else [])]:
         done[0] = done[0].unionByName(more)
     cells = materialize(done[0], "ngram-done")
-    placed = cells.join(_sizes(cells), "cell").withColumn("part", _salt("x", F.col("parts"))).withColumn("other", _numbers(F.col("parts")))
+    placed = cells.join(hint_small(materialize(_sizes(cells), "ngram-sizes"), 24), "cell").withColumn("part", _salt("x", F.col("parts"))).withColumn("other", _numbers(F.col("parts")))
     placed = placed.select("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "p", "x", "outer", "part")
     return placed.join(facts, "x").groupBy("cell", "a", "b").applyInArrow(_compare, "x long, links long, root long")
 
