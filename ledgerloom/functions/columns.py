@@ -10,18 +10,6 @@ DATE_FORMATS = (TIMESTAMP, "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def year(ts: Column) -> Column:
-    return F.year(ts)
-
-
-def hour(ts: Column) -> Column:
-    return F.hour(ts)
-
-
-def month(ts: Column) -> Column:
-    return F.month(ts)
-
-
 def month_text(ts: Column) -> Column:
     return F.date_format(ts, "MM")
 

@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import normalise_user_id
 
 
-def broadcast_below(dim: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``dim`` with a broadcast hint if it has no more than ``rows`` rows (read up to that many), else as it is."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+def broadcast_below(dim: DataFrame, rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """``dim`` with a broadcast hint if it has no more than ``rows`` rows (read up to that many) and ``max_bytes`` bytes, else as it is.
+
+    Bytes are those of its texts and 16 for each column of a row.
+    """
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in dim.dtypes if t in ("string", "binary")]
+    width = sum(texts, F.lit(16 * len(dim.columns)))
+    n, held = dim.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(dim) if n <= rows and (held or 0) <= max_bytes else dim
 
 
 def with_dimension(facts: DataFrame, dim: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -57,9 +63,13 @@ def first_wins(dim: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return _nth(dim, keys, [F.col(c).asc() for c in order])
 
 
-def co_partitioned_join(left: DataFrame, right: DataFrame, key: str, partitions: int, how: str = "inner") -> DataFrame:
-    """Both sides dealt by ``key`` once and merged there; further joins and groupings by the key need no new shuffle."""
-    return left.repartition(partitions, key).hint("merge").join(right.repartition(partitions, key), key, how)
+def co_partitioned_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", strategy: str | None = None) -> DataFrame:
+    """A join by ``key`` after which further joins and groupings by the key need no new shuffle.
+
+    Spark deals both sides by the key, or neither if the tables are stored in buckets of it, broadcasts a side that turns out
+    small and splits keys that turn out too large. ``strategy`` ("merge", "shuffle_hash") forbids the broadcast.
+    """
+    return (left.hint(strategy) if strategy else left).join(right, key, how)
 
 
 def one_input_many_queries(rows: DataFrame, conditions: dict[str, object]) -> dict[str, DataFrame]:

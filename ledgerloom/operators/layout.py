@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket
 
 
-def deal_by_key(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
-    """All rows of a key in one partition, for several operators by that key in a row."""
-    return df.repartition(partitions, *keys)
-
-
 def bucket_owner(df: DataFrame, bucket: str, workers: int) -> DataFrame:
     return df.withColumn("worker", F.col(bucket) % workers)
 
@@ -30,8 +28,12 @@ def write_buckets(df: DataFrame, path: str, key: str, buckets: int, by: Sequence
     placed.repartition(*by, "bucket").write.mode(mode).option("header", True).partitionBy(*by, "bucket").format(fmt).save(path)
 
 
-def append_missing(new: DataFrame, path: str, keys: Sequence[str] = ("chunk_id", "row_number"), fmt: str = "parquet") -> int:
-    """Append the rows of ``new`` whose keys aren't stored yet; returns how many. Delivering a batch again adds nothing."""
+def append_missing(new: DataFrame, path: str, keys: Sequence[str] = ("chunk_id", "row_number"), fmt: str = "parquet", partition_by: str | None = None) -> int:
+    """Append the rows of ``new`` whose keys aren't stored yet; returns how many. Delivering a batch again adds nothing.
+
+    Null keys are equal to null keys. With ``partition_by``, one of the keys, the table has a folder for each of its values, and
+    only the folders of the batch's values are read.
+    """
     spark = new.sparkSession
     fresh = new.dropDuplicates(list(keys))
     try:
@@ -41,21 +43,28 @@ def append_missing(new: DataFrame, path: str, keys: Sequence[str] = ("chunk_id",
             raise
         stored = None
     if stored is not None:
-        fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+        stored = stored.select(*(F.col(k).cast(dict(new.dtypes)[k]).alias(f"_{k}") for k in keys))
+        if partition_by:
+            stored = stored.join(new.select(F.col(partition_by).alias("_here")).distinct(), F.col(f"_{partition_by}").eqNullSafe(F.col("_here")), "left_semi")
+        fresh = fresh.join(stored, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_anti")
     fresh = fresh.persist()
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").format(fmt).save(path)
+            fresh.write.mode("append").partitionBy(*([partition_by] if partition_by else [])).format(fmt).save(path)
         return n
     finally:
         fresh.unpersist()
 
 
 def drop_client(path: str, spark, client_id: str, column: str = "client_id", fmt: str = "parquet") -> None:
-    """Remove a finished client's rows from a table partitioned by client, leaving other partitions untouched."""
-    gone = spark.read.format(fmt).load(path).where(F.col(column) == client_id)
-    uri = f"{path.rstrip('/')}/{column}={client_id}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    if not gone.isEmpty():
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove a finished client's rows from a table partitioned by client, leaving other partitions untouched.
+
+    The folder is taken from the rows that are in it, so it doesn't matter how ids are spelled in its name.
+    """
+    gone = spark.read.format(fmt).load(path).where(F.col(column).cast("string") == client_id)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"^(.*/{re.escape(column)}=[^/]*)/", 1)
+    for row in gone.select(folder.alias("uri")).distinct().collect():
+        system, name = FileSystem.from_uri(row.uri)
+        system.delete_dir(name)
+    spark.catalog.refreshByPath(path)

@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.scratch import scratch_path
 
 
 def number_chunks(rows: DataFrame, file_keys: Sequence[str], order: Sequence[str], size: int = 1000) -> DataFrame:
-    """``rows`` with row_number and chunk_number (from 1) in each file.
+    """``rows`` with row_number and chunk_number (from 1) in each file, by ``order``, which should tell all rows of a file apart.
 
-    Numbers need the order of a file's rows; files are numbered independently of each other, so bound their size as usual.
+    Rows are dealt to ranges of that order and written once; a range is numbered by itself and begins where the counts of those
+    before it end, so a file of any size is spread over tasks.
     """
-    w = Window.partitionBy(*file_keys).orderBy(*order)
-    numbered = rows.withColumn("row_number", F.row_number().over(w))
+    spark = rows.sparkSession
+    path = scratch_path(spark, "ranges")
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *file_keys, *order)
+    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    before = Window.partitionBy(*file_keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*file_keys, "_range").agg(F.count("*").alias("_n"))
+    firsts = counts.select(*(F.col(k).alias(f"_{k}") for k in file_keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in file_keys), F.col("_range") == F.col("_r"))
+    w = Window.partitionBy(*file_keys, "_range").orderBy(*order)
+    numbered = dealt.withColumn("_i", F.row_number().over(w)).join(firsts, same).withColumn("row_number", (F.col("_i") + F.col("_before")).cast("int"))
+    numbered = numbered.select(*rows.columns, "row_number")
     return numbered.withColumn("chunk_number", F.ceil(F.col("row_number") / size).cast("int"))
 
 
@@ -25,25 +40,35 @@ def chunk_manifest(numbered: DataFrame, file_keys: Sequence[str]) -> DataFrame:
     return chunks.withColumn("is_last_chunk", F.col("chunk_number") == F.max("chunk_number").over(w))
 
 
-def file_completeness(manifest: DataFrame) -> DataFrame:
-    """A file is complete when its last chunk was seen and every number up to it; repeated notices count once."""
-    per = manifest.groupBy("client_id", "file_id", "table_id").agg(
-        F.count_distinct("chunk_number").alias("received"),
-        F.max(F.when(F.col("is_last_chunk"), F.col("chunk_number"))).alias("last_chunk"),
-        F.max(F.when(F.col("is_last_from_table"), F.expr("try_cast(right(file_id, 2) AS INT)"))).alias("files_named"),
-    )
-    return per.withColumn("complete", F.coalesce(F.col("received") >= F.col("last_chunk"), F.lit(False)))
+#: The number in a file id: the digits at its end, after the code.
+FILE_NUMBER = "try_cast(regexp_extract(file_id, '([0-9]+)$', 1) AS INT)"
+
+
+def file_completeness(manifest: DataFrame, first: int = 1) -> DataFrame:
+    """A file is complete when its last chunk was seen and every number from ``first`` up to it. Repeated notices count once, and
+    numbers outside the range not at all; ``received`` counts those inside, or all as long as the last isn't known."""
+    keys = ["client_id", "file_id", "table_id"]
+    once = manifest.groupBy(*keys, "chunk_number").agg(F.max("is_last_chunk").alias("last"), F.max("is_last_from_table").alias("last_file"))
+    per = once.groupBy(*keys).agg(
+        F.max(F.when(F.col("last"), F.col("chunk_number"))).alias("last_chunk"), F.max(F.when(F.col("last_file"), F.expr(FILE_NUMBER))).alias("files_named"),
+        F.count_if(F.col("chunk_number") >= first).alias("_from"), F.max("chunk_number").alias("_most"),
+    )
+    # Numbers beyond the last are a fault of the sender; only files that have some are counted again.
+    beyond = once.join(per.where("_most > last_chunk").select(*keys, "last_chunk"), keys).where("chunk_number > last_chunk").groupBy(*keys).agg(F.count("*").alias("_beyond"))
+    found = per.join(beyond, keys, "left").withColumn("received", F.col("_from") - F.coalesce("_beyond", F.lit(0)))
+    complete = F.coalesce(F.col("received") == F.col("last_chunk") - first + 1, F.lit(False))
+    return found.select(*keys, "received", "last_chunk", "files_named", complete.alias("complete"))
 
 
 def expected_files(manifest: DataFrame) -> DataFrame:
     """Files that a client sends of each table: the number in the name of the one flagged last, else 1."""
-    named = F.max(F.when(F.col("is_last_from_table"), F.expr("try_cast(right(file_id, 2) AS INT)")))
+    named = F.max(F.when(F.col("is_last_from_table"), F.expr(FILE_NUMBER)))
     return manifest.groupBy("client_id", "table_id").agg(F.coalesce(named, F.lit(1)).alias("expected_files"))
 
 
-def client_completeness(manifest: DataFrame) -> DataFrame:
+def client_completeness(manifest: DataFrame, first: int = 1) -> DataFrame:
     """Per client and table: complete files against expected ones."""
-    done = file_completeness(manifest).groupBy("client_id", "table_id").agg(
+    done = file_completeness(manifest, first).groupBy("client_id", "table_id").agg(
         F.count_if("complete").alias("complete_files"), F.coalesce(F.max("files_named"), F.lit(1)).alias("expected_files")
     )
     return done.withColumn("complete", F.col("complete_files") >= F.col("expected_files"))

@@ -12,9 +12,9 @@ from ..functions import predicates as P
 from ..operators.aggregates import aggregate
 from ..operators.joins import first_wins, items_with_menu, last_wins, top_users_with_details, transactions_with_stores
 from ..operators.ranking import top_items, top_users
+from ..schemas import TRANSACTIONS
 
 PLACE = ("file_path", "block_start", "line")
-TRANSACTION_COLUMNS = ("transaction_id", "store_id", "payment_method_id", "voucher_id", "user_id", "original_amount", "discount_applied", "final_amount", "created_at")
 
 
 def _once(dim: DataFrame, key: str, by: Sequence[str], pick) -> DataFrame:
@@ -30,7 +30,7 @@ def filtered_transactions(transactions: DataFrame, years: Iterable[int] = P.YEAR
 
 def grouped_items(items: DataFrame, years: Iterable[int] = P.YEARS, by: Sequence[str] = ()) -> DataFrame:
     rows = P.required(items, 2).where(P.in_years(F.col("created_at"), years))
-    return aggregate(rows.withColumn("year", C.year(F.col("created_at"))).withColumn("month", C.month(F.col("created_at"))), 2, by)
+    return aggregate(rows.withColumn("year", F.year("created_at")).withColumn("month", F.month("created_at")), 2, by)
 
 
 def best_items(items: DataFrame, menu: DataFrame, years: Iterable[int] = P.YEARS, by: Sequence[str] = (), keep_both: bool = False) -> DataFrame:
@@ -44,7 +44,7 @@ def grouped_stores(transactions: DataFrame, years: Iterable[int] = P.YEARS, hour
     rows = P.required(transactions, 3).where(P.in_years(F.col("created_at"), years))
     rows = rows.where(P.in_hours(F.col("created_at"), *hours)) if hours else rows
     rows = rows.where(~F.isnan(F.col("final_amount").cast("double")))
-    return aggregate(rows.withColumn("year", C.year(F.col("created_at"))).withColumn("semester", C.semester(F.col("created_at"))), 3, by)
+    return aggregate(rows.withColumn("year", F.year("created_at")).withColumn("semester", C.semester(F.col("created_at"))), 3, by)
 
 
 def volume_by_store(transactions: DataFrame, stores: DataFrame, years: Iterable[int] = P.YEARS, hours: tuple[int, int] | None = P.HOURS, by: Sequence[str] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def top_customers(transactions: DataFrame, users: DataFrame, years: Iterable[int
 
 def all_queries(tables: dict[str, DataFrame], years: Iterable[int] = P.YEARS, by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """All four queries over the tables by kind (TR, TI, MN, ST, US), for every client at once with ``by=["client_id"]``."""
-    columns = [*by, *(c for c in TRANSACTION_COLUMNS if c not in by)]
+    columns = [*by, *(c for c in TRANSACTIONS.names if c not in by)]
     return {
         "Q1": filtered_transactions(tables["TR"], years).select(columns),
         "Q2": best_items(tables["TI"], tables["MN"], years, by),

@@ -9,6 +9,7 @@ def _text(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
+# Names and order of the columns of each kind of input file, and of saved results.
 TRANSACTIONS = _text(
     "transaction_id", "store_id", "payment_method_id", "voucher_id", "user_id", "original_amount", "discount_applied", "final_amount", "created_at"
 )
@@ -17,6 +18,7 @@ MENU_ITEMS = _text("item_id", "item_name", "coffee_category", "price", "is_seaso
 STORES = _text("store_id", "store_name", "street", "postal_code", "city", "state", "latitude", "longitude")
 USERS = _text("user_id", "gender", "birthdate", "registered_at")
 
+# Codes and folder names of the kinds of tables.
 #: By the two-letter code of a table kind; payment methods and vouchers are recognised but have no schema.
 BY_KIND = {"TR": TRANSACTIONS, "TI": TRANSACTION_ITEMS, "MN": MENU_ITEMS, "ST": STORES, "US": USERS}
 #: Folder names by kind, longest first where one contains another.

@@ -56,15 +56,16 @@ def is_header(schema: T.StructType) -> Column:
 def split_good_bad(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine). Headers and blank lines go. Rows with too few fields are set aside; longer ones are kept."""
     blank = F.forall(F.array(*(F.coalesce(F.trim(F.col(c)), F.lit("")) for c in schema.names)), lambda v: v == "")
-    short = F.col(BAD).isNotNull() & (F.size(F.split(F.col(BAD), ",")) < len(schema.names))
+    bare = F.regexp_replace(F.col(BAD), r'"(?:[^"\\]|\\.)*+"', "")  # commas inside quotes separate nothing
+    short = F.col(BAD).isNotNull() & (F.size(F.split(bare, ",")) < len(schema.names))
     rows = raw.where(~F.coalesce(is_header(schema), F.lit(False)) & ~(blank & F.col(BAD).isNull()))
     return rows.where(~F.coalesce(short, F.lit(False)) & ~blank).drop(BAD), rows.where(F.coalesce(short, F.lit(False)) | blank).select(F.col(BAD).alias("line_text"), "file_path", "line")
 
 
 def header_matches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """file_path and whether its first line names the schema's columns in order."""
+    """file_path and whether its first line names the schema's columns in order; only the first split of a file is read."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    first = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    first = lines.where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
     first = first.groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
     names = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(c)))
     return first.select("file_path", (names == F.array(*(F.lit(n) for n in schema.names))).alias("matches"))

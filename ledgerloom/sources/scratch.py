@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import SparkSession
 
+_made: list[str] = []
+
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder is made only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``, removed when the driver ends.
+
+    Where that is unset, a local folder is made in local mode; on a cluster, whose executors would not see it, this is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/ledgerloom/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def remove_scratch() -> None:
+    for path in _made:
+        with contextlib.suppress(Exception):  # what can't be reached here is left to whoever keeps the folder
+            system, name = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            system.delete_dir(name)

@@ -13,7 +13,7 @@ from ledgerloom.operators import compare as CMP
 from ledgerloom.operators import layout as L
 from ledgerloom.operators import manifest as M
 from ledgerloom.operators.aggregates import aggregate, sorted_by_keys, with_counters
-from ledgerloom.operators.joins import broadcast_below, one_input_many_queries
+from ledgerloom.operators.joins import broadcast_below, co_partitioned_join, one_input_many_queries
 from ledgerloom.plans.queries import QUERIES
 
 
@@ -69,6 +69,12 @@ def test_sorted_output(spark):
 
 
 def test_completeness_needs_every_number(spark):
+    lost = [("x", "TR120", 1, n, n == 3, n == 3) for n in (0, 1, 3)]
+    m = spark.createDataFrame(lost, "client_id string, file_id string, table_id int, chunk_number int, is_last_chunk boolean, is_last_from_table boolean")
+    assert not M.file_completeness(m, 0).first().complete and M.file_completeness(m.unionByName(m.limit(1).withColumn("chunk_number", F.lit(2))), 0).first().complete
+    assert M.expected_files(m).first().expected_files == 120
+    beyond = m.where("chunk_number <> 0").unionByName(m.limit(1).withColumn("chunk_number", F.lit(7)))
+    assert [M.file_completeness(beyond, f).first().received for f in (0, 1)] == [2, 2] and not M.file_completeness(beyond, 1).first().complete
     rows = [("c", "TR01", 1, n, n == 3, n == 3) for n in (1, 3, 3)] + [("d", "TR01", 1, n, n == 2, False) for n in (1, 2)] + [("e", "TR01", 1, 1, False, False)]
     m = spark.createDataFrame(rows, "client_id string, file_id string, table_id int, chunk_number int, is_last_chunk boolean, is_last_from_table boolean")
     assert {r.client_id: r.complete for r in M.file_completeness(m).collect()} == {"c": False, "d": True, "e": False}
@@ -81,6 +87,14 @@ def test_append_is_idempotent(spark, tmp_path):
     assert [L.append_missing(rows, path), L.append_missing(rows, path)] == [2, 0]
     assert L.append_missing(rows.unionByName(rows.withColumn("row_number", F.col("row_number") + 2)), path) == 2
     assert spark.read.parquet(path).count() == 4
+    odd = spark.createDataFrame([("a", None, 5), (None, 1, 6), (None, None, 7)], "chunk_id string, row_number int, v int")
+    assert [L.append_missing(odd, path), L.append_missing(odd, path)] == [3, 0] and spark.read.parquet(path).count() == 7
+
+
+def test_append_reads_only_the_batchs_chunks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 5), ("b", 1, 6), (None, 1, 7)], "chunk_id string, row_number int, v int")
+    path = f"file://{tmp_path}/t"
+    assert [L.append_missing(rows.limit(1), path, partition_by="chunk_id"), L.append_missing(rows, path, partition_by="chunk_id"), L.append_missing(rows, path, partition_by="chunk_id")] == [1, 2, 0]
 
 
 def test_bucket_files_and_finished_clients(spark, tmp_path):
@@ -93,6 +107,21 @@ def test_bucket_files_and_finished_clients(spark, tmp_path):
     assert [r.user_id for r in CMP.misplaced_rows(rows, moved, "bucket", "user_id", 8).collect()] == [5]
     L.drop_client(path, spark, "CLI0")
     assert {r.client_id for r in spark.read.parquet(path).select("client_id").distinct().collect()} == {"CLI1"}
+    odd = ["a b/c:1", "../b", "x%2Fy", "plain", "é=?"]
+    path = f"file://{tmp_path}/odd"
+    spark.createDataFrame([(c, i) for i, c in enumerate(odd)], "client_id string, n int").write.partitionBy("client_id").parquet(path)
+    for i, c in enumerate(odd[:3]):
+        L.drop_client(path, spark, c)
+        assert {r.client_id for r in spark.read.parquet(path).collect()} == set(odd[i + 1 :])
+
+
+def test_chunk_numbers_are_those_of_one_sort(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "a").otherwise(F.lit(None)).alias("f"), (F.col("id") * 7919 % 5000).alias("k"))
+    found = M.number_chunks(rows, ["f"], ["k"], 100).collect()
+    for f in ("a", None):
+        mine = sorted((r for r in found if r.f == f), key=lambda r: r.k)
+        assert [r.row_number for r in mine] == list(range(1, len(mine) + 1)) and all(r.chunk_number == -(-r.row_number // 100) for r in mine)
+
 
 
 def test_coverage_levels(spark):
@@ -135,4 +164,21 @@ def test_no_python_in_plans(spark):
 
 
 def test_co_partitioned_join_shuffles_each_side_once(spark):
-    assert plan(QUERIES["co_partitioned_join"](spark, f"{DATA}/sf0.001")).split("\n\n")[0].count("Exchange (") == 2
+    a, b = spark.range(1000), spark.range(0, 1000, 3)
+    joined = co_partitioned_join(a, b, "id", strategy="merge").groupBy("id").count()
+    assert plan(joined).split("\n\n")[0].count("Exchange (") == 2
+    assert plan(QUERIES["co_partitioned_join"](spark, f"{DATA}/sf0.001")).split("\n\n")[0].count("Exchange (") <= 3
+
+
+def test_year_ranges_reach_the_scan(spark):
+    for name in ("filter_year", "q3_tpv_by_semester_store", "q1_filtered_transactions"):
+        text = plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
+        assert "GreaterThanOrEqual(o_orderdate" in text or "GreaterThanOrEqual(ts" in text
+    df = spark.createDataFrame([("1995-12-31 23:59:59",), ("1996-01-01 00:00:00",), ("1999-12-31 23:59:59.9",), ("2000-01-01 00:00:00",), (None,)], "t string")
+    df = df.select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert [df.where(P.in_years(F.col("t"), y)).count() for y in ((1996,), (1995, 1996), (1995, 1999), (), (1995, 1996, 1999, 2000))] == [1, 2, 2, 0, 4]
+
+
+def test_wide_dimension_is_not_broadcast(spark):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert "ResolvedHint" not in broadcast_below(wide, 1000, 10_000)._jdf.queryExecution().analyzed().toString()
