@@ -20,7 +20,7 @@ PREFIXES = (4, 5)
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 5, 0
 #: Rows of the sample that a term must occur in to be looked at by itself; both terms of a pair; the most frequent terms that pair.
-MIN_ROWS, PAIR_ROWS, PAIR_TERMS = 3, 20, 4096
+MIN_ROWS, PAIR_ROWS, PAIR_TERMS = 3, 20, 2048
 
 
 @dataclass
@@ -61,41 +61,47 @@ def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64), np.array(bounds)
 
 
-def telling(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, z: float = 3.0) -> np.ndarray:
+def row_counts(ids: np.ndarray, size: int) -> np.ndarray:
+    """In how many rows each term is; some ids at a time, which keeps what numpy holds besides small."""
+    return sum((np.bincount(ids[i : i + (1 << 20)], minlength=size) for i in range(0, len(ids), 1 << 20)), np.zeros(size, np.int64))
+
+
+def telling(n: np.ndarray, ones: np.ndarray, share: float, z: float = 3.0) -> np.ndarray:
     """Whether each term is in ``MIN_ROWS`` rows or more, and with label 1 more or less often than chance by ``z`` deviations."""
-    own = np.repeat(labels, np.diff(bounds))
-    n, ones, share = np.bincount(ids, minlength=size), np.bincount(ids, own, size), labels.mean()
     return (n >= MIN_ROWS) & (np.abs(ones - n * share) >= z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
 
-def telling_pairs(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, size: int, most: int = PAIR_TERMS, rows: int = PAIR_ROWS, z: float = 12.0) -> np.ndarray:
+def telling_pairs(
+    ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, n: np.ndarray, ones: np.ndarray, most: int = PAIR_TERMS, rows: int = PAIR_ROWS, z: float = 12.0
+) -> np.ndarray:
     """Whether each term is half of a pair that tells more than its halves do: of the rows with both, ``rows`` or more, the
     share with label 1 is above the shares of both terms, or below both, by ``z`` deviations.
 
-    All pairs of the ``most`` most frequent terms are counted, some terms at a time.
+    All pairs of the ``most`` most frequent terms are counted, some rows at a time.
     """
-    used = np.zeros(size, bool)
-    n, own = np.bincount(ids, minlength=size), np.repeat(np.arange(len(labels)), np.diff(bounds))
+    used = np.zeros(len(n), bool)
     terms = np.argsort(-n, kind="stable")[:most]
     terms = terms[n[terms] >= rows]
-    place = np.full(size, -1)
+    place = np.full(len(n), -1, np.int32)
     place[terms] = np.arange(len(terms))
-    there = place[ids] >= 0
-    seen = np.zeros((len(labels), len(terms)), np.float32)
-    seen[own[there], place[ids[there]]] = 1
-    ones = seen[labels > 0]
-    rate = np.bincount(ids, np.repeat(labels, np.diff(bounds)), size)[terms] / n[terms]
-    for a in range(0, len(terms), 512):
-        both, toxic = seen[:, a : a + 512].T @ seen[:, a:], ones[:, a : a + 512].T @ ones[:, a:]
-        pair = rate[a : a + 512, None], rate[a:]
-        off = np.zeros(both.shape, bool)
+    both, toxic = np.zeros((2, len(terms), len(terms)), np.float32)
+    for a in range(0, len(labels), 1024):
+        b = min(a + 1024, len(labels))
+        at, own = place[ids[bounds[a] : bounds[b]]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        seen = np.zeros((b - a, len(terms)), np.float32)
+        seen[own[at >= 0], at[at >= 0]] = 1
+        both += seen.T @ seen
+        seen = seen[labels[a:b] > 0]
+        toxic += seen.T @ seen
+    rate = ones[terms] / n[terms]
+    for a in range(0, len(terms), 256):
+        t, m = both[a : a + 256], toxic[a : a + 256]
+        off = np.zeros(t.shape, bool)
         for bound, side in ((np.maximum, 1), (np.minimum, -1)):
-            expected = np.clip(both * bound(*pair), 0.5, np.maximum(both - 0.5, 0.5))
-            off |= side * (toxic - expected) >= z * np.sqrt(expected * (1 - expected / np.maximum(both, 1)))
-        off &= both >= rows
-        np.fill_diagonal(off, False)
-        used[terms[a : a + 512][off.any(1)]] = True
-        used[terms[a:][off.any(0)]] = True
+            expected = np.clip(t * bound(rate[a : a + 256, None], rate), 0.5, np.maximum(t - 0.5, 0.5))
+            off |= side * (m - expected) >= z * np.sqrt(expected * (1 - expected / np.maximum(t, 1)))
+        off &= (t >= rows) & (np.arange(a, a + len(t))[:, None] != np.arange(len(terms)))
+        used[terms[a : a + 256][off.any(1)]] = True
     return used
 
 
@@ -110,8 +116,9 @@ def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BIT
     model = Model(bits, float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not 0 < labels.sum() < n:
         return model
-    keep = (telling(ids, bounds, labels, size) | telling_pairs(ids, bounds, labels, size))[ids]
-    bounds = np.append(0, np.cumsum(keep))[bounds]
+    rows, ones = row_counts(ids, size), row_counts(ids[np.repeat(labels > 0, np.diff(bounds))], size)
+    keep = (telling(rows, ones, labels.mean()) | telling_pairs(ids, bounds, labels, rows, ones))[ids]
+    bounds = np.append(np.int32(0), np.cumsum(keep, dtype=np.int32))[bounds]
     ids = ids[keep]
     # Weights are fitted on the few terms in use, under numbers of their own.
     names, ids = np.unique(ids, return_inverse=True)
@@ -174,9 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     sample = rows.select("_id", "label", "text").mapInArrow(hashed, f"_id {dict(docs.dtypes)[id_col]}, label double, terms binary")
     found = sorted({(r["label"], bytes(r["terms"])) for r in sample.collect()})
-    terms = [np.frombuffer(t, "<i4") for _, t in found]
-    ids = np.concatenate([*terms, np.zeros(0, "<i4")]).astype(np.int64)
-    return fit(ids, np.cumsum([0, *map(len, terms)]), np.array([y for y, _ in found]), bits)
+    known_labels, bounds = np.array([y for y, _ in found]), np.cumsum([0, *(len(t) // 4 for _, t in found)])
+    ids = np.frombuffer(b"".join([t for _, t in found]), "<i4")
+    del found
+    return fit(ids, bounds, known_labels, bits)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
