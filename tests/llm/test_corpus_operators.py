@@ -209,6 +209,21 @@ def test_context_finds_other_forms(spark):
     assert [found[i] for i in range(24, 39)] == [[(f"ctx_{w.split(':')[0]}", w.split(":", 1)[1])] if w else [] for w in want]
 
 
+def test_personal_data_query_equals_brute_force(spark):
+    """Counts and digest of the base spans, and ``spans``, which begins with them and goes on with those that context adds."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    rows = pii.op6_personal_data(spark, f"{DATA}/sf0.01").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        base = plain.private(docs[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        more = [s.split(":") for s in r.spans[len(joined) :].split(",") if s]
+        assert all(k.startswith("ctx_") and 0 <= int(a) < int(b) <= len(docs[r.doc_id]) for k, a, b in more)
+        assert not any(int(a) < d and c < int(b) for _, a, b in more for _, c, d in base)
+
+
 def test_copies_do_not_make_a_pattern(spark):
     texts = ["call number +1 (523) 555-1055 now"] * 30 + ["call number 77-88 now"]
     assert not any(r.extra for r in pii.find_personal_data(frame(spark, texts)).collect())
