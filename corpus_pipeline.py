@@ -9,28 +9,28 @@ from ledgerloom.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine predicts as toxic go."""
+    """Documents that the factorization machine predicts as toxic go. Null and empty texts are judged by the bias; without labels none goes."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts (null counts as empty) the document with the largest id stays, one row of it if it repeats."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link, directly or through others, one stays."""
+    """Of documents that five-word shingles link, directly or through others, that with the smallest id stays; texts without words stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice. A null source is a source; null texts have no words."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids of each document of the mix; null and empty texts have none. Every stage gives no rows for none."""
     return sentencepiece_codec.encode_documents(docs)
 
 
