@@ -30,6 +30,8 @@ MENTION = (
 )
 #: Texts without any of these have no mention.
 _HINT = rf"[0-9@]|[A-Fa-f]:|:[A-Fa-f]|(?i:\bdot\b|{_WORD_DIGIT}[\x20,-])"
+#: A credential: a quoted run of at least 32 letters and digits, four digits and a letter among them.
+SECRET = r"""^["'](?=(?:[A-Za-z+]*+[0-9]){4})(?=[0-9]*+[A-Za-z])[A-Za-z0-9+]{32,}+={0,2}["']"""
 _DATE = r"^\D*(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2}(?:[0-9]{2})?|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2})(?!\d)\D*$"
 ROUNDS = 3
 MIN_SUPPORT = 5
@@ -140,14 +142,20 @@ def is_ordinary(value: Column) -> Column:
     n = F.length(_digits(value))
     short = (n < 6) & ~value.rlike(r"^\(?\+[0-9]|[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]*:") & ~value.rlike(SPELLED_DIGITS)
     number = (n > 19) | value.rlike(_DATE) | short
-    return F.when(F.contains(value, F.lit("@")), ~value.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}\[]")).otherwise(number & ~value.rlike(SPELLED_AT))
+    number = number & ~value.rlike(SPELLED_AT) & ~value.rlike(SECRET)
+    return F.when(F.contains(value, F.lit("@")), ~value.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}\[]")).otherwise(number)
+
+
+def has_form(value: Column, kind: Column) -> Column:
+    """Whether a mention can be of a kind: e-mails are addresses and others are not, and a credential is no number."""
+    return (is_address(value) == (kind == "email")) & ((kind == "secret") | ~value.rlike(SECRET))
 
 
 def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     """Patterns with their kind and confidence from the graph of patterns and instances.
 
-    ``mentions`` has pattern, value (of the base span that touches the mention, else its own), kind (null without such a
-    span) and ordinary. An instance is a value, an edge says that it occurs in a pattern. Base values of a kind score 1,
+    ``mentions`` has pattern, value (of the base span that touches the mention, else its own), kind (of that span, or that of
+    credentials, else null) and ordinary. An instance is a value, an edge says that it occurs in a pattern. Base values of a kind score 1,
     ordinary values are known negatives, and others are unseen: they count neither for nor against a pattern. In each round a
     pattern's confidence for a kind is the score of its instances of that kind over the number of its instances that have a
     score or are negatives, counted once each, if at least ``min_support`` have a score of the kind; an unseen instance of a
@@ -168,7 +176,7 @@ def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidenc
         good = good.where(F.col("confidence") >= min_confidence).groupBy("pattern").agg(best.alias("b"))
         patterns = materialize(good.select("pattern", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence")), f"pii-patterns-{k}")
         if k + 1 < rounds:
-            found = unseen.join(hint_small(patterns, 120), "pattern").where(is_address(F.col("value")) == (F.col("kind") == "email"))
+            found = unseen.join(hint_small(patterns, 120), "pattern").where(has_form(F.col("value"), F.col("kind")))
             grown = found.groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("value", "b.kind", F.col("b.confidence").alias("score"))
             scores = materialize(seeds.unionByName(grown), f"pii-scores-{k}")
     return patterns
@@ -179,11 +187,12 @@ def find_personal_data(
 ) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, value), for every row: base spans by kind, then those that context adds.
 
-    Base spans are the four fixed patterns with their checks. Mentions are runs of adjacent numbers, other tokens with a digit
+    Base spans are the four fixed patterns with their checks. They and quoted credentials (``SECRET``) are the seeds. Mentions are runs of adjacent numbers, other tokens with a digit
     or an @, and forms in (English) words. The word before a mention is one pattern and the word after it another, whatever the
     mention looks like. Base values seed a graph of patterns and values over the whole corpus, which is scored in ``rounds``
     rounds; mentions in patterns of ``min_confidence`` and more that no base span touches are added with kind ``ctx_<kind>``,
     unless they are ordinary numbers or have no form of that kind (an e-mail has an @ or says 'at', other kinds have neither).
+    Credentials are no base spans: they too are added, as ``ctx_secret`` and without quotes, only where such a pattern holds.
     Patterns are learnt from distinct values, so copies of a document carry no weight.
 
     Null text counts as empty and has no spans. Ids may be null or repeat. Empty input gives no rows. Other columns are
@@ -199,7 +208,7 @@ def find_personal_data(
         sides = F.array(F.concat(m["left"], F.lit("|")), F.concat(F.lit("|"), m["right"]))
         return F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.filter(sides, lambda p: p != "|").alias("patterns"),
-            touched["kind"].alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"), is_ordinary(m["value"]).alias("ordinary"),
+            F.coalesce(touched["kind"], F.when(m["value"].rlike(SECRET), "secret")).alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"), is_ordinary(m["value"]).alias("ordinary"),
         )
 
     marked = F.transform("mentions", mark)
@@ -208,10 +217,14 @@ def find_personal_data(
     patterns = _bootstrap(edges, rounds, min_support, min_confidence)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = materialize(rows, "pii-numbered")
-    free = rows.select("_row", F.explode("mentions").alias("m")).where("m.kind IS NULL AND NOT m.ordinary")
+    free = rows.select("_row", F.explode("mentions").alias("m")).where("(m.kind IS NULL OR m.kind = 'secret') AND NOT m.ordinary")
     free = free.select("_row", F.explode("m.patterns").alias("pattern"), "m.start", "m.end", "m.value")
-    fits = free.join(hint_small(patterns, 120), "pattern").where(is_address(F.col("value")) == (F.col("kind") == "email"))
+    fits = free.join(hint_small(patterns, 120), "pattern").where(has_form(F.col("value"), F.col("kind")))
     once = fits.groupBy("_row", "start", "end", "value").agg(F.max(F.struct("confidence", "kind")).alias("b")).withColumn("kind", F.col("b.kind"))
+    # A credential's span is what stands inside its quotes.
+    bare = F.when(F.col("kind") == "secret", F.regexp_extract("value", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}=])?", 0)).otherwise(F.col("value"))
+    once = once.withColumn("start", F.col("start") + F.position(bare, F.col("value")) - 1).withColumn("value", bare)
+    once = once.withColumn("end", F.col("start") + F.length("value"))
     added = once.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end", "value"))).alias("extra")
     )
@@ -224,6 +237,10 @@ def _joined(spans: Column) -> Column:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base spans counted and digested, all spans, and how many there are of both sorts.
+
+    Null and empty texts have none: zeros, the digest of the empty string, and no spans.
+    """
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "extra")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "extra")).alias("spans"), (F.size("base") + F.size("extra")).cast("long").alias("n_spans"))

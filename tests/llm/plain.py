@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+import regex
+from ledgerloom.llm import pii
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,6 +83,68 @@ def private(text):
     return found
 
 
+def contextual(rows, rounds=3, support=5, confidence=0.8):
+    """{id: spans that context adds, as (kind, start, end)} of (id, text) rows, from dictionaries of all patterns and instances."""
+    word = r"\p{L}[\p{L}\p{M}'_-]{0,30}"
+    found, seeds, where, plain_numbers = [], {}, {}, set()
+    for i, text in rows:
+        text, base = text or "", private(text)
+        hits = list(regex.finditer(pii.MENTION, text))
+        ends = [0, *(m.end() for m in hits)]
+        starts = [*(m.start() for m in hits), len(text)]
+        for k, m in enumerate(hits):
+            left = regex.search(rf"({word})[^\p{{L}}]{{0,8}}\Z", text[ends[k] : starts[k]])
+            right = regex.match(rf"[^\p{{L}}]{{0,8}}({word})", text[ends[k + 1] : starts[k + 1]])
+            patterns = {(side, w[1].lower()) for side, w in (("left", left), ("right", right)) if w}
+            own = next(((kind, text[a:b]) for kind, a, b in base if a < m.end() and m.start() < b), None)
+            secret = bool(regex.match(pii.SECRET, m[0]))
+            if own or secret:
+                seeds[own[1] if own else m[0]] = {**seeds.get(own[1] if own else m[0], {}), (own[0] if own else "secret"): 1.0}
+            digits = regex.sub("[^0-9]", "", m[0])
+            if "@" in m[0]:
+                ordinary = not regex.search(r"[\p{L}\p{N}]@[\p{L}\p{N}\[]", m[0])
+            else:
+                short = len(digits) < 6 and not regex.search(r"^\(?\+[0-9]|[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]*:", m[0]) and not regex.search(pii.SPELLED_DIGITS, m[0])
+                ordinary = (short or len(digits) > 19 or bool(regex.search(pii._DATE, m[0]))) and not regex.search(pii.SPELLED_AT, m[0]) and not secret
+            value = own[1] if own else m[0]
+            for p in patterns:
+                where.setdefault(p, {}).setdefault(value, []).append((own is not None or secret, ordinary))
+            found.append((i, m, patterns, own, secret, ordinary))
+
+    def form(value, kind):
+        address = "@" in value or bool(regex.search(pii.SPELLED_AT, value))
+        return address == (kind == "email") and (kind == "secret" or not regex.match(pii.SECRET, value))
+
+    scores, best = dict(seeds), {}
+    for _ in range(rounds):
+        best = {}
+        for p, values in where.items():
+            negative = sum(not any(s for s, _ in v) and all(o for _, o in v) for v in values.values())
+            kinds = [(k, s) for v in values for k, s in scores.get(v, {}).items()]
+            for kind in {k for k, _ in kinds}:
+                mine = [s for k, s in kinds if k == kind]
+                c = sum(mine) / (len(kinds) + negative)
+                if len(mine) >= support and c >= confidence:
+                    best[p] = max(best.get(p, (0, "")), (c, kind))
+        scores = dict(seeds)
+        for p, (c, kind) in best.items():
+            for v, seen in where[p].items():
+                if v not in seeds and not all(o for _, o in seen) and form(v, kind):
+                    (k, old), = scores.get(v, {"": 0}).items()
+                    c2, k2 = max((old, k), (c, kind))
+                    scores[v] = {k2: c2}
+    out = {}
+    for i, m, patterns, own, _, ordinary in found:
+        fits = [best[p] for p in patterns if p in best and form(m[0], best[p][1])]
+        if fits and not own and not ordinary:
+            kind, (a, b) = max(fits)[1], m.span()
+            if kind == "secret":
+                inner = regex.search(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}=])?", m[0])
+                a, b = m.start() + inner.start(), m.start() + inner.end()
+            out.setdefault(i, []).append((f"ctx_{kind}", a, b))
+    return {i: sorted(v) for i, v in out.items()}
+
+
 def base_phrases(text):
     """(number of words, places as (word, label)) of the license scan."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))

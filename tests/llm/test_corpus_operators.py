@@ -212,6 +212,8 @@ def test_context_finds_other_forms(spark):
 def test_personal_data_query_equals_brute_force(spark):
     """Counts and digest of the base spans, and ``spans``, which begins with them and goes on with those that context adds."""
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    added = plain.contextual(docs.items())
+    assert any(k == "ctx_secret" for spans in added.values() for k, _, _ in spans)
     rows = pii.op6_personal_data(spark, f"{DATA}/sf0.01").collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     for r in rows:
@@ -222,6 +224,31 @@ def test_personal_data_query_equals_brute_force(spark):
         more = [s.split(":") for s in r.spans[len(joined) :].split(",") if s]
         assert all(k.startswith("ctx_") and 0 <= int(a) < int(b) <= len(docs[r.doc_id]) for k, a, b in more)
         assert not any(int(a) < d and c < int(b) for _, a, b in more for _, c, d in base)
+        assert [(k, int(a), int(b)) for k, a, b in more] == added.get(r.doc_id, []) and r.n_spans == len(base) + len(more)
+
+
+def test_credentials_are_found_by_their_context(spark):
+    """Quoted random strings are seeds; what stands in their place in other texts is found, and such strings elsewhere are not."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(9)]
+    texts = [f'set api token = "{k}" here {i}' for i, k in enumerate(keys[:6])]
+    texts += [f"token = abc123x9876, {keys[6]}", f'commit "{keys[7]}" fixed', f"sha {keys[8]}", "token 12", f'TOKEN = "{keys[0]}"!!', None, ""]
+    docs = frame(spark, texts)
+    found = {r.doc_id: [(s.kind, s.start, s.end, s.value) for s in r.extra] for r in pii.find_personal_data(docs).collect()}
+    assert [found[i] for i in range(6)] == [[("ctx_secret", 17, 57, k)] for k in keys[:6]]
+    assert found[6] == [("ctx_secret", 8, 19, "abc123x9876")] and found[10] == [("ctx_secret", 9, 49, keys[0])]
+    assert not any(found[i] for i in (7, 8, 9, 11, 12))
+    assert {i: [s[:3] for s in v] for i, v in found.items() if v} == plain.contextual(enumerate(texts))
+
+
+@pytest.mark.parametrize("support, confidence", [(2, 0.5), (3, 0.6), (5, 0.8)])
+def test_context_equals_brute_force(spark, odd, support, confidence):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("text rlike '[0-9]{4}|@'").limit(120).collect()]
+    seeds = [f"Call +49 30 5551{i:03}. Mail p{i}@x.org ip 10.0.0.{i} ok" for i in range(6)]
+    more = [*seeds, *PRIVATE, "call 0171 2345678 now", "0171 2345678 please", "0171 999999 please", "mail me@home or ring 0171 2345678", "ip fe80::1ff:fe23:4567 ok", "call 12 call 13", *(r.text for r in odd.collect())]
+    rows += [(100_000 + i, t) for i, t in enumerate(more)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), min_support=support, min_confidence=confidence)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.extra] for r in found.collect() if r.extra}
+    assert got == plain.contextual(rows, support=support, confidence=confidence) and got
 
 
 def test_copies_do_not_make_a_pattern(spark):
