@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, hint_small, lower_ascii, materialize
@@ -45,20 +45,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = [F.coalesce("_full", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)).alias("text_sha256")] if digest else []
     out = ["doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if digest else [])]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    refined = materialize(_refined(plain, "text", prefix_chars).select("doc_id", *KEY, *digests), "dedup-rows")
+    # Rows are numbered as they are written, so that of rows that tie on the id one number wins.
+    numbered = _refined(plain, "text", prefix_chars).select("doc_id", *KEY, *digests, F.monotonically_increasing_id().alias("_row"))
+    refined = materialize(numbered, "dedup-rows")
     shared = refined.where(F.col("_full").isNotNull())
-    groups = shared.groupBy(KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "_row"))
+    groups = shared.groupBy(KEY).agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = groups.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best._row").alias("_keep"), "group_size")
     # A group's row goes to its members, broadcast if all groups' rows are measured small; else both sides are shuffled, and a
     # group that is too large for a task is split by Spark at run time, for its other side has one row.
     judged = refined.join(hint_small(materialize(groups, "dedup-groups"), 120), KEY, "left")
-    judged = judged.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-    judged = judged.withColumn("keep_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")))
-    winner = (F.col("group_size") == 1) | F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Only rows that have their group's largest id can tie; the others, however many, pass without being numbered.
-    single = judged.where((F.col("group_size") == 1) | ~winner).withColumn("kept", F.col("group_size") == 1)
-    tied = judged.where((F.col("group_size") > 1) & winner)
-    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) == 1
-    return single.select(out).unionByName(tied.withColumn("kept", first).select(out))
+    judged = judged.withColumn("kept", F.coalesce(F.col("_row") == F.col("_keep"), F.lit(True)))
+    judged = judged.withColumn("keep_id", F.when(F.col("_keep").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+    return judged.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).select(out)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -86,6 +85,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group, and the row of it that stays, for each document, dropped ones too. Null texts are empty texts; ties are as in ``exact_duplicates``."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 
 

@@ -172,5 +172,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of all documents, its spans as label:start:end:edits. Null and empty texts have no words and score 0."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"])), ",")
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("spans", spans)

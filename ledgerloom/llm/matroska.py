@@ -343,6 +343,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A media file for each document, read back. Null and empty texts are one frame of spaces; equal texts give equal rows but for the id."""
     stored = materialize(text_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     return media_features(stored)
 

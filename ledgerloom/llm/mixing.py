@@ -103,19 +103,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Nulls, repeats and empty input are as in ``systematic_copies``.
     """
     taken = systematic_copies(docs, id_col, text_col, source_col, **options)
-    _id, _source, _t, _hash, _copies, _take = (unused(docs.columns, c) for c in ("_id", "_source", "_t", "_hash", "_copies", "_take"))
-    taken = materialize(taken.groupBy(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col("text_hash").alias(_t)).agg(F.sort_array(F.collect_list("copies")).alias(_copies)), "mix-copies")
+    named = ("_id", "_source", "_t", "_hash", "_copies", "_take", "_least", "_n", "_total")
+    _id, _source, _t, _hash, _copies, _take, _least, _n, _total = (unused(docs.columns, c) for c in named)
+    taken = materialize(taken.groupBy(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col("text_hash").alias(_t)).agg(F.min("copies").alias(_least), F.max("copies").alias(_copies), F.count("*").alias(_n), F.sum("copies").alias(_total)), "mix-copies")
     rows = docs.withColumn(_hash, F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(_id)) & F.col(source_col).eqNullSafe(F.col(_source)) & (F.col(_hash) == F.col(_t))
     joined = rows.join(hint_small(taken, 96, _source), same)
-    single = joined.where(F.size(_copies) == 1).withColumn(_take, F.col(_copies)[0])
+    # Copies of rows of one source differ by one at most. Only repeated rows that do differ are numbered, and as many get the more.
+    single = joined.where(F.col(_least) == F.col(_copies)).withColumn(_take, F.col(_copies))
     nth = F.row_number().over(Window.partitionBy(_id, _source, _t).orderBy(F.lit(1)))
-    repeated = joined.where(F.size(_copies) > 1).withColumn(_take, F.element_at(_copies, nth))
+    more = nth <= F.col(_total) - F.col(_n) * F.col(_least)
+    repeated = joined.where(F.col(_least) < F.col(_copies)).withColumn(_take, F.col(_least) + more.cast("long"))
     both = single.unionByName(repeated).where(F.col(_take) > 0)
     return both.withColumn(_take, F.explode(F.array_repeat(F.lit(0), F.col(_take).cast("int")))).select(docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document. Null texts have size 0, null sources are one source; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return systematic_copies(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

@@ -226,6 +226,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled ones that are not held out. Null and empty texts get the bias's score; null ids are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

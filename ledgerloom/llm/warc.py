@@ -264,6 +264,8 @@ def page_of(urn: Column) -> Column:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, written and read back. Null html is an empty payload, and empty payloads revisit each other; a page
+    whose id is null has a record with a null page_id."""
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     page, first = page_of(F.col("record_id")).alias("page_id"), page_of(F.col("refers_to")).alias("refers_to")
     ok = F.coalesce("digest_ok", F.lit(True)).alias("digest_ok")
