@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, matroska, mixing, ngram_join, pii, sentencepiece_codec, token_counts, toxicity, warc
+from . import exact_dedup, fill_in_middle, licenses, matroska, mixing, ngram_join, pii, sentencepiece_codec, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "media_packets": matroska.media_packets,
 }
 #: Texts that SQL can't give (tokenizers, media files, a fitted model, fuzzy and bootstrapped matches) are tested otherwise.
@@ -23,5 +24,6 @@ SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     "media_packets": matroska.MEDIA_PACKETS_SQL,
 }
