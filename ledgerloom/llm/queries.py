@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_in_middle, licenses, matroska, mixing, ngram_join, pii, sentencepiece_codec, token_counts, toxicity, warc
+from . import exact_dedup, fill_in_middle, licenses, matroska, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,7 +16,9 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
     "media_packets": matroska.media_packets,
+    "quality_statistics": quality_rules.quality_statistics,
 }
 #: Texts that SQL can't give (tokenizers, media files, a fitted model, fuzzy and bootstrapped matches) are tested otherwise.
 SQL = {
@@ -26,4 +28,5 @@ SQL = {
     "op10_warc": warc.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     "media_packets": matroska.MEDIA_PACKETS_SQL,
+    "quality_statistics": quality_rules.QUALITY_STATISTICS_SQL,
 }
