@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_in_middle, licenses, matroska, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, token_counts, toxicity, warc
+from . import exact_dedup, fill_in_middle, licenses, matroska, merkle, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "media_packets": matroska.media_packets,
     "quality_statistics": quality_rules.quality_statistics,
 }
@@ -27,6 +28,7 @@ SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
     "media_packets": matroska.MEDIA_PACKETS_SQL,
     "quality_statistics": quality_rules.QUALITY_STATISTICS_SQL,
 }
