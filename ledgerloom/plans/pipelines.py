@@ -14,7 +14,7 @@ from ..operators.joins import first_wins, items_with_menu, last_wins, top_users_
 from ..operators.ranking import top_items, top_users
 from ..schemas import TRANSACTIONS
 
-PLACE = ("file_path", "block_start", "line")
+PLACE = ("file_path", "line")
 
 
 def _once(dim: DataFrame, key: str, by: Sequence[str], pick) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -519,39 +520,61 @@ def csv_quarantine(spark, d):
     return both.groupBy(T.classify(F.col("file_path")).alias("kind")).agg(F.sum("good").alias("good"), F.sum("short").alias("short"))
 
 
-@query(f"SELECT 'CLI1' AS client_id, year::VARCHAR AS year, semester::VARCHAR AS semester, store_id::VARCHAR AS store_id, total_final_amount::DECIMAL(18,2)::VARCHAR AS tpv FROM ({STORE_SEMESTER})")
+_LABEL = """'st, "' || store_id || '"' || chr(10) || 'x'"""
+_CLIENT_LINES = f"SELECT '{{}}' AS client_id, year::VARCHAR AS year, semester::VARCHAR AS semester, {_LABEL} AS label, total_final_amount::DECIMAL(18,2)::VARCHAR AS tpv FROM ({STORE_SEMESTER})"
+
+
+@query(" UNION ALL ".join(_CLIENT_LINES.format(c) for c in ("01", "1", "a b/c:1")))
 def result_files(spark, d):
-    """Result lines written by client and read back."""
-    rows = agg_store_semester(spark, d).select("year", "semester", "store_id", F.col("total_final_amount").alias("tpv"))
+    """Result lines of clients whose ids look like numbers or paths, written and read back; a field holds commas, quotes and a line break."""
+    label = F.concat(F.lit('st, "'), F.col("store_id").cast("string"), F.lit('"\nx'))
+    rows = agg_store_semester(spark, d).select("year", "semester", label.alias("label"), F.col("total_final_amount").alias("tpv"))
     path = scratch_path(spark, "results")
-    write_result_files(result_lines(rows, 3, "CLI1"), path)
+    write_result_files(CMP.combine([result_lines(rows, 3, c) for c in ("01", "1", "a b/c:1")]), path)
     return read_result_files(spark, path, 3, rows.columns)
 
 
-@query("SELECT event_id AS row_number, event_type AS chunk_id, value FROM events")
+# Ids of clients and chunks that look like numbers, dates and paths, and none.
+_ODD_ID = "CASE event_id % 7 WHEN 0 THEN '01' WHEN 1 THEN '1' WHEN 2 THEN '1e3' WHEN 3 THEN '2024-01-01' WHEN 4 THEN 'a b/c:1' WHEN 5 THEN '1.0' END"
+
+
+def _odd_ids(spark, d):
+    return A.table(spark, d, "events").select(F.expr(_ODD_ID).alias("client_id"), F.col("event_id").alias("row_number"), "value")
+
+
+@query(f"SELECT {_ODD_ID} AS client_id, event_id AS row_number, value FROM events")
 def idempotent_append(spark, d):
-    """A batch delivered twice is stored once."""
-    rows = A.table(spark, d, "events").select(F.col("event_id").alias("row_number"), F.col("event_type").alias("chunk_id"), "value")
-    path = scratch_path(spark, "append")
+    """A batch delivered twice is stored once, in folders of ids such as 01 and 1."""
+    rows, path = _odd_ids(spark, d), scratch_path(spark, "append")
     for batch in (rows.where("value < 50"), rows, rows):
-        L.append_missing(batch, path)
-    return spark.read.parquet(path)
+        L.append_missing(batch, path, ("client_id", "row_number"), partition_by="client_id")
+    return L.read_stored(spark, path, rows.schema)
+
+
+@query(f"SELECT {_ODD_ID} AS client_id, event_type AS chunk_id, event_id AS row_number, value FROM events")
+def replaced_chunks(spark, d):
+    """Chunks that are delivered whole replace themselves: half of them come again, and nothing stored is read for it."""
+    rows, path = _odd_ids(spark, d).join(A.table(spark, d, "events").select(F.col("event_id").alias("row_number"), F.col("event_type").alias("chunk_id")), "row_number"), scratch_path(spark, "chunks")
+    for batch in (rows, rows.where("client_id IN ('01', 'a b/c:1') OR client_id IS NULL")):
+        L.replace_partitions(batch, path, ["client_id", "chunk_id"])
+    return L.read_stored(spark, path, rows.schema)
 
 
-@query("SELECT event_type AS client_id, event_id FROM events WHERE event_type <> 'error'")
+@query(f"SELECT * FROM (SELECT {_ODD_ID} AS client_id, event_id AS row_number, value FROM events) WHERE client_id IN ('1', '2024-01-01', '1.0')")
 def drop_finished_client(spark, d):
-    """One client's partition is removed, the others stay."""
-    path = scratch_path(spark, "clients")
-    A.table(spark, d, "events").select(F.col("event_type").alias("client_id"), "event_id").write.partitionBy("client_id").parquet(path)
-    L.drop_client(path, spark, "error")
-    return spark.read.parquet(path).select("client_id", "event_id")
+    """Finished clients' partitions are removed, that of 01 but not of 1, and that of rows without client; the others stay."""
+    rows, path = _odd_ids(spark, d), scratch_path(spark, "clients")
+    rows.write.partitionBy("client_id").parquet(path)
+    for client in ("01", "1e3", "a b/c:1", None, "nobody"):
+        L.drop_client(path, spark, client, rows.schema)
+    return L.read_stored(spark, path, rows.schema)
 
 
 def _as_csv(spark, frames: dict[str, DataFrame]) -> str:
     """Tables as CSV files with headers, in a folder of the name of each."""
     folder = scratch_path(spark, "csv")
     for name, df in frames.items():
-        df.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{name}")
+        df.write.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{name}")
     return folder
 
 
@@ -610,9 +633,9 @@ def csv_lineage(spark, d):
     files = T.list_files(spark, folder).select(F.col("path").alias("file_path"), "kind", "file_id")
     rows = None
     for name, kind in (("transaction_items", "TI"), ("menu_items", "MN"), ("users", "US")):
-        part = T.read_table(spark, f"{folder}/{name}", kind).select("file_path", "block_start", "line")
+        part = T.read_table(spark, f"{folder}/{name}", kind).select("file_path", "line")
         rows = part if rows is None else rows.unionByName(part)
-    per = rows.groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("block_start", "line").alias("places")).join(files, "file_path")
+    per = rows.groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("line").alias("places")).join(files, "file_path")
     ids = F.count_distinct("file_id") == F.count("*")
     return per.groupBy("kind").agg(F.sum("n").alias("n_rows"), F.sum("places").alias("n_places"), (ids & F.every(F.startswith("file_id", "kind"))).alias("in_one_file"))
 
@@ -626,18 +649,94 @@ def csv_headers(spark, d):
     return lines.join(found, "file_path").groupBy(T.classify(F.col("file_path")).alias("kind"), "matches").agg(F.count("*").alias("n_rows"))
 
 
-@query("""SELECT 'TXN' AS prefix, o_custkey::VARCHAR AS user_id, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice::DECIMAL(18,2)::DOUBLE END AS final_amount, 'STORE_01' AS store_id,
-  o_orderkey % 3 = 0 AS made FROM orders""")
+@query("""SELECT o_orderkey % 3 = 0 AS made, 1::BIGINT AS rows_of_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'TXN_old' || o_orderkey END AS old_id, o_custkey::VARCHAR AS user_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice::DECIMAL(18,2)::DOUBLE END AS final_amount, 9.5::DOUBLE AS unit_price, 'S' || o_orderpriority AS store_id, 'Shop, ' || o_orderpriority AS store_name,
+  'Nowhere' AS city FROM orders""")
 def csv_unknown_header(spark, d):
-    """A file with names of its own: columns found by patterns, unreadable amounts and missing columns by default, missing ids made."""
+    """A file with names of its own: columns found by patterns of several words, unreadable amounts and missing columns by default, missing ids made of
+    file and line, each once."""
     k = F.col("o_orderkey")
     odd = A.table(spark, d, "orders").select(
-        F.when(k % 3 != 0, F.concat(F.lit("TXN_old"), k)).alias("TransactionID"), F.col("o_custkey").alias("Customer Number"),
-        F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("Total_Paid"),
+        F.when(k % 3 != 0, F.concat(F.lit("TXN_old"), k)).alias("Transaction ID"), F.col("o_custkey").alias("Customer Number"),
+        F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("Total_Price"), F.lit("9.50").alias("Price, each"),
+        F.concat(F.lit("Shop, "), "o_orderpriority").alias("Store Name"), F.concat(F.lit("S"), "o_orderpriority").alias("ID of store"),
     )
-    raw = spark.read.option("header", True).csv(f"{_as_csv(spark, {'unknown': odd})}/unknown")
-    wanted = {"transaction_id": (["transactionid"], "string", None), "user_id": (["customer", "user"], "string", None), "final_amount": (["total", "amount"], "double", 0.0), "store_id": (["store"], "string", "STORE_01")}
-    return T.map_columns(raw, wanted, "transaction_id").select(F.substring("transaction_id", 1, 3).alias("prefix"), "user_id", "final_amount", "store_id", (~F.startswith("transaction_id", F.lit("TXN_old"))).alias("made"))
+    raw = T.read_unknown(spark, f"{_as_csv(spark, {'unknown': odd})}/unknown")
+    wanted = {
+        "transaction_id": ([("transaction", "id")], "string", T.made_id("TXN")), "user_id": (["customer", "user"], "string", T.made_id("CUST", cycle=1000)), "unit_price": ([("price", "!total")], "double", 10.0),
+        "final_amount": (["total", "amount"], "double", 0.0), "store_id": ([("store", "id")], "string", "ST01"), "store_name": ([("store", "name")], "string", "Store"), "city": (["city"], "string", "Nowhere"),
+    }
+    rows = T.map_columns(raw, wanted)
+    per_id = F.count("*").over(Window.partitionBy("transaction_id"))
+    old = F.startswith("transaction_id", F.lit("TXN_old"))
+    return rows.select((~old).alias("made"), per_id.alias("rows_of_id"), F.when(old, F.col("transaction_id")).alias("old_id"), "user_id", "final_amount", "unit_price", "store_id", "store_name", "city")
+
+
+@contextmanager
+def _split_at(spark, size: int):
+    """Files are split at ``size`` bytes in here."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query("""SELECT p_partkey::VARCHAR AS item_id, CASE p_partkey % 3 WHEN 0 THEN p_name || ' "XL", ' || chr(10) || chr(10) || '"hot"' WHEN 1 THEN p_name || ',' ELSE p_name END AS item_name, p_type AS coffee_category,
+  p_retailprice::DECIMAL(18,2)::VARCHAR AS price FROM part""")
+def csv_quoted_records(spark, d):
+    """Names with commas, doubled quotes and line breaks, in files that are split every two thousand bytes, within quotes too."""
+    k, name = F.expr("CAST(item_id AS BIGINT)") % 3, F.col("item_name")
+    odd = F.when(k == 0, F.concat(name, F.lit(' "XL", \n\n"hot"'))).when(k == 1, F.concat(name, F.lit(","))).otherwise(name)
+    folder = _as_csv(spark, {"menu_items": _menu_file(spark, d).withColumn("item_name", odd)})
+    with _split_at(spark, 2000):
+        return _kept(T.read_table(spark, f"{folder}/menu_items", "MN").select("item_id", "item_name", "coffee_category", "price"), "quoted")
+
+
+@query("SELECT o_orderkey::VARCHAR AS transaction_id, o_totalprice::DECIMAL(18,2)::DOUBLE AS final_amount, 2::BIGINT AS deliveries FROM orders")
+def csv_delivered_twice(spark, d):
+    """Files read twice, split in other places the second time: rows have the same numbers, so a second delivery adds nothing."""
+    folder = f"{_orders_as_csv(spark, d)}/transactions"
+    reads = []
+    for size in (128 << 20, 20_000):
+        with _split_at(spark, size):
+            reads.append(_kept(T.read_table(spark, folder, "TR").select("file_path", "line", "transaction_id", "final_amount"), "delivery"))
+    per = reads[0].unionByName(reads[1]).groupBy("file_path", "line", "transaction_id", "final_amount").agg(F.count("*").alias("deliveries"))
+    return per.select("transaction_id", "final_amount", "deliveries")
+
+
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM orders) + count(DISTINCT o_orderpriority) AS last_lines, true AS in_order FROM orders")
+def csv_line_numbers(spark, d):
+    """Lines are numbered from 1 in the order of the file, header included: each file was written in the order of its keys."""
+    rows = A.order_transactions(spark, d).join(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("transaction_id"), "o_orderpriority"), "transaction_id")
+    part = rows.select(F.col("transaction_id").cast("string").alias("transaction_id"), F.lpad(F.col("transaction_id").cast("string"), 12, "0").alias("store_id"), "o_orderpriority").repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "store_id")
+    filled = part.select(*(F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in TRANSACTIONS.names), "o_orderpriority")
+    folder = scratch_path(spark, "csv")
+    filled.write.option("header", True).partitionBy("o_orderpriority").csv(folder)
+    with _split_at(spark, 30_000):
+        read = _kept(T.split_good_bad(T.read_raw(spark, folder, TRANSACTIONS), TRANSACTIONS)[0].select("file_path", "line", "store_id"), "numbered")
+    before = F.lag("store_id").over(Window.partitionBy("file_path").orderBy("line"))
+    per = read.withColumn("up", F.coalesce(before < F.col("store_id"), F.lit(True))).groupBy("file_path").agg(F.count("*").alias("n"), F.max("line").alias("last"), F.every("up").alias("up"))
+    return per.agg(F.sum("n").alias("n_rows"), F.sum("last").alias("last_lines"), (F.every("up") & F.every(F.col("last") == F.col("n") + 1)).alias("in_order"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS store_id, n_name AS store_name, true AS header_fits FROM nation")
+def csv_blank_lines(spark, d):
+    """Empty lines, lines of blanks and commas, and a header whose names are quoted, ended by carriage returns too."""
+    stores = A.stores(spark, d).select(F.concat(F.lit('"'), "store_id", F.lit('","'), "store_name", F.lit('",,,,,,')).alias("line"))
+    lines = stores.select(F.explode(F.array(F.lit('"store_id","store_name","street","postal_code","city","state","latitude","longitude"'), F.lit(""), F.lit("  "), F.lit(",,,,,,,"), "line")).alias("value"))
+    folder = scratch_path(spark, "csv")
+    lines.coalesce(1).write.option("lineSep", "\r\n").text(f"{folder}/stores")
+    good = T.split_good_bad(T.read_raw(spark, f"{folder}/stores", STORES, glob="*.txt"), STORES)[0]
+    fits = T.header_matches(spark, f"{folder}/stores", STORES, glob="*.txt")
+    return good.join(fits, "file_path").select("store_id", "store_name", F.col("matches").alias("header_fits"))
 
 
 @query(f"SELECT s.*, n_name AS store_name, n_regionkey::VARCHAR AS city FROM ({STORE_SEMESTER}) s LEFT JOIN nation ON store_id = n_nationkey")

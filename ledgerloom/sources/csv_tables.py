@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import empty_to_null, lenient_double, lenient_int, money, normalise_user_id, parse_timestamp
 from ..schemas import BY_KIND, FOLDERS
+from .records import read_records
 
 BAD = "_bad"
 
@@ -35,17 +39,20 @@ def with_file_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("file_id", F.format_string("%s%02d", F.col("kind"), n))
 
 
-def read_raw(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All rows of the CSV files below ``folder`` as text, with malformed lines in ``_bad`` and their place in the input.
+def parsed(record: Column, names: Sequence[str]) -> Column:
+    """Fields of a CSV record as text under ``names``, and ``_bad``, the record itself where their number is another."""
+    ddl = ", ".join(f"`{n}` string" for n in [*names, BAD])
+    return F.from_csv(record, F.lit(ddl), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "escape": '"', "maxCharsPerColumn": "-1"})
 
-    Place: file, start of the split, and a number that grows within a split; taken in the scan, before any shuffle.
+
+def read_raw(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
+    """All records of the CSV files below ``folder`` as text, malformed ones also in ``_bad``, with file_path and line.
+
+    ``line`` is the number of a record's first line in its file, the same in every read, however files are split. Quoted fields
+    may hold commas, doubled quotes and line breaks (see ``read_records``).
     """
-    full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = (
-        spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("header", False)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
-    )
-    return rows.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line"))
+    rows = read_records(spark, folder, glob).select(parsed(F.col("value"), schema.names).alias("_row"), "file_path", "line")
+    return rows.select("_row.*", "file_path", "line")
 
 
 def is_header(schema: T.StructType) -> Column:
@@ -56,19 +63,18 @@ def is_header(schema: T.StructType) -> Column:
 def split_good_bad(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine). Headers and blank lines go. Rows with too few fields are set aside; longer ones are kept."""
     blank = F.forall(F.array(*(F.coalesce(F.trim(F.col(c)), F.lit("")) for c in schema.names)), lambda v: v == "")
-    bare = F.regexp_replace(F.col(BAD), r'"(?:[^"\\]|\\.)*+"', "")  # commas inside quotes separate nothing
+    bare = F.regexp_replace(F.col(BAD), r'"[^"]*+(?:"|\z)', "")  # commas inside quotes separate nothing; a doubled quote ends one run and begins the next
     short = F.col(BAD).isNotNull() & (F.size(F.split(bare, ",")) < len(schema.names))
     rows = raw.where(~F.coalesce(is_header(schema), F.lit(False)) & ~(blank & F.col(BAD).isNull()))
     return rows.where(~F.coalesce(short, F.lit(False)) & ~blank).drop(BAD), rows.where(F.coalesce(short, F.lit(False)) | blank).select(F.col(BAD).alias("line_text"), "file_path", "line")
 
 
-def header_matches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """file_path and whether its first line names the schema's columns in order; only the first split of a file is read."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    first = lines.where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
-    first = first.groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
-    names = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(c)))
-    return first.select("file_path", (names == F.array(*(F.lit(n) for n in schema.names))).alias("matches"))
+def header_matches(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
+    """file_path and whether its first record names the schema's columns in order; names may be quoted."""
+    first = read_records(spark, folder, glob).where("line = 1").select("file_path", parsed(F.col("value"), schema.names).alias("h"))
+    names = [F.lower(F.trim(F.col(f"h.{n}"))) == F.lit(n.lower()) for n in schema.names]
+    fits = reduce(lambda x, y: x & y, names, F.col(f"h.{BAD}").isNull())
+    return first.select("file_path", F.coalesce(fits, F.lit(False)).alias("matches"))
 
 
 def typed(rows: DataFrame, kind: str) -> DataFrame:
@@ -81,7 +87,7 @@ def typed(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Good rows of a kind, typed, with file_path, block_start and line."""
+    """Good rows of a kind, typed, with file_path and line."""
     return typed(split_good_bad(read_raw(spark, folder, BY_KIND[kind]), BY_KIND[kind])[0], kind)
 
 
@@ -95,22 +101,58 @@ def is_grouped(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 
 
-def map_columns(df: DataFrame, wanted: dict[str, tuple[Sequence[str], str, object]], id_column: str, id_prefix: str = "TXN") -> DataFrame:
+def read_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files of one header that no schema is known for: its columns as text, file_path and line.
+
+    The header is the first record of the first file by path; records equal to it go. Of columns of one name all but the first get
+    a number, so do empty names. Records with fewer fields have nulls, and further fields are dropped.
+    """
+    records = read_records(spark, folder)
+    first = records.where("line = 1").orderBy("file_path").select("value").head()
+    if first is None:
+        return records.drop("value")
+    fields = next(csv.reader(io.StringIO(first.value, newline=""), doublequote=True))
+    names: list[str] = []
+    for i, name in enumerate(fields):
+        clash = not name.strip() or name.lower() in {n.lower() for n in [*names, "file_path", "line", BAD]}
+        names.append(f"{name.strip().replace('`', '')}_{i + 1}" if clash else name.replace("`", ""))
+    rows = records.where(F.col("value") != first.value).select(parsed(F.col("value"), names).alias("_row"), "file_path", "line")
+    return rows.select(*(F.col(f"_row.`{n}`") for n in names), "file_path", "line")
+
+
+def made_id(prefix: str, digits: int = 6, cycle: int | None = None) -> Column:
+    """An id from a row's place: prefix, file name and line, or with ``cycle`` the line in that cycle. Never cut, so longer numbers have more digits."""
+    if cycle:
+        return F.format_string(f"{prefix}_%0{digits}d", (F.col("line") - 2) % cycle + 1)
+    return F.format_string(f"{prefix}_%s_%0{digits}d", F.element_at(F.split("file_path", "/"), -1), F.col("line") - 1)
+
+
+Pattern = str | Sequence[str]
+
+
+def _fits(pattern: Pattern, name: str) -> bool:
+    """All words of a pattern are in a name, and none that it has with ``!``."""
+    words = (pattern,) if isinstance(pattern, str) else pattern
+    return all((w[1:] not in name) if w.startswith("!") else (w in name) for w in words)
+
+
+def map_columns(df: DataFrame, wanted: dict[str, tuple[Sequence[Pattern], str, object]]) -> DataFrame:
     """A table of unknown header as a known one.
 
-    ``wanted`` has for each column the name patterns that may supply it, its type and a default. The first column whose
-    name contains a pattern supplies it; values that don't fit the type take the default. Missing ids are made from the
-    row's place.
+    ``wanted`` has for each column the patterns of names that may supply it, its type and a default, a value or a Column such as
+    ``made_id``. A pattern is a word that the name holds, or several that it holds all, or doesn't where ``!`` stands in front. A column
+    goes to the first of ``wanted`` that it fits; of several columns the last that has a value supplies it. Empty values, and values
+    that don't fit the type, take the default.
     """
+    supply: dict[str, list[str]] = {name: [] for name in wanted}
+    for c in df.columns:
+        if target := next((n for n, (patterns, _, _) in wanted.items() if any(_fits(p, c.lower()) for p in patterns)), None):
+            supply[target].insert(0, c)
     chosen = []
-    for name, (patterns, kind, default) in wanted.items():
-        source = next((c for p in patterns for c in df.columns if p in c.lower()), None)
-        value = F.col(f"`{source}`").try_cast(kind) if source else F.lit(None).cast(kind)
-        if name == id_column:
-            made = F.concat(F.lit(f"{id_prefix}_"), F.lpad(F.monotonically_increasing_id().cast("string"), 6, "0"))
-            chosen.append(F.coalesce(value, made).alias(name))
-        else:
-            chosen.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
+    for name, (_, kind, default) in wanted.items():
+        values = [empty_to_null(F.col(f"`{c}`").cast("string")).try_cast(kind) for c in supply[name]]
+        other = default if isinstance(default, Column) else F.lit(default)
+        chosen.append(F.coalesce(*values, other.cast(kind)).alias(name))
     return df.select(chosen)
 
 

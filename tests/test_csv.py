@@ -146,10 +146,10 @@ def test_grouped_input_and_unknown_headers(spark, tmp_path):
     (tmp_path / "g.csv").write_text("year,semester,store_id,total_final_amount,count\n2024,1,5,7.5,2\n")
     grouped = T.read_grouped(spark, f"file://{tmp_path}/g.csv", STORES_GROUPED)
     assert T.is_grouped(grouped, "year", "semester") and grouped.first().total_final_amount == 7.5
-    odd = spark.createDataFrame([("A", "3", "x"), (None, "4.5", "y")], "TransactionId string, Total_Paid string, other string")
-    wanted = {"transaction_id": (["transactionid"], "string", None), "final_amount": (["total", "amount"], "double", 0.0), "store_id": (["store"], "string", "STORE_01")}
-    out = {(r.final_amount, r.store_id): r.transaction_id for r in T.map_columns(odd, wanted, "transaction_id").collect()}
-    assert out[(3.0, "STORE_01")] == "A" and out[(4.5, "STORE_01")].startswith("TXN_")
+    odd = spark.createDataFrame([("A", "3", "x", "f/g.csv", 2), (None, "4.5", "y", "f/g.csv", 1234569)], "TransactionId string, Total_Paid string, other string, file_path string, line long")
+    wanted = {"transaction_id": (["transactionid"], "string", T.made_id("TXN")), "final_amount": (["total", "amount"], "double", 0.0), "store_id": (["store"], "string", "STORE_01")}
+    out = {(r.final_amount, r.store_id): r.transaction_id for r in T.map_columns(odd, wanted).collect()}
+    assert out[(3.0, "STORE_01")] == "A" and out[(4.5, "STORE_01")] == "TXN_g.csv_1234568"
 
 
 def test_simulated_tables(spark):
@@ -157,3 +157,104 @@ def test_simulated_tables(spark):
     assert tx.count() == 50_000 and tx.select("user_id").distinct().count() == 1000
     users, top = T.simulated_users(spark, 1000), T.simulated_top_users(spark, 1000)
     assert users.join(top, "user_id").count() == 1000 and top.select("store_id").distinct().count() == 50
+
+
+QUOTED = """item_id,item_name,coffee_category,price,is_seasonal,available_from,available_to
+1,"Latte ""XL"", hot",coffee,3.5,False,,
+2,"line
+break, and ""another""
+",tea,2,False,,
+3,plain,tea,1,False,,
+4,"",tea,1,False,,
+5,"ends with cr\r
+",tea,"1,5",False,,\r
+6,last,"a
+b",1,False,,
+"""
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def at(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+
+    yield at
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", [41, 128 << 20])
+def test_quoted_records_equal_another_reader(spark, tmp_path, small_splits, size):
+    duckdb = pytest.importorskip("duckdb")
+    small_splits(size)
+    folder = tmp_path / "menu_items"
+    folder.mkdir()
+    body = QUOTED.split("\n", 1)[1].replace("\r\n6", "\n6")
+    (folder / "a.csv").write_bytes((QUOTED.split("\n", 1)[0] + "\n" + body * 6).encode())
+    (folder / "b.csv").write_bytes(b"item_id,item_name,coffee_category,price,is_seasonal,available_from,available_to\n9,no quotes,c,1,False,,\n")
+    (folder / "empty.csv").write_bytes(b"")
+    raw = T.read_raw(spark, f"file://{folder}", MENU_ITEMS)
+    good, bad = T.split_good_bad(raw, MENU_ITEMS)
+    ours = sorted((tuple(r) for r in good.select("item_id", "item_name", "coffee_category", "price").collect()), key=repr)
+    theirs = []
+    for name in ("a.csv", "b.csv"):
+        theirs += duckdb.sql(f"""SELECT item_id, item_name, coffee_category, price FROM read_csv('{folder}/{name}', header = true, all_varchar = true, quote = '"', escape = '"', delim = ',')""").fetchall()
+    empty = lambda rows: [tuple(v or None for v in r) for r in rows]
+    assert sorted(empty(ours), key=repr) == sorted(empty(theirs), key=repr) and bad.count() == 0
+    lines = [(r.file_path, r.line) for r in good.collect()]
+    assert len(set(lines)) == len(lines) and {n for f, n in lines if f.endswith("a.csv")} == {2 + 10 * i + k for i in range(6) for k in (0, 1, 4, 5, 6, 8)}
+
+
+def test_open_quote_at_the_end_is_quarantined(spark, tmp_path, small_splits):
+    small_splits(50)
+    (tmp_path / "x.csv").write_text(QUOTED + '7,"never closed\n8,a,b,c,d,e,f\n')
+    good, bad = T.split_good_bad(T.read_raw(spark, f"file://{tmp_path}", MENU_ITEMS), MENU_ITEMS)
+    assert {r.item_id for r in good.collect()} == set("123456") and [r.line_text for r in bad.collect()] == ['7,"never closed\n8,a,b,c,d,e,f']
+
+
+def test_many_splits_are_joined_by_a_shuffle(spark, tmp_path, small_splits, monkeypatch):
+    from ledgerloom.sources import records
+
+    monkeypatch.setattr(records, "SPLIT_BYTES", 1)
+    small_splits(30)
+    (tmp_path / "x.csv").write_text(QUOTED)
+    assert T.split_good_bad(T.read_raw(spark, f"file://{tmp_path}", MENU_ITEMS), MENU_ITEMS)[0].count() == 6
+
+
+def test_other_splits_than_counted_are_an_error(spark, tmp_path, small_splits):
+    from ledgerloom.sources.records import read_lines
+
+    (tmp_path / "x.csv").write_text("a\nb\n" * 100)
+    small_splits(200)
+    lines = read_lines(spark, f"file://{tmp_path}")
+    assert [(r.line, r.value) for r in lines.orderBy("line").limit(3).collect()] == [(1, "a"), (2, "b"), (3, "a")]
+    lines = read_lines(spark, f"file://{tmp_path}")
+    small_splits(130)
+    with pytest.raises(Exception, match="files are split in another way"):
+        lines.collect()
+
+
+def test_quoted_headers_fit(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('"item_id","item_name", coffee_category ,price,is_seasonal,available_from,"available_to"\n')
+    (tmp_path / "y.csv").write_text('"item_id,item_name",coffee_category,price,is_seasonal,available_from,available_to\n')
+    assert {r.file_path[-5:]: r.matches for r in T.header_matches(spark, f"file://{tmp_path}", MENU_ITEMS).collect()} == {"x.csv": True, "y.csv": False}
+
+
+def test_unknown_header_patterns(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('Transaction ID,Product ID,"Price, total",Price,Store Name,store id,x,x\n,P1,3,2,"A, b",7,1,2\nT2,,bad,,,,\n')
+    raw = T.read_unknown(spark, f"file://{tmp_path}")
+    assert raw.columns[6:8] == ["x", "x_8"]
+    wanted = {
+        "transaction_id": ([("transaction", "id")], "string", T.made_id("TXN")), "user_id": (["customer"], "string", T.made_id("CUST", cycle=1000)), "item_id": ([("product", "id")], "string", T.made_id("PROD", 3, 100)),
+        "unit_price": ([("price", "!total")], "double", 10.0), "final_amount": (["total", "amount"], "double", 10.0), "store_id": ([("store", "id")], "string", "ST01"), "store_name": ([("store", "name")], "string", "Store"),
+    }
+    found = sorted(tuple(r) for r in T.map_columns(raw, wanted).collect())
+    assert found == [("T2", "CUST_000002", "PROD_002", 10.0, 10.0, "ST01", "Store"), ("TXN_x.csv_000001", "CUST_000001", "P1", 2.0, 3.0, "7", "A, b")]
+
+
+def test_result_lines_keep_odd_clients_and_fields(spark, tmp_path):
+    rows = [("01", 'a,"b"\nc', "x"), ("1", None, "y"), ("a b/c:1", "p + q%2F", "z"), (None, "a", "w")]
+    df = spark.createDataFrame(rows, "client_id string, f string, g string")
+    write_result_files(result_lines(df, 2).unionByName(result_lines(df, 3)), f"file://{tmp_path}/r")
+    assert sorted((tuple(r) for r in read_result_files(spark, f"file://{tmp_path}/r", 2, ["f", "g"]).collect()), key=repr) == sorted(rows, key=repr)

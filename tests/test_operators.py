@@ -5,6 +5,7 @@ import io
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from support import DATA
 from ledgerloom.functions import columns as C
@@ -105,16 +106,44 @@ def test_bucket_files_and_finished_clients(spark, tmp_path):
     assert CMP.misplaced_rows(rows, stored, "bucket", "user_id", 8).count() == 0
     moved = stored.withColumn("bucket", F.when(F.col("user_id") == 5, (F.col("bucket") + 1) % 8).otherwise(F.col("bucket")))
     assert [r.user_id for r in CMP.misplaced_rows(rows, moved, "bucket", "user_id", 8).collect()] == [5]
-    L.drop_client(path, spark, "CLI0")
+    assert L.drop_client(path, spark, "CLI0", stored.schema, partition_by=["client_id", "bucket"]) == 50
     assert {r.client_id for r in spark.read.parquet(path).select("client_id").distinct().collect()} == {"CLI1"}
     odd = ["a b/c:1", "../b", "x%2Fy", "plain", "é=?"]
     path = f"file://{tmp_path}/odd"
     spark.createDataFrame([(c, i) for i, c in enumerate(odd)], "client_id string, n int").write.partitionBy("client_id").parquet(path)
     for i, c in enumerate(odd[:3]):
-        L.drop_client(path, spark, c)
+        assert L.drop_client(path, spark, c, StructType.fromDDL("client_id string, n int")) == 1
         assert {r.client_id for r in spark.read.parquet(path).collect()} == set(odd[i + 1 :])
 
 
+ODD_IDS = ["01", "1", "1e3", "2024-01-01", "a b/c:1", "it's", None]
+
+
+def test_ids_stay_text(spark, tmp_path):
+    rows = spark.createDataFrame([(c, n, 7) for c in ODD_IDS for n in (1, 2)], "client_id string, row_number int, v int")
+    path = f"file://{tmp_path}/t"
+    assert [L.append_missing(rows, path, ("client_id", "row_number"), partition_by="client_id") for _ in range(3)] == [14, 0, 0]
+    more = rows.withColumn("row_number", F.col("row_number") + 1)
+    assert L.append_missing(more, path, ("client_id", "row_number"), partition_by="client_id") == 7
+    assert L.drop_client(path, spark, "nobody", rows.schema) == 0
+    for i, c in enumerate(ODD_IDS):
+        assert L.drop_client(path, spark, c, rows.schema) == 3
+        assert {r.client_id for r in L.read_stored(spark, path, rows.schema).collect()} == set(ODD_IDS[i + 1 :])
+    assert spark.catalog.listTables() == []
+
+
+def test_chunks_replace_themselves(spark, tmp_path):
+    rows = spark.createDataFrame([(c, k, n) for c in ODD_IDS for k in ("01", "1") for n in (1, 2)], "client_id string, chunk_id string, v int")
+    path = f"file://{tmp_path}/t"
+    L.replace_partitions(rows, path, ["client_id", "chunk_id"])
+    L.replace_partitions(rows.where("client_id = '01' AND chunk_id = '01'").limit(1), path, ["client_id", "chunk_id"])
+    stored = L.read_stored(spark, path, rows.schema)
+    assert stored.count() == 27 and stored.where("client_id = '01' AND chunk_id = '01'").count() == 1 and stored.where("client_id = '1' AND chunk_id = '01'").count() == 2
+    assert L.drop_client(path, spark, "01", rows.schema, partition_by=["client_id", "chunk_id"]) == 3
+    assert L.read_stored(spark, path, rows.schema).count() == 24
+    assert L.read_stored(spark, f"{path}-none", rows.schema).count() == 0
+
+
 def test_chunk_numbers_are_those_of_one_sort(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "a").otherwise(F.lit(None)).alias("f"), (F.col("id") * 7919 % 5000).alias("k"))
     found = M.number_chunks(rows, ["f"], ["k"], 100).collect()
