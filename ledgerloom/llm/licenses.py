@@ -18,20 +18,50 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 # Notices that are searched with errors, and their labels. Words as the scan sees them.
 NOTICES = {
     "licensed under the apache license version 2 0": "apache-2.0",
+    "licensed under the apache license version 2": "apache-2.0",
+    "licensed under the apache license version 1 1": "apache-1.1",
+    "the apache software license version 1 1": "apache-1.1",
     "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "licensed under the boost software license version 1 0": "bsl-1.0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this work is licensed under the gnu general public license version 2": "gpl-2.0",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
+    "under the terms of the gnu general public license version 2": "gpl-2.0",
+    "under the terms of the gnu general public license version 3": "gpl-3.0",
     "this program is free software you can redistribute it and or modify it": "gpl",
+    "gnu library general public license": "lgpl",
     "gnu lesser general public license": "lgpl",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3.0",
     "gnu affero general public license": "agpl",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
+    "gnu affero general public license version 3": "agpl-3.0",
+    "gnu free documentation license": "gfdl",
     "licensed under cc by 4 0": "cc-by-4.0",
+    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
+    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-4.0",
+    "licensed under cc by 3 0": "cc-by-3.0",
+    "licensed under cc by sa 3 0": "cc-by-sa-3.0",
+    "licensed under cc by nc 3 0": "cc-by-nc-3.0",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "mozilla public license version 1 1": "mpl-1.1",
     "mozilla public license version 2 0": "mpl-2.0",
+    "eclipse public license version 1 0": "epl-1.0",
+    "eclipse public license version 2 0": "epl-2.0",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "all rights reserved": "reserved",
 }
+# Words that tell licenses apart, as numbers do; they must stand in a match as they stand in the notice.
+TELLING = frozenset(("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "library", "affero"))
 #: Edits (insertions, deletions, substitutions of characters) allowed: one in so many characters of the notice.
 CHARS_PER_EDIT = 12
 #: Bytes that are word characters stay, A-Z becomes a-z, all others become spaces.
@@ -57,6 +87,11 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def telling(words: list[str]) -> list[str]:
+    """The numbers and telling words among ``words``, in their order."""
+    return [w for w in words if w in TELLING or w.isdecimal()]
+
+
 def normalised(text: str) -> str:
     """Words of ``text`` with one space between them: A-Z lower-cased, words being runs of ASCII letters, digits and non-ASCII characters."""
     return b" ".join(text.encode().translate(_SPACED).split()).decode()
@@ -71,7 +106,8 @@ class Scanner:
         self.notices = []
         for k, (notice, label) in enumerate((notices or NOTICES).items()):
             e = max_edits(notice, chars_per_edit)
-            self.notices.append((label, len(notice), e, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={e}}}")))
+            words = notice.split(" ")
+            self.notices.append((label, len(notice), e, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={e}}}"), telling(words), words[-1].isdecimal()))
             for at, piece in pieces(notice, e):
                 found.setdefault(piece, []).append((k, at, len(piece)))
         for piece, where in found.items():
@@ -79,32 +115,33 @@ class Scanner:
         self.seeds.make_automaton()
 
     def fuzzy(self, text: str) -> list[Hit]:
-        """The matches of each notice in a normalised text: all spans of whole words within the allowed edits, of which those with
-        the fewest edits stay where spans of one notice overlap.
+        """The best matches in a normalised text: of all spans of whole words within the allowed edits of a notice, those that have
+        most of it right stay where spans overlap, of one notice or of several.
 
         A part found at i puts the notice's start within the allowed edits of i less the part's place, and every match has a part
-        that stands unchanged, so the borders of words there are all the spans there are.
+        that stands unchanged, so the borders of words there are all the spans there are. Numbers and telling words of a span must
+        be those of the notice, and no number goes on behind a notice that ends with one: version 2 is not version 2.1, nor NC SA.
         """
-        spans: dict[int, dict[tuple[int, int], int | None]] = {}
+        spans: dict[tuple[int, int, int], int | None] = {}
         for last, where in self.seeds.iter(text):
             for k, at, n in where:
-                _, size, e, pattern = self.notices[k]
+                _, size, e, pattern, told, numbered = self.notices[k]
                 start = last - n + 1 - at
-                mine = spans.setdefault(k, {})
                 for u in self.borders(text, start - e - 1, start + e, 1):
                     for v in self.borders(text, max(u + size - e, last + 1 - e), u + size + e + 1, 0):
-                        if u < v and (u, v) not in mine:
+                        if u < v and (k, u, v) not in spans:
                             f = pattern.fullmatch(text, u, v)
-                            mine[u, v] = sum(f.fuzzy_counts) if f else None
-        hits = set()
-        for k, mine in spans.items():
-            label, size, _, _ = self.notices[k]
-            kept: list[tuple[int, int]] = []
-            for edits, u, v in sorted((edits, u, v) for (u, v), edits in mine.items() if edits is not None):
-                i = bisect.bisect(kept, (u, v))
-                if (i == 0 or kept[i - 1][1] <= u) and (i == len(kept) or v <= kept[i][0]):
-                    kept.insert(i, (u, v))
-                    hits.add(Hit(label, u, v, edits, round(1 - edits / size, 6)))
+                            if f and (telling(text[u:v].split(" ")) != told or numbered and text[v + 1 : v + 12].split(" ")[0].isdecimal()):
+                                f = None
+                            spans[k, u, v] = sum(f.fuzzy_counts) if f else None
+        hits: list[Hit] = []
+        kept: list[tuple[int, int]] = []
+        for _, u, v, k, edits in sorted((edits - self.notices[k][1], u, v, k, edits) for (k, u, v), edits in spans.items() if edits is not None):
+            i = bisect.bisect(kept, (u, v))
+            if (i == 0 or kept[i - 1][1] <= u) and (i == len(kept) or v <= kept[i][0]):
+                kept.insert(i, (u, v))
+                label, size = self.notices[k][:2]
+                hits.append(Hit(label, u, v, edits, round(1 - edits / size, 6)))
         return sorted(hits, key=lambda h: (h.start, h.end, h.label, h.edits))
 
     @staticmethod
@@ -140,8 +177,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_words, the exact places of the base phrases, labels with those of the fuzzy search, score and spans.
 
     ``spans`` has each match of a notice: start and end word numbers (end exclusive) and edits. ``score`` is 1 if a base
-    phrase occurs, else the largest share of a matched notice's characters without an edit, else 0. ``notices`` are normalised
-    texts with their labels, the library's own few by default; the time a text takes is in proportion to its length and to the
+    phrase occurs, else the largest share of a matched notice's characters without an edit, else 0. Of overlapping matches, that
+    which has most characters of its notice right stays. ``notices`` are normalised texts with their labels, the library's own
+    short ones by default; the time a text takes is in proportion to its length and to the
     places where parts of notices stand in it. Null text counts as
     empty: no words, no places, empty labels, score 0. Ids may be null or repeat. Empty input gives no rows. Other columns
     are ignored. Texts are searched whole.

@@ -1,8 +1,10 @@
 """Token counts, media, codec, license scan, toxicity: against the libraries, round trips, brute force and held-out rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -235,7 +237,7 @@ def edits(a, b):
 def test_fuzzy_search_finds_every_edited_notice():
     import random
 
-    rng, scanner = random.Random(3), licenses.Scanner()
+    rng, scanner, own = random.Random(3), licenses.Scanner(), 0
     for notice, label in licenses.NOTICES.items():
         for _ in range(25):
             text = list(notice)
@@ -245,9 +247,13 @@ def test_fuzzy_search_finds_every_edited_notice():
             changed = "".join(text)
             hay = licenses.normalised(f"some words before {changed} and some after")
             near = min(edits(notice, " ".join(w)) for w in [hay.split()[3:-3]])
-            hits = [h for h in scanner.fuzzy(hay) if h.label == label]
-            if near <= licenses.max_edits(notice):
-                assert hits and min(h.edits for h in hits) <= near
+            told = licenses.telling(hay.split()[3:-3]) == licenses.telling(notice.split())
+            hits = scanner.fuzzy(hay)
+            if near <= licenses.max_edits(notice) and told:
+                # Its own label, or that of a notice of which more is right there, such as a longer one.
+                assert any(h.label == label and h.edits <= near or h.score * 200 > len(notice) - near for h in hits)
+                own += any(h.label == label for h in hits)
+    assert own > 500
     assert not scanner.fuzzy(licenses.normalised("a plain text about rights and wrongs, released under pressure by the general"))
 
 
@@ -276,6 +282,72 @@ def test_license_query_equals_brute_force(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and (not places or (set(base) <= set(labels) and r.score == 1)) and 0 <= r.score <= 1
 
 
+def plain_scan(text):
+    """Labels and score by trying every span of whole words of a text against every notice."""
+    norm = licenses.normalised(text)
+    words = norm.split(" ") if norm else []
+    starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    found = []
+    for notice, label in licenses.NOTICES.items():
+        e, told, last = licenses.max_edits(notice), licenses.telling(notice.split()), notice.split()[-1].isdecimal()
+        counts = Counter(notice)
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                size = starts[j] - starts[i] - 1
+                if size > len(notice) + e:
+                    break
+                if size < len(notice) - e or licenses.telling(words[i:j]) != told or last and j < len(words) and words[j].isdecimal():
+                    continue
+                span = " ".join(words[i:j])
+                if sum((counts - Counter(span)).values()) <= e and (d := edits(notice, span)) <= e:
+                    found.append((d - len(notice), starts[i], starts[j] - 1, label, d, 1 - d / len(notice)))
+    kept = []
+    for f in sorted(found, key=lambda f: (f[:3], list(licenses.NOTICES.values()).index(f[3]))):
+        if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
+            kept.append(f)
+    return {k[3] for k in kept}, max((k[5] for k in kept), default=0.0)
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    for r in licenses.op8_license_scan(spark, f"{DATA}/sf0.001").collect():
+        _, places = plain.base_phrases(docs[r.doc_id])
+        labels, score = plain_scan(docs[r.doc_id])
+        assert set(filter(None, r.labels.split(","))) == labels | {x for _, x in places} and r.score == pytest.approx(1 if places else score, abs=1e-6)
+
+
+# Sentences, as people write them, and the labels that they have.
+SENTENCES = {
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0",
+    "Licensed under CC BY-SA 3.0.": "cc-by,cc-by-sa-3.0", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "This work is licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+    "This work is licensed under the GNU General Public License, version 1.": "gpl", "This work is licensed under the GNU General Public Licence, version 3": "gpl-3.0",
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licenced under the Apache License, Version 2.0.": "apache-2.0", "Licensed under the Apache License, Version 1.1.": "apache-1.1", "Licensed under the Apache License, Version 1.0.": "",
+    "Mozilla Public License Version 1.1": "mpl-1.1", "Mozilla Public License, version 2.0": "mpl-2.0", "Mozila Public License version 2.0": "mpl-2.0", "Mozilla Public License version 3.0": "",
+    "GNU Lesser General Public License version 2.1": "gpl,lgpl-2.1", "GNU Lesser General Public License": "gpl,lgpl", "GNU Affero General Public License version 3": "agpl-3.0,gpl", "Released under the MIT License.": "mit", "All rights reserved.": "reserved",
+    "Creative Commons Attribution-ShareAlike": "cc-by-sa", "Creative Commons Attribution": "cc-by", "Creative Commons Atribution": "cc-by",
+}
+
+
+def test_confusable_licenses_have_their_own_labels(spark):
+    texts = list(SENTENCES)
+    df = spark.createDataFrame([(i, f"Some words. {t} And some more.") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {texts[r.doc_id]: r.labels for r in licenses.scan_licenses(df).collect()} == SENTENCES
+
+
+def test_planted_licenses_on_the_given_tables(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}
+    seen = {}
+    for r in licenses.op8_license_scan(spark, f"{DATA}/sf0.1").collect():
+        planted = [s for s in SENTENCES if s in docs[r.doc_id]]
+        want = sorted({x for s in planted for x in SENTENCES[s].split(",")})
+        if planted:
+            assert r.labels == ",".join(want) and r.score == 1 if r.n_base else r.labels == ",".join(want)
+            seen[planted[0]] = seen.get(planted[0], 0) + 1
+        else:
+            assert r.labels == "" and r.score == 0
+    assert sum(seen.values()) > 300 and min(seen.values()) > 50
+
+
 def test_many_adjacent_notices_take_time_in_proportion(spark):
     import time
 
