@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from .common import hint_small, materialize, new_path, open_fs, prepare_tasks
 
 MAGIC = b"\x1f\x8b\x08"
-VERSION = b"WARC/1."
+#: What a record begins with, and the whole version line.
+VERSION, VERSION_LINE = b"WARC/", re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r?\n")
 #: Compressed bytes that are decoded at first to see whether a member is a record.
 PROBE = 512
 CHUNK = 1 << 20
+#: Bytes taken or decoded at once, and the longest header.
+PIECE, HEAD = 1 << 16, 1 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -115,36 +120,90 @@ class _Window:
         return self.data[offset - self.start : offset - self.start + n]
 
 
-def is_record(window: _Window, offset: int) -> bool:
-    """Whether the member at ``offset`` decodes and begins as a WARC record does."""
+class _Stream:
+    """The bytes from an offset on, decoded if ``packed``, to the end of the gzip member there or of the file."""
+
+    def __init__(self, window: _Window, offset: int, packed: bool):
+        self.window, self.at, self.inside, self.buffer, self.ended = window, offset, 0, b"", False
+        self.decoder = zlib.decompressobj(31) if packed else None
+
+    def fill(self) -> bool:
+        """Get some more bytes; False if there are none. A member that is cut short is an error."""
+        while not self.ended:
+            data = self.window.at(self.at, PIECE)
+            if self.decoder is None:
+                self.at, self.ended = self.at + len(data), not data
+            elif not data:
+                raise ValueError("the member is cut short")
+            else:
+                packed, data = len(data), self.decoder.decompress(data, PIECE)
+                self.at += packed - len(self.decoder.unconsumed_tail) - len(self.decoder.unused_data)
+                self.ended = self.decoder.eof
+            if data:
+                self.buffer += data
+                return True
+        return False
+
+    def skip_breaks(self) -> None:
+        """Go past line breaks, of which two follow a record."""
+        while True:
+            rest = self.buffer.lstrip(b"\r\n")
+            self.inside, self.buffer = self.inside + len(self.buffer) - len(rest), rest
+            if rest or not self.fill():
+                return
+
+    def peek(self, n: int) -> bytes:
+        while len(self.buffer) < n and self.fill():
+            pass
+        return self.buffer[:n]
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """The bytes before ``mark``, which is passed; None if it isn't among the next ``most``, and then nothing is passed."""
+        seen = 0
+        while (i := self.buffer.find(mark, max(0, seen - len(mark)), most)) < 0:
+            seen = len(self.buffer)
+            if seen >= most or not self.fill():
+                return None
+        found, self.buffer = self.buffer[:i], self.buffer[i + len(mark) :]
+        self.inside += i + len(mark)
+        return found
+
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes, which must be there, piece by piece."""
+        while n:
+            if not self.buffer and not self.fill():
+                raise ValueError("no block of the stated length")
+            piece, self.buffer = self.buffer[:n], self.buffer[n:]
+            self.inside, n = self.inside + len(piece), n - len(piece)
+            yield piece
+
+    @property
+    def offset(self) -> int:
+        """Where reading stands in a plain file."""
+        return self.at - len(self.buffer)
+
+
+def is_record(window: _Window, offset: int, packed: bool = True) -> bool:
+    """Whether a record begins at ``offset``: the member there decodes to a version line, or one stands there at the start of a line."""
+    if not packed:
+        return VERSION_LINE.match(window.at(offset, 32)) is not None and (offset == 0 or window.at(offset - 1, 1) == b"\n")
     try:
-        return zlib.decompressobj(31).decompress(window.at(offset, PROBE), len(VERSION)) == VERSION
+        return VERSION_LINE.match(zlib.decompressobj(31).decompress(window.at(offset, PROBE), 32)) is not None
     except zlib.error:
         return False
 
 
-def read_member(window: _Window, offset: int) -> tuple[bytes, int]:
-    """The decoded member at ``offset`` and the offset after it; raises if it is cut short."""
-    decoder, parts, at = zlib.decompressobj(31), [], offset
-    while not decoder.eof:
-        data = window.at(at, CHUNK)
-        if not data:
-            raise ValueError(f"record at {offset} is cut short")
-        parts.append(decoder.decompress(data))
-        at += len(data) - len(decoder.unused_data)
-    return b"".join(parts), at
-
-
-def next_record(window: _Window, offset: int, end: int) -> int | None:
+def next_record(window: _Window, offset: int, end: int, packed: bool = True) -> int | None:
     """The first record that starts in [offset, end)."""
+    mark = MAGIC if packed else VERSION
     while offset < end:
-        data = window.at(offset, min(CHUNK, end - offset) + len(MAGIC) - 1)
-        i = data.find(MAGIC)
+        data = window.at(offset, min(CHUNK, end - offset) + len(mark) - 1)
+        i = data.find(mark)
         while i >= 0 and offset + i < end:
-            if is_record(window, offset + i):
+            if is_record(window, offset + i, packed):
                 return offset + i
-            data = window.at(offset, min(CHUNK, end - offset) + len(MAGIC) - 1)
-            i = data.find(MAGIC, i + 1)
+            data = window.at(offset, min(CHUNK, end - offset) + len(mark) - 1)
+            i = data.find(mark, i + 1)
         offset += CHUNK
     return None
 
@@ -168,26 +227,45 @@ def _number(text: str | None) -> int | None:
     return int(text) if text is not None and text.isascii() and text.isdigit() else None
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes | None, int | None]:
-    """Header fields, the payload, and its length; of a revisit no payload, and the length that its HTTP header says, if any.
+class Record(NamedTuple):
+    fields: dict[str, str]
+    payload: bytes | None
+    length: int | None
+    digest: str | None
 
-    The payload of an HTTP message is what follows its own header; of other records it is the whole block.
+
+def read_record(stream: _Stream, keep: bool) -> Record:
+    """The record that begins where ``stream`` stands: header fields, its payload if it is to be kept, length and SHA-1 of it.
+
+    The payload of an HTTP message is what follows its own header; of other records it is the whole block. Of a revisit there is
+    none, and the length is that which its HTTP header says, if any. Blocks are read piece by piece.
     """
-    head, _, body = data.partition(b"\r\n\r\n")
+    head = stream.until(b"\r\n\r\n", HEAD)
+    if head is None or not VERSION_LINE.match(head + b"\r\n"):
+        raise ValueError("no record header")
     fields = header_fields(head)
-    length = _number(fields.get("content-length"))
-    if length is None or length > len(body):
-        raise ValueError("no block of the stated length")
-    block, http = body[:length], None
+    left, http, parts, size, sha = _number(fields.get("content-length")), None, [], 0, hashlib.sha1()
+    if left is None:
+        raise ValueError("no length")
+    stands_at = stream.inside
     if fields.get("content-type", "").lower().startswith("application/http"):
-        lines, found, rest = block.partition(b"\r\n\r\n")
-        http, block = header_fields(lines), rest if found else b""
+        lines = stream.until(b"\r\n\r\n", min(left, HEAD))
+        if lines is None:
+            lines, left = b"".join(stream.pieces(left)), 0
+        else:
+            left -= stream.inside - stands_at
+        http = header_fields(lines)
+    for piece in stream.pieces(left):
+        sha.update(piece)
+        size += len(piece)
+        if keep:
+            parts.append(piece)
     if fields.get("warc-type", "").lower() == "revisit":
-        return fields, None, _number(http.get("content-length")) if http else None
-    return fields, block, len(block)
+        return Record(fields, None, _number(http.get("content-length")) if http else None, None)
+    return Record(fields, b"".join(parts) if keep else None, size, base64.b32encode(sha.digest()).decode())
 
 
-FIELDS = "path string, offset long, end long, record_id string, url string, date string, record_type string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean"
+FIELDS = "path string, offset long, end long, inside long, record_id string, url string, date string, record_type string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean"
 
 
 def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = False, damaged: bool = False) -> DataFrame:
@@ -198,12 +276,15 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
     revisit without one it is null. ``digest_ok`` tells whether the payload has the digest its header says; it is null for
     revisits and where the header has none, or one of another kind, which is then given as it stands.
 
-    Each task has a byte range. It looks for gzip magic, takes a member for a record if its first bytes decode to a WARC
-    version line, and owns the records that start inside its range, reading past its end where a record does. A range
-    that begins inside a stored payload might take an archive quoted there for records: such rows lie before the end of a
-    record found in an earlier range, and are removed by the furthest end of each range, a small table. A member that begins
-    as a record but can't be decoded or parsed is skipped, and the search goes on behind its magic; with ``damaged`` it is a row of
-    that type, so that such members can be counted. No files give no rows.
+    Each task has a byte range. It looks for gzip magic, takes a member for a record if its first bytes decode to a WARC version
+    line, and owns the members that start inside its range, reading past its end where a member does. All records of a member are
+    read, one after the other, so an archive packed as a whole is right, if in one task; ``inside`` is a record's place in what its
+    member decodes to. A file that begins with a version line is plain: there, version lines at the start of a line are looked for
+    instead. A range that begins inside a stored payload might take an archive quoted there for records: such rows lie before
+    the end of a record found in an earlier range, and are removed by the furthest end of each range, a small table.
+
+    With ``damaged``, all bytes that belong to no record are rows of that type too, each run of them with its offset and end, and what
+    is left of a member behind records that could be read; without, they are passed over. No files give no rows.
     """
     spark = files.sparkSession
     prepare_tasks(spark)
@@ -212,41 +293,56 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([pa.field(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
-        for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
-                system, name = open_fs(path)
-                end, rows, held = min(size, start + split_bytes), [], 0
-                with system.open_input_file(name) as handle:
-                    window = _Window(handle)
-                    at = next_record(window, start, end)
-                    while at is not None and at < end:
-                        try:
-                            data, after = read_member(window, at)
-                            fields, body, length = parse_record(data)
-                        except (zlib.error, ValueError):
-                            rows.append([start, path, at, at, None, None, None, "damaged", None, None, None, None] + [None] * payload)
-                            at = next_record(window, at + 1, end)
-                            continue
+    def rows_of(path: str, size: int, start: int) -> Iterator[list]:
+        def unread(offset: int, until: int, inside: int) -> list:
+            return [start, path, offset, until, inside, None, None, None, "damaged", None, None, None, None] + [None] * payload
+
+        system, name = open_fs(path)
+        end, reach = min(size, start + split_bytes), None
+        with system.open_input_file(name) as handle:
+            window = _Window(handle)
+            packed = window.at(0, len(VERSION)) != VERSION
+            at = next_record(window, start, end, packed)
+            while at is not None and at < end:
+                stream, n = _Stream(window, at, packed), 0
+                try:
+                    while True:
+                        stands_at = stream.inside
+                        record = read_record(stream, payload)
+                        stream.skip_breaks()
+                        if not n and reach is not None and at > reach:
+                            yield unread(reach, at, 0)
+                        fields, n, reach = record.fields, n + 1, stream.at if packed else stream.offset
                         digest = fields.get("warc-payload-digest")
                         kind, _, stated = digest.partition(":") if digest else ("", "", "")
-                        mine = base64.b32encode(hashlib.sha1(body).digest()).decode() if body is not None else None
                         known = kind.lower() == "sha1" and len(stated) == 32
-                        shown = stated.upper() if known else digest or mine
-                        rows.append(
-                            [
-                                start, path, at, after, fields.get("warc-record-id", "").strip("<>") or None, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-type", "").lower(),
-                                fields.get("warc-refers-to", "").strip("<>") or None, shown, length, stated.upper() == mine if known and mine else None,
-                            ] + [body] * payload
-                        )
-                        held += len(body or b"") * payload + 300
-                        at = after if window.at(after, len(MAGIC)) == MAGIC and is_record(window, after) else next_record(window, after, end)
-                        if held > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+                        shown = stated.upper() if known else digest or record.digest
+                        yield [
+                            start, path, at, reach, stands_at, fields.get("warc-record-id", "").strip("<>") or None, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-type", "").lower(),
+                            fields.get("warc-refers-to", "").strip("<>") or None, shown, record.length, stated.upper() == record.digest if known and record.digest else None,
+                        ] + [record.payload] * payload
+                        if not packed or not stream.peek(1):
+                            break
+                except (zlib.error, ValueError):
+                    if n:  # what is behind the last record of this member
+                        yield unread(at, reach, stands_at)
+                    at = next_record(window, at + 1, end, packed)
+                    continue
+                at = reach if is_record(window, reach, packed) else next_record(window, reach, end, packed)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.schema([pa.field(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+        rows, held = [], 0
+        for batch in batches:
+            for where in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in rows_of(*where):
+                    rows.append(row)
+                    held += 300 + (len(row[-1] or b"") if payload else 0)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
     total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     # A task has about one range, so that one which is lost costs little.
@@ -255,7 +351,15 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = Fals
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per = materialize(per.select("path", "part", F.max("_end").over(before).alias("_above")), "warc-ends")
     owned = found.join(hint_small(per, 24, "path"), ["path", "part"]).where(F.col("_above").isNull() | (F.col("offset") >= F.col("_above")))
-    return (owned if damaged else owned.where("record_type <> 'damaged'")).drop("part", "_above")
+    if not damaged:
+        return owned.where("record_type <> 'damaged'").drop("part", "_above")
+    # Between ranges, before the first record, behind the last and in files without any: from a row for each range.
+    reach = materialize(owned.groupBy("path", "part").agg(F.min("offset").alias("_first"), F.max("end").alias("_last")), "warc-reach")
+    heads = reach.select("path", F.coalesce(F.max("_last").over(before), F.lit(0)).alias("offset"), F.col("_first").alias("end"))
+    last = reach.groupBy("path").agg(F.max("_last").alias("_last"))
+    tails = files.select("path", "n_bytes").join(last, "path", "left").select("path", F.coalesce("_last", F.lit(0)).alias("offset"), F.col("n_bytes").alias("end"))
+    gaps = heads.unionByName(tails).where("offset < end").select("path", "offset", "end", F.lit(0).cast("long").alias("inside"), F.lit("damaged").alias("record_type"))
+    return owned.drop("part", "_above").unionByName(gaps, allowMissingColumns=True)
 
 
 def page_of(urn: Column) -> Column:

@@ -349,6 +349,40 @@ def test_reader_takes_archives_of_other_writers(spark, tmp_path):
         assert bytes(rows[1].payload) == b"hello" and rows[1].url == "http://a/"
 
 
+def plain_record(version, name, body, extra=()):
+    head = [version, "WARC-Type: resource", f"WARC-Record-ID: <{name}>", *extra, f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [100, 1000, 4 << 20])
+def test_records_that_share_a_member_and_plain_archives(spark, tmp_path, split):
+    import gzip
+
+    bodies = [b"a" * 300, b"WARC/1.0\r\nnot a record " * 20, b"", bytes(range(256)) * 40]
+    records = [plain_record(v, f"r{i}", b) for i, (v, b) in enumerate(zip(("WARC/1.1", "WARC/1.0", "WARC/0.18", "WARC/0.17"), bodies))]
+    want = [(f"r{i}", len(b), digest(b), bytes(b)) for i, b in enumerate(bodies)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:])), b"".join(map(gzip.compress, records))):
+        rows = warc.read_warc(archive(spark, tmp_path, data), split, payload=True, damaged=True).orderBy("offset", "inside").collect()
+        assert [(r.record_id, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in rows] == want
+
+
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_whatever_is_not_read_is_a_damaged_row(spark, tmp_path, split):
+    import gzip
+
+    good = [plain_record("WARC/1.0", f"r{i}", b"x" * 50) for i in range(3)]
+    files = {
+        b"no archive at all" * 20: [("damaged", 0, 340)], b"junk" + gzip.compress(good[0]): [("damaged", 0, 4), ("resource", 4, None)],
+        good[0] + b"garbage" * 30 + b"\r\n" + good[1]: [("resource", 0, None), ("damaged", len(good[0]), len(good[0]) + 212), ("resource", len(good[0]) + 212, None)],
+        gzip.compress(good[0] + b"trailing text"): [("damaged", 0, None), ("resource", 0, None)], good[0] + good[1][:-30]: [("resource", 0, None), ("damaged", len(good[0]), len(good[0] + good[1]) - 30)],
+        gzip.compress(good[0]) + b"\x00" * 99: [("resource", 0, None), ("damaged", len(gzip.compress(good[0])), len(gzip.compress(good[0])) + 99)],
+    }
+    for data, want in files.items():
+        rows = warc.read_warc(archive(spark, tmp_path, data), split, damaged=True).orderBy("offset", "record_type").collect()
+        assert [(r.record_type, r.offset) for r in rows] == [w[:2] for w in want] and all(w[2] in (None, r.end) for r, w in zip(rows, want)), data
+        assert warc.read_warc(archive(spark, tmp_path, data), split).count() == sum(w[0] == "resource" for w in want)
+
+
 def test_warc_of_nothing(spark, empty):
     pages = empty.selectExpr("doc_id AS page_id", "source AS url", "text AS html")
     assert warc.read_warc(warc.write_warc(pages)).count() == 0
