@@ -137,8 +137,8 @@ class _Stream:
                 raise ValueError("the member is cut short")
             else:
                 packed, data = len(data), self.decoder.decompress(data, PIECE)
-                self.at += packed - len(self.decoder.unconsumed_tail) - len(self.decoder.unused_data)
                 self.ended = self.decoder.eof
+                self.at += packed - len(self.decoder.unused_data if self.ended else self.decoder.unconsumed_tail)
             if data:
                 self.buffer += data
                 return True

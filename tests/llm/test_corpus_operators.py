@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import uuid
 from collections import Counter
 
@@ -354,11 +355,11 @@ def plain_record(version, name, body, extra=()):
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
-@pytest.mark.parametrize("split", [100, 1000, 4 << 20])
+@pytest.mark.parametrize("split", [30_000, 4 << 20])
 def test_records_that_share_a_member_and_plain_archives(spark, tmp_path, split):
     import gzip
 
-    bodies = [b"a" * 300, b"WARC/1.0\r\nnot a record " * 20, b"", bytes(range(256)) * 40]
+    bodies = [b"a" * 300_000, b"WARC/1.0\r\nnot a record " * 20, random.Random(2).randbytes(200_000), bytes(range(256)) * 40]
     records = [plain_record(v, f"r{i}", b) for i, (v, b) in enumerate(zip(("WARC/1.1", "WARC/1.0", "WARC/0.18", "WARC/0.17"), bodies))]
     want = [(f"r{i}", len(b), digest(b), bytes(b)) for i, b in enumerate(bodies)]
     for data in (b"".join(records), gzip.compress(b"".join(records)), gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:])), b"".join(map(gzip.compress, records))):
