@@ -7,20 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, prepare_tasks
 from .wordhash import NOT_ALNUM, Words
 
-BITS = 18
+#: Of the hashed terms; words have the lower half of the ids, first letters the upper one.
+BITS = 19
 FACTORS = 4
 PREFIXES = (4, 5)
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 12_000
+#: Bytes of their terms, at most: in the order of a hash, rows are taken up to this.
+TRAIN_BYTES = 64 << 20
 FOLDS, HELD_OUT = 5, 0
-#: Rows of the sample that a term must occur in to be looked at by itself; both terms of a pair; the most frequent terms that pair.
-MIN_ROWS, PAIR_ROWS, PAIR_TERMS = 3, 20, 2048
+#: Rows of the sample that a term must occur in to be looked at by itself, and that a pair must occur in.
+MIN_ROWS, PAIR_ROWS = 3, 20
+#: Chance of even one pair being taken for telling where none is; terms of a block of pairs; steps of the fit at least.
+PAIR_CHANCE, BLOCK_TERMS, LEAST_STEPS = 1e-3, 1024, 1500
 
 
 @dataclass
@@ -49,11 +54,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _logit(share) -> np.ndarray:
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    return np.log(share / (1 - share))
+
+
 def term_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of each text, and bounds: its words and their first bytes, lower-cased in ASCII."""
     words = Words(texts, NOT_ALNUM, PREFIXES)
-    shift = np.uint64(64 - bits)
-    table = np.stack([words.hash, *words.prefix_hash]) >> shift
+    shift, half = np.uint64(65 - bits), np.uint64(1 << (bits - 1))
+    table = np.stack([words.hash >> shift, *((h >> shift) + half for h in words.prefix_hash)])
     ids, bounds = [], [0]
     for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
         ids.append(np.unique(table[:, a:b]))
@@ -71,45 +81,96 @@ def telling(n: np.ndarray, ones: np.ndarray, share: float, z: float = 3.0) -> np
     return (n >= MIN_ROWS) & (np.abs(ones - n * share) >= z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
 
-def telling_pairs(
-    ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, n: np.ndarray, ones: np.ndarray, most: int = PAIR_TERMS, rows: int = PAIR_ROWS, z: float = 12.0
-) -> np.ndarray:
-    """Whether each term is half of a pair that tells more than its halves do: of the rows with both, ``rows`` or more, the
-    share with label 1 is above the shares of both terms, or below both, by ``z`` deviations.
+@dataclass
+class _Pairing:
+    """The sample as pairs are counted in it: for each row its terms by number, for each term the share of label 1."""
+
+    at: np.ndarray
+    bounds: np.ndarray
+    labels: np.ndarray
+    rate: np.ndarray
+    share: float
+
+    def seen(self, block: int, rows: slice) -> np.ndarray:
+        """Rows by the terms of a block, 1 where a row has the term."""
+        first, width = block * BLOCK_TERMS, min(BLOCK_TERMS, len(self.rate) - block * BLOCK_TERMS)
+        bounds = self.bounds[rows.start : rows.stop + 1]
+        at, own = self.at[bounds[0] : bounds[-1]] - first, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        here = (at >= 0) & (at < width)
+        out = np.zeros((len(bounds) - 1, width), np.float32)
+        out[own[here], at[here]] = 1
+        return out
 
-    All pairs of the ``most`` most frequent terms are counted, some rows at a time.
+    def telling(self, i: int, j: int) -> np.ndarray:
+        """Terms of blocks ``i`` and ``j`` that are halves of telling pairs between them (see ``telling_pairs``)."""
+        a, b, most = i * BLOCK_TERMS, j * BLOCK_TERMS, len(self.rate)
+        both = np.zeros((min(BLOCK_TERMS, most - a), min(BLOCK_TERMS, most - b)), np.float32)
+        toxic = np.zeros_like(both)
+        for start in range(0, len(self.labels), 2048):
+            rows = slice(start, min(start + 2048, len(self.labels)))
+            x, y = self.seen(i, rows), self.seen(j, rows)
+            ones = self.labels[rows] > 0
+            both += x.T @ y
+            toxic += x[ones].T @ y[ones]
+        tests = max(1.0, most * (most - 1) / 2)
+        surprise = np.log(tests / PAIR_CHANCE)
+        off = np.zeros(both.shape, bool)
+        p, q = self.rate[a : a + len(both), None], self.rate[None, b : b + both.shape[1]]
+        added = sigmoid(_logit(p) + _logit(q) - _logit(self.share))
+        share = toxic / np.maximum(both, 1)
+        for bound, side in ((np.maximum, 1), (np.minimum, -1)):
+            expected = np.clip(bound(bound(p, q), added), 1e-3, 1 - 1e-3)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                apart = np.where(share > 0, share * np.log(share / expected), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - expected)), 0)
+            off |= (side * (share - expected) > 0) & (both * apart >= surprise)
+        off &= both >= PAIR_ROWS
+        if i == j:
+            np.fill_diagonal(off, False)
+        return np.union1d(np.flatnonzero(off.any(1)) + a, np.flatnonzero(off.any(0)) + b)
+
+
+def telling_pairs(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, n: np.ndarray, ones: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """Whether each word is half of a pair that tells more than its halves do: of the rows with both, ``PAIR_ROWS`` at least, the share
+    with label 1 is above the shares of both words and above what their weights add up to, or below all three, by more than
+    chance would give in any of the pairs.
+
+    All pairs of words that occur in ``PAIR_ROWS`` rows are counted, in blocks of words, which are tasks where a session is given. By
+    Chernoff's bound, ``t`` rows have a share at least as far off with a chance of exp(-t * divergence), which must be below
+    ``PAIR_CHANCE`` over the number of pairs.
     """
     used = np.zeros(len(n), bool)
-    terms = np.argsort(-n, kind="stable")[:most]
-    terms = terms[n[terms] >= rows]
+    terms = np.flatnonzero(n[: len(n) // 2] >= PAIR_ROWS)
+    if len(terms) < 2:
+        return used
     place = np.full(len(n), -1, np.int32)
-    place[terms] = np.arange(len(terms))
-    both, toxic = np.zeros((2, len(terms), len(terms)), np.float32)
-    for a in range(0, len(labels), 1024):
-        b = min(a + 1024, len(labels))
-        at, own = place[ids[bounds[a] : bounds[b]]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-        seen = np.zeros((b - a, len(terms)), np.float32)
-        seen[own[at >= 0], at[at >= 0]] = 1
-        both += seen.T @ seen
-        seen = seen[labels[a:b] > 0]
-        toxic += seen.T @ seen
-    rate = ones[terms] / n[terms]
-    for a in range(0, len(terms), 256):
-        t, m = both[a : a + 256], toxic[a : a + 256]
-        off = np.zeros(t.shape, bool)
-        for bound, side in ((np.maximum, 1), (np.minimum, -1)):
-            expected = np.clip(t * bound(rate[a : a + 256, None], rate), 0.5, np.maximum(t - 0.5, 0.5))
-            off |= side * (m - expected) >= z * np.sqrt(expected * (1 - expected / np.maximum(t, 1)))
-        off &= (t >= rows) & (np.arange(a, a + len(t))[:, None] != np.arange(len(terms)))
-        used[terms[a : a + 256][off.any(1)]] = True
+    place[terms] = np.arange(len(terms), dtype=np.int32)
+    at = place[ids]
+    kept = np.append(0, np.cumsum(at >= 0))[bounds]
+    pairing = _Pairing(at[at >= 0], kept, labels, ones[terms] / n[terms], float(labels.mean()))
+    blocks = -(-len(terms) // BLOCK_TERMS)
+    todo = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    if spark is None:
+        found = [pairing.telling(i, j) for i, j in todo]
+        used[terms[np.concatenate(found)]] = True
+        return used
+    shared = spark.sparkContext.broadcast(pairing)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pydict({"term": pa.array(shared.value.telling(*todo[k]), pa.int64())})
+
+    rows = spark.range(0, len(todo), 1, len(todo)).mapInArrow(count, "term long").distinct().collect()
+    shared.unpersist()
+    used[terms[np.array([r.term for r in rows], np.int64)]] = True
     return used
 
 
-def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 8, batch: int = 16, seed: int = 7) -> Model:
+def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 8, batch: int = 16, seed: int = 7, spark: SparkSession | None = None) -> Model:
     """Logistic loss over the terms that tell the classes apart, by themselves or as halves of pairs. Linear weights by FTRL with an L1
     term, factors by AdaGrad with an L2 term.
 
-    All other terms have weight 0 and no factors. Without both classes the model gives the share of label 1.
+    All other terms have weight 0 and no factors. A small sample is gone through until ``LEAST_STEPS`` are made. Without both classes the model gives the share of label 1.
     """
     rng, size, n = np.random.default_rng(seed), 1 << bits, len(labels)
     share = (labels.sum() + 0.5) / (n + 1)
@@ -117,7 +178,7 @@ def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BIT
     if not 0 < labels.sum() < n:
         return model
     rows, ones = row_counts(ids, size), row_counts(ids[np.repeat(labels > 0, np.diff(bounds))], size)
-    keep = (telling(rows, ones, labels.mean()) | telling_pairs(ids, bounds, labels, rows, ones))[ids]
+    keep = (telling(rows, ones, labels.mean()) | telling_pairs(ids, bounds, labels, rows, ones, spark))[ids]
     bounds = np.append(np.int32(0), np.cumsum(keep, dtype=np.int32))[bounds]
     ids = ids[keep]
     # Weights are fitted on the few terms in use, under numbers of their own.
@@ -126,7 +187,7 @@ def fit(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int = BIT
     small = Model(bits, model.bias, np.zeros(size), rng.normal(0, 0.01, (size, factors)))
     z, squares, v_squares = np.zeros(size), np.zeros(size), np.full(size, 1e-2)
     alpha, beta, l1, l2, v_rate, v_l2 = 0.3, 1.0, 0.3, 0.1, 0.05, 1e-3
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // n))):
         order = rng.permutation(n)
         for i in range(0, n, batch):
             rows = order[i : i + batch]
@@ -161,13 +222,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
-    """Fit on at most ``train_rows`` labelled rows that are not held out; a bounded sample, so it is fitted in one place.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``train_rows`` labelled rows that are not held out, of ``train_bytes`` of terms; a bounded sample, so it is fitted in one place.
 
     Rows with null id or label are left out; of several labels of an id the largest counts. Documents with equal terms and
-    label count once. Without labelled rows every score is one half.
+    label count once, before anything is bounded, however many rows an id has. Without labelled rows every score is one half.
     """
-    prepare_tasks(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare_tasks(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
@@ -177,14 +239,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in byte_slices(batches, "text", 1 << 20):
             ids, bounds = term_ids([t.encode() for t in batch.column("text").to_pylist()], bits)
             terms = [ids[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array(terms, pa.binary())], ["_id", "label", "terms"])
-
-    sample = rows.select("_id", "label", "text").mapInArrow(hashed, f"_id {dict(docs.dtypes)[id_col]}, label double, terms binary")
-    found = sorted({(r["label"], bytes(r["terms"])) for r in sample.collect()})
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(terms, pa.binary())], ["label", "terms"])
+
+    once = rows.select("label", "text").mapInArrow(hashed, "label double, terms binary").distinct()
+    order = [F.xxhash64("terms"), "label", "terms"]
+    bounded = once.orderBy(*order).limit(train_rows)
+    held = F.sum(F.octet_length("terms")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows
+    sample = bounded.withColumn("_held", held).where(F.col("_held") <= train_bytes).select("label", "terms")
+    found = sorted((r["label"], bytes(r["terms"])) for r in sample.collect())
     known_labels, bounds = np.array([y for y, _ in found]), np.cumsum([0, *(len(t) // 4 for _, t in found)])
     ids = np.frombuffer(b"".join([t for _, t in found]), "<i4")
     del found
-    return fit(ids, bounds, known_labels, bits)
+    return fit(ids, bounds, known_labels, bits, spark=spark)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

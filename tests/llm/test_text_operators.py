@@ -419,3 +419,54 @@ def test_toxicity_edges(spark, odd, empty):
     model = toxicity.train(odd, labels)
     assert toxicity.toxicity(odd, model).count() == odd.count() and toxicity.toxicity(empty, model).count() == 0
     assert toxicity.drop_toxic(odd, toxicity.train(empty, labels.limit(0))).columns == odd.columns
+
+
+@pytest.mark.parametrize("rows", [400, 1500])
+def test_pairs_rarer_than_thousands_of_words_are_found(rows):
+    """The label is whether both or none of two words are there, among 2,500 commoner words that tell nothing."""
+    rng = np.random.default_rng(1)
+    seen = rng.random((2 * rows, 2)) < 0.3
+    texts = [" ".join([f"n{k}" for k in np.flatnonzero(rng.random(2500) < 0.4)] + ["insult"] * a + ["group"] * b).encode() for a, b in seen.tolist()]
+    ids, bounds = toxicity.term_ids(texts)
+    labels = (seen[:, 0] == seen[:, 1]).astype(float)
+    model = toxicity.fit(ids[: bounds[rows]], bounds[: rows + 1], labels[:rows])
+    scores = model.logits(ids[bounds[rows] :], bounds[rows:] - bounds[rows])
+    ones, zeros = scores[labels[rows:] > 0], scores[labels[rows:] == 0]
+    assert (ones[:, None] > zeros[None, :]).mean() > 0.95 and 0 < (np.abs(model.factors).sum(1) > 0).sum() < 20
+
+
+def test_pairs_counted_in_tasks_and_here_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    labels = (rng.random(600) < 0.5).astype(float)
+    texts = [" ".join([f"w{k}" for k in np.flatnonzero(rng.random(90) < 0.5)] + (["x", "y"] if y else rng.choice(["x", "y"], 1).tolist())).encode() for y in labels]
+    ids, bounds = toxicity.term_ids(texts)
+    size = 1 << toxicity.BITS
+    n, ones = toxicity.row_counts(ids, size), toxicity.row_counts(ids[np.repeat(labels > 0, np.diff(bounds))], size)
+    whole = toxicity.telling_pairs(ids, bounds, labels, n, ones)
+    assert {int(toxicity.term_ids([w])[0].min()) for w in (b"x", b"y")} <= set(np.flatnonzero(whole))
+    assert (toxicity.telling_pairs(ids, bounds, labels, n, ones, spark) == whole).all()
+
+
+def test_training_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, bounds, labels, *a, **k: seen.append((len(labels), len(ids))))
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "concat('word', id % 3) AS text").unionByName(spark.range(2, 400).selectExpr("id AS doc_id", "concat('a b c d ', id) AS text"))
+    toxicity.train(docs, spark.range(1, 2).selectExpr("id AS doc_id", "1 AS toxic"))
+    toxicity.train(docs, spark.range(2, 400).selectExpr("id AS doc_id", "0 AS toxic"), train_rows=50)
+    toxicity.train(docs, spark.range(2, 400).selectExpr("id AS doc_id", "0 AS toxic"), train_bytes=1000)
+    assert seen[0][0] == 3 and seen[1][0] == 50 and 0 < seen[2][1] * 4 <= 1000
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    d = f"{DATA}/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = toxicity.op9_toxicity(spark, d).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = toxicity.term_ids([texts[r.doc_id].encode()])[0].tolist()
+        v = model.factors[ids].astype(float)
+        pairs = sum(float(v[i] @ v[j]) for i in range(len(ids)) for j in range(i) if v[i].any() and v[j].any())
+        want = 1 / (1 + np.exp(-np.clip(model.bias + float(model.linear[ids].astype(float).sum()) + pairs, -30, 30)))
+        assert r.score == pytest.approx(want, abs=1e-4) and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
