@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +146,10 @@ def telling_pairs(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, n: np
     place = np.full(len(n), -1, np.int32)
     place[terms] = np.arange(len(terms), dtype=np.int32)
     at = place[ids]
-    kept = np.append(0, np.cumsum(at >= 0))[bounds]
-    pairing = _Pairing(at[at >= 0], kept, labels, ones[terms] / n[terms], float(labels.mean()))
+    # Counted row by row: a running sum over all terms would be twice the sample's size.
+    kept = np.cumsum([0, *(np.count_nonzero(at[a:b] >= 0) for a, b in zip(bounds.tolist(), bounds[1:].tolist()))])
+    at = at[at >= 0]
+    pairing = _Pairing(at, kept, labels, ones[terms] / n[terms], float(labels.mean()))
     blocks = -(-len(terms) // BLOCK_TERMS)
     todo = [(i, j) for i in range(blocks) for j in range(i, blocks)]
     if spark is None:
@@ -246,10 +249,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bounded = once.orderBy(*order).limit(train_rows)
     held = F.sum(F.octet_length("terms")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows
     sample = bounded.withColumn("_held", held).where(F.col("_held") <= train_bytes).select("label", "terms")
-    found = sorted((r["label"], bytes(r["terms"])) for r in sample.collect())
-    known_labels, bounds = np.array([y for y, _ in found]), np.cumsum([0, *(len(t) // 4 for _, t in found)])
-    ids = np.frombuffer(b"".join([t for _, t in found]), "<i4")
-    del found
+    found = sample.toArrow().combine_chunks()
+    known_labels, terms = found.column("label").to_numpy(), found.column("terms")
+    bounds = np.append(0, np.cumsum(pc.binary_length(terms).to_numpy() // 4, dtype=np.int64))
+    pieces = [np.frombuffer(x.buffers()[2], "<i4", int(pc.sum(pc.binary_length(x)).as_py() or 0) // 4) for x in terms.chunks if len(x) and x.buffers()[2]]
+    ids = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
+    del found, terms, pieces
     return fit(ids, bounds, known_labels, bits, spark=spark)
 
 
