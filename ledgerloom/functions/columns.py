@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TIMESTAMP = "yyyy-MM-dd H:mm:ss[.SSSSSS]"
-DATE_FORMATS = (TIMESTAMP, "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
+TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
+DATE_FORMATS = (TIMESTAMP, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{4}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$")
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -26,14 +26,20 @@ def half_label(y: Column, s: Column) -> Column:
     return F.format_string("%d-H%d", y, s)
 
 
+def _as_time(text: Column, *forms: str) -> Column:
+    """A time without zone, straight from the text, so that no session's zone moves it or leaves an hour out."""
+    fits = F.trim(text).rlike("|".join(forms))
+    return F.when(fits, F.replace(F.trim(text), F.lit("/"), F.lit("-")).try_cast("timestamp_ntz"))
+
+
 def parse_timestamp(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` with a fraction or a one-digit hour allowed; anything else is null."""
-    return F.try_to_timestamp(F.trim(text), F.lit(TIMESTAMP)).cast("timestamp_ntz")
+    return _as_time(text, TIMESTAMP)
 
 
 def parse_date(text: Column) -> Column:
-    """The first of the accepted layouts that fits, else null."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
+    """Any of the accepted layouts, else null."""
+    return _as_time(text, *DATE_FORMATS)
 
 
 def lenient_int(text: Column) -> Column:

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..functions.columns import normalise_user_id
 
@@ -48,25 +49,42 @@ def unmatched_users(top: DataFrame, users: DataFrame, by: Sequence[str] = ()) ->
     return top.join(users, [*by, "user_id"], "left_anti")
 
 
-def _nth(dim: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return dim.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+def _pick(dim: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """One row per key by aggregation: tasks keep one row of each key before anything is shuffled, so a hot key is no hot task.
+
+    Nulls come first in the order, as in a sort. Rows that tie on all of ``order`` are told apart by their other columns, as far as
+    these can be compared.
+    """
+    rest = [c for c in dim.columns if c not in keys]
+    kinds = {f.name: f.dataType for f in dim.schema.fields}
+    ties = [c for c in rest if c not in order and not isinstance(kinds[c], (MapType, VariantType))]
+    place = F.struct(*(x for c in [*order, *ties] for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c))))
+    best = (F.max_by if last else F.min_by)(F.struct(*rest), place)
+    if not rest:
+        return dim.select(*keys).distinct()
+    return dim.groupBy(*keys).agg(best.alias("_row")).select(*(F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in dim.columns))
 
 
 def last_wins(dim: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with equal keys the last by ``order``: menu items and stores."""
-    return _nth(dim, keys, [F.col(c).desc() for c in order])
+    return _pick(dim, keys, order, True)
 
 
 def first_wins(dim: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with equal keys the first by ``order``: users."""
-    return _nth(dim, keys, [F.col(c).asc() for c in order])
+    return _pick(dim, keys, order, False)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Store a table dealt and sorted by ``key``, so that joins and groupings by it read it as it lies; each bucket is written by one task."""
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def co_partitioned_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", strategy: str | None = None) -> DataFrame:
     """A join by ``key`` after which further joins and groupings by the key need no new shuffle.
 
-    Spark deals both sides by the key, or neither if the tables are stored in buckets of it, broadcasts a side that turns out
+    Spark deals both sides by the key, or neither if both come from ``write_bucketed`` with as many buckets, broadcasts a side that turns out
     small and splits keys that turn out too large. ``strategy`` ("merge", "shuffle_hash") forbids the broadcast.
     """
     return (left.hint(strategy) if strategy else left).join(right, key, how)

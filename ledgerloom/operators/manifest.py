@@ -40,22 +40,40 @@ def chunk_manifest(numbered: DataFrame, file_keys: Sequence[str]) -> DataFrame:
     return chunks.withColumn("is_last_chunk", F.col("chunk_number") == F.max("chunk_number").over(w))
 
 
+def manifest_of(rows: DataFrame, file_keys: Sequence[str], size: int = 1000) -> DataFrame:
+    """The same table from counts alone, as ``number_chunks`` would deal the rows: they are grouped once and never numbered."""
+    per = rows.groupBy(*file_keys).agg(F.count("*").alias("_n"))
+    chunks = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / size).cast("int"))).alias("chunk_number")
+    last = F.col("chunk_number") * size >= F.col("_n")
+    found = per.select(*file_keys, "_n", chunks)
+    return found.select(*file_keys, "chunk_number", F.when(last, F.col("_n") - (F.col("chunk_number") - 1) * size).otherwise(F.lit(size)).cast("bigint").alias("n_rows"), last.alias("is_last_chunk"))
+
+
 #: The number in a file id: the digits at its end, after the code.
 FILE_NUMBER = "try_cast(regexp_extract(file_id, '([0-9]+)$', 1) AS INT)"
 
 
+#: Chunk numbers of a file that are looked at together.
+BLOCK = 4096
+
+
 def file_completeness(manifest: DataFrame, first: int = 1) -> DataFrame:
     """A file is complete when its last chunk was seen and every number from ``first`` up to it. Repeated notices count once, and
     numbers outside the range not at all; ``received`` counts those inside, or all as long as the last isn't known."""
     keys = ["client_id", "file_id", "table_id"]
     once = manifest.groupBy(*keys, "chunk_number").agg(F.max("is_last_chunk").alias("last"), F.max("is_last_from_table").alias("last_file"))
-    per = once.groupBy(*keys).agg(
-        F.max(F.when(F.col("last"), F.col("chunk_number"))).alias("last_chunk"), F.max(F.when(F.col("last_file"), F.expr(FILE_NUMBER))).alias("files_named"),
-        F.count_if(F.col("chunk_number") >= first).alias("_from"), F.max("chunk_number").alias("_most"),
+    # Numbers beyond the last are a fault of the sender. Distinct numbers are counted by blocks of them, so that one pass tells, once the
+    # last is known, how many lie below it: those of lower blocks, and those of its own block, whose numbers are at hand.
+    number = F.col("chunk_number")
+    blocks = once.withColumn("_block", F.floor(number / BLOCK)).groupBy(*keys, "_block").agg(
+        F.max(F.when(F.col("last"), number)).alias("last_chunk"), F.max(F.when(F.col("last_file"), F.expr(FILE_NUMBER))).alias("files_named"), F.collect_list(F.when(number >= first, number)).alias("numbers")
     )
-    # Numbers beyond the last are a fault of the sender; only files that have some are counted again.
-    beyond = once.join(per.where("_most > last_chunk").select(*keys, "last_chunk"), keys).where("chunk_number > last_chunk").groupBy(*keys).agg(F.count("*").alias("_beyond"))
-    found = per.join(beyond, keys, "left").withColumn("received", F.col("_from") - F.coalesce("_beyond", F.lit(0)))
+    # Of the numbers themselves only those of the block that holds the last are kept.
+    mine = F.max_by(F.when(F.col("last_chunk").isNotNull(), F.col("numbers")), F.coalesce("last_chunk", F.lit(-1)))
+    per = blocks.groupBy(*keys).agg(F.max("last_chunk").alias("last_chunk"), F.max("files_named").alias("files_named"), F.collect_list(F.struct("_block", F.size("numbers").alias("n"))).alias("sizes"), mine.alias("mine"))
+    lower = F.aggregate(F.filter("sizes", lambda b: F.coalesce(b["_block"] < F.floor(F.col("last_chunk") / BLOCK), F.lit(True))), F.lit(0), lambda a, b: a + b["n"])
+    inside = F.when(F.col("last_chunk").isNotNull(), F.size(F.filter("mine", lambda c: c <= F.col("last_chunk")))).otherwise(F.lit(0))
+    found = per.withColumn("received", (lower + inside).cast("bigint"))
     complete = F.coalesce(F.col("received") == F.col("last_chunk") - first + 1, F.lit(False))
     return found.select(*keys, "received", "last_chunk", "files_named", complete.alias("complete"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import last_wins
+
 
 def top_k(df: DataFrame, partition: Sequence[str], measure: str, tie: str, k: int = 1, rank: str = "rank") -> DataFrame:
     """The ``k`` rows of each partition with the largest measure; the window's limit is pushed below the shuffle."""
@@ -38,5 +40,4 @@ def top_users(counts: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFram
 
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key by ``order``: how an update replaces what arrived before, ahead of a ranking."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return last_wins(df, keys, [order])

@@ -22,6 +22,7 @@ from ..sources import csv_tables as T
 from ..sources.results import read_result_files, result_lines, write_csv, write_result_files
 from ..sources.scratch import scratch_path
 from ..streaming import pipelines as S
+from ..streaming.clients import client_aggregates, streaming_top_users
 from . import adapters as A
 from . import pipelines as Q
 
@@ -191,6 +192,21 @@ def co_partitioned_join(spark, d):
     return joined.groupBy("store_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"), F.max("s_nationkey").alias("nation"))
 
 
+@query("SELECT l_suppkey AS store_id, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, max(s_nationkey)::INT AS nation, 0 AS exchanges FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def bucketed_join(spark, d):
+    """Both sides stored in buckets of the key: joined and grouped as they lie, without any exchange."""
+    name = uuid.uuid4().hex
+    lines = J.write_bucketed(A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("store_id"), "l_quantity"), f"lines_{name}", "store_id", 8)
+    dims = J.write_bucketed(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("store_id"), "s_nationkey"), f"dims_{name}", "store_id", 8)
+    joined = J.co_partitioned_join(lines, dims, "store_id", strategy="merge")
+    out = joined.groupBy("store_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"), F.max("s_nationkey").alias("nation"))
+    exchanges = out._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    found = _kept(out, "bucketed")
+    for table in (f"lines_{name}", f"dims_{name}"):
+        spark.sql(f"DROP TABLE {table}")
+    return found.withColumn("exchanges", F.lit(exchanges))
+
+
 _TWICE = "SELECT *, 0 AS pos FROM customer UNION ALL SELECT c_custkey, upper(c_name) || '#2', c_nationkey, c_acctbal + 1, c_mktsegment, 1 FROM customer WHERE c_custkey % 3 = 0"
 
 
@@ -272,9 +288,11 @@ def bucket_time(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", C.half_year_bucket(F.col("o_orderdate"), 1996).alias("bucket"))
 
 
-@query()
+@query("SELECT count(*) AS n_rows, least(100, count(DISTINCT (l_partkey, l_suppkey)))::BIGINT AS n_buckets, true AS balanced FROM lineitem")
 def bucket_hash_balance(spark, d):
-    return L.bucket_balance(A.table(spark, d, "lineitem"), 100, "l_partkey", "l_suppkey")
+    """Every bucket has rows, and none twice its share."""
+    per = L.bucket_balance(A.table(spark, d, "lineitem"), 100, "l_partkey", "l_suppkey")
+    return per.agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_buckets"), (F.max("n_rows") < 2 * F.avg("n_rows") + 20).alias("balanced"))
 
 
 @query("SELECT o_orderkey, (o_custkey % 100)::INT AS bucket, ((o_custkey % 100) % 5)::INT AS worker FROM orders")
@@ -399,7 +417,14 @@ def _numbered(spark, d):
 
 @query(f"""SELECT file_id, chunk_number, count(*) AS n_rows, chunk_number = max(chunk_number) OVER (PARTITION BY file_id) AS is_last_chunk FROM ({_CHUNKED}) GROUP BY 1, 2""")
 def chunk_manifest(spark, d):
-    return M.chunk_manifest(_numbered(spark, d), ["file_id"])
+    """From the counts of files alone."""
+    return M.manifest_of(A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("file_id"), "o_orderkey"), ["file_id"], CHUNK)
+
+
+@query(f"""SELECT file_id, chunk_number, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM ({_CHUNKED}) GROUP BY 1, 2""")
+def numbered_chunks(spark, d):
+    """Rows dealt to chunks by their order in the file."""
+    return _numbered(spark, d).groupBy("file_id", "chunk_number").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
 # Orders in chunks of 100 rows: clients are the numbers of nations of the customers mod 3, files two digits, some chunks lost.
@@ -855,17 +880,22 @@ UNION ALL SELECT 'Q2', year || '-' || month, item_id::VARCHAR, item_name, subtot
 UNION ALL SELECT 'Q3', year || '-' || semester, store_id, NULL, total_final_amount FROM ({SQL["q3_tpv_hour_filtered"]})
 UNION ALL SELECT 'Q4', store_id, user_id::VARCHAR, c_name, purchase_count FROM (SELECT user_id, store_id, count AS purchase_count, row_number() OVER (PARTITION BY store_id ORDER BY count DESC, user_id) AS rn
   FROM (SELECT user_id, store_id, count(*) AS count FROM ({EVENT_TX}) GROUP BY 1, 2)) JOIN customer ON user_id = c_custkey WHERE rn <= 3"""
+_ALL = _ALL.replace("DESC, item_id)", "DESC, item_id::VARCHAR)")  # item ids are text in files, so ties go by text
 _CLIENT = "SELECT 'CLI{}' AS client_id, * FROM ({})"
 
 
-@query(f"{_CLIENT.format(1, _ALL)} UNION ALL {_CLIENT.format(2, _ALL)}")
+_ALL_2 = _ALL.replace("FROM events", "FROM (SELECT * FROM events WHERE user_id % 2 = 0)").replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_partkey % 3 = 0)")
+
+
+@query(f"{_CLIENT.format(1, _ALL)} UNION ALL {_CLIENT.format(2, _ALL_2)}")
 def all_queries_csv(spark, d):
-    """All four queries in one run over CSV tables of two clients, who sent the same rows."""
+    """All four queries in one run over CSV tables of two clients, of whom the second sent fewer rows, under the same ids."""
     none = [F.lit(None).cast("string").alias(c) for c in ("payment_method_id", "voucher_id")]
     money = F.col("final_amount").cast("decimal(18,2)")
     tx = _events(spark, d).select("transaction_id", "store_id", *none, F.concat("user_id", F.lit(".0")).alias("user_id"), money.alias("original_amount"), F.lit(0).alias("discount_applied"), money.alias("final_amount"), "created_at")
     frames = {"transactions": tx, "transaction_items": _item_file(spark, d), "menu_items": _menu_file(spark, d), "stores": _store_file(spark, d), "users": _user_file(spark, d)}
-    folders = [_as_csv(spark, frames) for _ in range(2)]
+    fewer = {"transactions": frames["transactions"].where("CAST(CAST(user_id AS DOUBLE) AS BIGINT) % 2 = 0"), "transaction_items": frames["transaction_items"].where("item_id % 3 = 0")}
+    folders = [_as_csv(spark, frames), _as_csv(spark, frames | fewer)]
     kinds = {"TR": "transactions", "TI": "transaction_items", "MN": "menu_items", "ST": "stores", "US": "users"}
     tables = {k: CMP.combine([T.read_table(spark, f"{f}/{name}", k).withColumn("client_id", F.lit(f"CLI{i + 1}")) for i, f in enumerate(folders)]) for k, name in kinds.items()}
     found = Q.all_queries(tables, (*YEARS, 2024, 2025), by=["client_id"])
@@ -926,4 +956,49 @@ def stream_restart(spark, d):
         part.repartition(2).write.mode("append").parquet(src)
         stream = S.drop_redelivered(S.file_stream(spark, src, events.schema, files_per_trigger=1), ["event_id"])
         S.complete_run(S.streaming_aggregate(A.event_transactions(stream), 4), out, checkpoint)
-    return spark.read.parquet(out)
+    return S.read_published(spark, out)
+
+
+@query("""SELECT CASE o_custkey % 3 WHEN 0 THEN '01' ELSE '1' END AS client_id, o_orderpriority AS store_id, round(sum(o_totalprice::DECIMAL(18,2)), 2)::DOUBLE AS total, count(*) AS count
+  FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1, 2""")
+def stream_client_answers(spark, d):
+    """Chunks of three clients, some of them twice, in two runs; one client lacks a chunk and has no answer, the others one each, given when they are whole."""
+    orders = A.table(spark, d, "orders")
+    client = F.when(F.col("o_custkey") % 3 == 0, "01").when(F.col("o_custkey") % 3 == 1, "1").otherwise("c")
+    chunks = orders.select(
+        client.alias("client_id"), F.concat(F.lit("TR0"), F.col("o_orderkey") % 2 + 1).alias("file_id"), (F.col("o_custkey") % 4).cast("int").alias("chunk_number"),
+        (F.col("o_custkey") % 4 == 3).alias("is_last_chunk"), ((F.col("o_custkey") % 4 == 3) & (F.col("o_orderkey") % 2 == 1)).alias("is_last_from_table"), F.col("o_orderpriority").alias("store_id"), F.col("o_totalprice").alias("amount"),
+    ).where("NOT (client_id = 'c' AND chunk_number = 2)")
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("clients-src", "clients-out", "clients-checkpoint"))
+    by = ["client_id", "file_id", "chunk_number"]
+    for i, part in enumerate((chunks.where("chunk_number < 3"), chunks.where("chunk_number = 1 AND client_id <> '1'"), chunks.where("chunk_number >= 2"))):
+        part.repartition(*by).write.partitionBy(*by).parquet(f"{src}/delivery={i}")
+        if i:
+            stream = S.file_stream(spark, src, chunks.schema)
+            S.append_run(client_aggregates(stream, ["store_id"], "amount", buckets=2, first=0), out, checkpoint)
+    return spark.read.schema("client_id string, store_id string, total double, count bigint").parquet(out).drop("batch").withColumn("total", F.round("total", 2))
+
+
+@query(TOP_USERS)
+def stream_top_users(spark, d):
+    """Rankings from counts that grow as batches arrive: three users a store are held, whatever has come."""
+    counts = agg_user_store(spark, d)
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("top-src", "top-out", "top-checkpoint"))
+    for part in (counts.withColumn("count", F.lit(1).cast("bigint")), counts):
+        part.coalesce(2).write.mode("append").parquet(src)
+        stream = S.file_stream(spark, src, counts.schema, files_per_trigger=1)
+        S.upsert_run(streaming_top_users(stream), ["store_id", "rank"], out, checkpoint)
+    return S.read_upserted(spark, out, ["store_id", "rank"]).select("user_id", F.col("store_id").cast("bigint").alias("store_id"), "purchase_count", "rank")
+
+
+@query(f"SELECT 'events' AS step, count(*) AS n_rows, count(*) FILTER (hour(created_at) BETWEEN 6 AND 23) AS in_hours, count(*) FILTER (final_amount >= 75) AS large FROM ({EVENT_TX})")
+def stream_counters(spark, d):
+    """Counters of each batch of a stream that is stopped and started again, as a table."""
+    events = A.table(spark, d, "events")
+    src, out, checkpoint, table = (scratch_path(spark, n) for n in ("counted-src", "counted-out", "counted-checkpoint", "counters"))
+    with S.CounterTable(spark, table) as counters:
+        for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")):
+            part.repartition(2).write.mode("append").parquet(src)
+            rows = A.event_transactions(S.file_stream(spark, src, events.schema, files_per_trigger=1))
+            S.append_run(S.with_stream_counters(rows, "events", in_hours=P.in_hours(F.col("created_at")), large=P.at_least(F.col("final_amount"))), out, checkpoint)
+    return counters.read().groupBy("step").pivot("counter", ["rows", "in_hours", "large"]).agg(F.sum("value")).withColumnRenamed("rows", "n_rows")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def _text(*names: str) -> StructType:
@@ -26,18 +26,6 @@ FOLDERS = {
     "transaction_items": "TI", "payment_methods": "PM", "transactions": "TR", "menu_items": "MN", "vouchers": "VC", "stores": "ST", "users": "US",
 }
 
-ITEMS_GROUPED = StructType(
-    [StructField("year", IntegerType()), StructField("month", IntegerType()), StructField("item_id", StringType()), StructField("quantity", LongType()), StructField("subtotal", DoubleType()), StructField("count", LongType())]
-)
 STORES_GROUPED = StructType(
     [StructField("year", IntegerType()), StructField("semester", IntegerType()), StructField("store_id", StringType()), StructField("total_final_amount", DoubleType()), StructField("count", LongType())]
 )
-TOP_USERS = StructType(
-    [StructField("user_id", LongType()), StructField("store_id", StringType()), StructField("purchase_count", LongType()), StructField("rank", IntegerType())]
-)
-MANIFEST = StructType(
-    [
-        StructField("client_id", StringType()), StructField("file_id", StringType()), StructField("table_id", IntegerType()),
-        StructField("chunk_number", IntegerType()), StructField("is_last_chunk", BooleanType()), StructField("is_last_from_table", BooleanType()),
-    ]
-)

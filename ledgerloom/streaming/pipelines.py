@@ -1,20 +1,25 @@
 """Structured Streaming versions: duplicates, filters, aggregates, rankings, joins and late data.
 
-Aggregates run in complete mode and are stored per batch by overwriting one table, so running a batch again after a
-failure leaves the same result. With the ``availableNow`` trigger a query ends with the answer at the end of the input.
+Aggregates run in complete mode and are published whole, a version for each batch, so running a batch again after a
+failure leaves the same result and readers never see half of one. Aggregates that are given once per client are in ``clients``. With the ``availableNow`` trigger a query ends with the answer at the end of the input.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..operators.aggregates import aggregate
 from ..operators.ranking import top_users
-from ..sources.scratch import scratch_path
+from ..sources.scratch import remove, scratch_path
+
+#: Versions of a published table that stay.
+KEPT_VERSIONS = 3
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -59,15 +64,84 @@ def append_run(stream: DataFrame, out: str, checkpoint: str, per_batch: Callable
     stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def publish(rows: DataFrame, out: str, version: int) -> None:
+    """Write ``rows`` as a version of the table at ``out`` and then, in a row of its own, that it is there.
+
+    Nothing that a reader may be at is touched: until the second write commits, and if it never does, ``read_published`` gives the
+    version before. Writing a version again replaces it.
+    """
+    rows.write.mode("overwrite").parquet(f"{out}/versions/v{version}")
+    pointer = rows.sparkSession.createDataFrame([(version,)], "version bigint")
+    pointer.coalesce(1).write.mode("overwrite").parquet(f"{out}/published/v{version}")
+    # The version before stays for its readers; those further back go as far as can be.
+    remove(f"{out}/versions/v{version - KEPT_VERSIONS}")
+
+
+def read_published(spark: SparkSession, out: str) -> DataFrame:
+    """The newest whole version."""
+    newest = spark.read.schema("version bigint").option("recursiveFileLookup", True).parquet(f"{out}/published").agg(F.max("version")).first()[0]
+    if newest is None:
+        raise ValueError(f"nothing is published in {out}")
+    return spark.read.parquet(f"{out}/versions/v{newest}")
+
+
 def complete_run(aggregated: DataFrame, out: str, checkpoint: str, per_batch: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Run to the end of what is there; ``out`` has the whole aggregate as of the last batch, ranked or joined by ``per_batch``."""
+    """Run to the end of what is there; ``read_published(out)`` has the whole aggregate as of the last batch, ranked or joined by ``per_batch``."""
 
     def store(batch: DataFrame, number: int) -> None:
-        (per_batch(batch) if per_batch else batch).write.mode("overwrite").parquet(out)
+        publish(per_batch(batch) if per_batch else batch, out, number)
 
     aggregated.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+class CounterTable(StreamingQueryListener):
+    """Counters of a stream, from ``observe``, as a table: query, batch, step, counter and value, a folder for each batch of a query.
+
+    A batch that is run again replaces its folder, so sums are right after a restart. Use it as a context around the runs.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.running = spark, path, 0
+        self.ended = threading.Condition()
+
+    def __enter__(self) -> CounterTable:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        """Wait for what the streams that have ended still report."""
+        with self.ended:
+            self.ended.wait_for(lambda: self.running == 0, timeout=60)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        with self.ended:
+            self.running += 1
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = [(str(p.id), p.batchId, step, name, int(value)) for step, seen in p.observedMetrics.items() for name, value in seen.asDict().items() if value is not None]
+        if rows:
+            table = self.spark.createDataFrame(rows, "query string, batch bigint, step string, counter string, value bigint")
+            table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{p.id}-{p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.ended:
+            self.running -= 1
+            self.ended.notify_all()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("query string, batch bigint, step string, counter string, value bigint").option("recursiveFileLookup", True).parquet(self.path)
+
+
+def with_stream_counters(stream: DataFrame, step: str, **conditions: Column) -> DataFrame:
+    """A stream that counts its rows, and those for which each condition holds, in each batch."""
+    return stream.observe(step, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
+
+
 def upsert_run(aggregated: DataFrame, keys: Sequence[str], out: str, checkpoint: str) -> None:
     """Update mode: each batch has the groups that changed; batch folders are kept and ``read_upserted`` takes the newest row."""
 
@@ -89,8 +163,7 @@ def run_and_read(stream: DataFrame, mode: str = "append", per_batch: Callable[[D
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
     (append_run if mode == "append" else complete_run)(stream, out, checkpoint, per_batch)
-    found = spark.read.parquet(out)
-    return found.drop("batch") if mode == "append" else found
+    return spark.read.parquet(out).drop("batch") if mode == "append" else read_published(spark, out)
 
 
 def rank_batch(k: int = 3) -> Callable[[DataFrame], DataFrame]:

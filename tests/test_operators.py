@@ -14,7 +14,7 @@ from ledgerloom.operators import compare as CMP
 from ledgerloom.operators import layout as L
 from ledgerloom.operators import manifest as M
 from ledgerloom.operators.aggregates import aggregate, sorted_by_keys, with_counters
-from ledgerloom.operators.joins import broadcast_below, co_partitioned_join, one_input_many_queries
+from ledgerloom.operators.joins import broadcast_below, co_partitioned_join, first_wins, last_wins, one_input_many_queries
 from ledgerloom.plans.queries import QUERIES
 
 
@@ -43,6 +43,24 @@ def test_times(spark):
     assert [v and v.day for v in ok] == [1, 2, 3, 4, None]
 
 
+def test_times_are_those_of_the_text_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.createDataFrame([("2024-03-31 02:30:00", "2024/03/31 02:30:00")], "a string, b string")
+        assert [str(v) for v in df.select(C.parse_timestamp(F.col("a")).cast("string"), C.parse_date(F.col("b")).cast("string")).first()] == ["2024-03-31 02:30:00"] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rows_of_a_key_are_picked_without_a_sort(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, None, "z"), (2, None, "n"), (None, 1, "x"), (None, 3, "y")], "k int, pos int, v string")
+    assert {(r.k, r.v) for r in last_wins(df, ["k"], ["pos"]).collect()} == {(1, "b"), (2, "n"), (None, "y")}
+    assert {(r.k, r.v) for r in first_wins(df, ["k"], ["pos"]).collect()} == {(1, "z"), (2, "n"), (None, "x")}
+    text = plan(last_wins(df, ["k"], ["pos"]))
+    assert "Window" not in text and text.split("\n\n")[0].count("Exchange (") == 1
+
+
 def test_nan_does_not_pass(spark):
     df = spark.createDataFrame([(75.0,), (74.99,), (float("nan"),), (None,)], "a double")
     assert [r.a for r in df.where(P.at_least(F.col("a"))).collect()] == [75.0]
