@@ -56,12 +56,12 @@ def _pick(dim: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool)
     these can be compared.
     """
     rest = [c for c in dim.columns if c not in keys]
+    if not rest:
+        return dim.distinct()
     kinds = {f.name: f.dataType for f in dim.schema.fields}
     ties = [c for c in rest if c not in order and not isinstance(kinds[c], (MapType, VariantType))]
     place = F.struct(*(x for c in [*order, *ties] for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c))))
     best = (F.max_by if last else F.min_by)(F.struct(*rest), place)
-    if not rest:
-        return dim.select(*keys).distinct()
     return dim.groupBy(*keys).agg(best.alias("_row")).select(*(F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in dim.columns))
 
 
