@@ -25,7 +25,7 @@ _NUMBER = r"[0-9]++(?:[().:/-]{1,3}+[0-9]++)*+"
 #: an @; an address in hexadecimal groups.
 MENTION = (
     rf"(?<![^\x20\x09-\x0D])(?:{SPELLED_AT}|{SPELLED_DIGITS}|{_QUAD}{_ENDS}"
-    rf"|[+(]{{0,3}}+{_NUMBER}{_ENDS}(?:[\x20/-]{{1,3}}+(?!{_QUAD})\(?{_NUMBER}{_ENDS})*+"
+    rf"|[+(]{{0,3}}+{_NUMBER}{_ENDS}(?:(?:(?<=\([0-9]{{1,6}})\))?+[\x20/-]{{1,3}}+(?!{_QUAD})\(?{_NUMBER}{_ENDS})*+"
     r"|[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+|[A-Fa-f]{0,4}+:[A-Fa-f]{0,4}+:[A-Fa-f:]*+(?![^\x20\x09-\x0D]))"
 )
 #: Texts without any of these have no mention.
@@ -33,9 +33,19 @@ _HINT = rf"[0-9@]|[A-Fa-f]:|:[A-Fa-f]|(?i:\bdot\b|{_WORD_DIGIT}[\x20,-])"
 #: A credential: a quoted run of at least 32 letters and digits, four digits and a letter among them.
 SECRET = r"""^["'](?=(?:[A-Za-z+]*+[0-9]){4})(?=[0-9]*+[A-Za-z])[A-Za-z0-9+]{32,}+={0,2}["']"""
 _DATE = r"^\D*(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2}(?:[0-9]{2})?|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2})(?!\d)\D*$"
+#: A word of a context, at most 31 characters of it, and how many there are on a side, with up to eight other characters between.
+WORD = r"\p{L}[\p{L}\p{M}'_-]{0,30}+"
+CONTEXT_WORDS = 3
+_BETWEEN = r"[^\p{L}]"
+_BEFORE = rf"((?:{WORD}{_BETWEEN}{{1,8}}+){{0,{CONTEXT_WORDS - 1}}}{WORD}){_BETWEEN}{{0,8}}+\z"
+_AFTER = rf"^{_BETWEEN}{{0,8}}+({WORD}(?:{_BETWEEN}{{1,8}}+{WORD}){{0,{CONTEXT_WORDS - 1}}}+)"
+#: No context is longer than this, so no more of the text beside a mention is searched for it.
+_REACH = CONTEXT_WORDS * (31 + 8)
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
+#: The prior that a value that nothing is known of is no identifier: it weighs so much against a pattern.
+UNSEEN_WEIGHT = 0.1
 
 
 #: Running sums over arrays go by blocks of so many items: appending to an array copies it, and blocks keep that short.
@@ -75,9 +85,9 @@ def spans_of(text: Column, pattern: str, words: bool = False) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of (start, end, value), in code points.
 
     Built from the text between the matches and the matches themselves, each read by one pass of the pattern. With ``words``
-    also the words before and after each match, lower-cased, or the empty string.
+    also up to ``CONTEXT_WORDS`` words before and after each match, lower-cased, in the order of the text.
     """
-    fields = "start:int,end:int,value:string" + (",left:string,right:string" if words else "")
+    fields = "start:int,end:int,value:string" + (",left:array<string>,right:array<string>" if words else "")
     none = F.expr(f"cast(array() as array<struct<{fields}>>)")
 
     def build(m: Column) -> Column:
@@ -85,8 +95,9 @@ def spans_of(text: Column, pattern: str, words: bool = False) -> Column:
         sizes = F.zip_with(gaps, m["found"], lambda b, v: F.struct(F.length(b).alias("gap"), F.length(v).alias("size")))
         spans = F.zip_with(_let(sizes, _places), m["found"], lambda e, v: F.struct(e["start"].alias("start"), e["end"].alias("end"), v.alias("value")))
         if words:
-            before = lambda b: F.lower(F.regexp_extract(b, r"(\p{L}[\p{L}\p{M}'_-]{0,30})[^\p{L}]{0,8}$", 1))
-            after = lambda b: F.lower(F.regexp_extract(b, r"^[^\p{L}]{0,8}(\p{L}[\p{L}\p{M}'_-]{0,30})", 1))
+            listed = lambda chain: F.regexp_extract_all(F.lower(chain), F.lit(WORD), F.lit(0))
+            before = lambda b: listed(F.regexp_extract(F.right(b, F.lit(_REACH)), _BEFORE, 1))
+            after = lambda b: listed(F.regexp_extract(F.left(b, F.lit(_REACH)), _AFTER, 1))
             sides = F.zip_with(gaps, F.slice(m["between"], 2, F.size(m["found"])), lambda b, a: F.struct(before(b).alias("left"), after(a).alias("right")))
             spans = F.zip_with(spans, sides, lambda s, w: F.struct(*(s[k].alias(k) for k in ("start", "end", "value")), w["left"].alias("left"), w["right"].alias("right")))
         return F.when(F.size(m["found"]) > 0, spans).otherwise(none)
@@ -151,47 +162,66 @@ def has_form(value: Column, kind: Column) -> Column:
     return (is_address(value) == (kind == "email")) & ((kind == "secret") | ~value.rlike(SECRET))
 
 
-def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
+def patterns_of(left: Column, right: Column) -> Column:
+    """The lexical patterns of a mention: one to three words before it, one to three after it, and the nearest on both sides."""
+    none, bar, space = F.expr("cast(array() as array<string>)"), F.lit("|"), " "
+    sizes = lambda words: F.sequence(F.lit(1), F.size(words))
+    lefts = F.transform(sizes(left), lambda k: F.concat(F.array_join(F.slice(left, F.size(left) - k + 1, k), space), bar))
+    rights = F.transform(sizes(right), lambda k: F.concat(bar, F.array_join(F.slice(right, F.lit(1), k), space)))
+    both = F.array(F.concat(F.get(left, F.size(left) - 1), bar, F.get(right, F.lit(0))))
+    has_left, has_right = F.size(left) > 0, F.size(right) > 0
+    return F.concat(F.when(has_left, lefts).otherwise(none), F.when(has_right, rights).otherwise(none), F.when(has_left & has_right, both).otherwise(none))
+
+
+def _bootstrap(mentions: DataFrame, rounds: int, min_support: int, min_confidence: float, unseen_weight: float) -> DataFrame:
     """Patterns with their kind and confidence from the graph of patterns and instances.
 
     ``mentions`` has pattern, value (of the base span that touches the mention, else its own), kind (of that span, or that of
-    credentials, else null) and ordinary. An instance is a value, an edge says that it occurs in a pattern. Base values of a kind score 1,
-    ordinary values are known negatives, and others are unseen: they count neither for nor against a pattern. In each round a
-    pattern's confidence for a kind is the score of its instances of that kind over the number of its instances that have a
-    score or are negatives, counted once each, if at least ``min_support`` have a score of the kind; an unseen instance of a
-    form that the kind can have then gets the confidence of its best pattern above the threshold.
+    credentials, else null) and ordinary. An instance is a value, an edge says that it occurs in a pattern. Base values of a
+    kind score 1, ordinary values are known negatives, and others are unseen. In each round a pattern's confidence for a kind is
+    the score of its instances of that kind over the number of its instances that have a score or are negatives, counted once
+    each, and ``unseen_weight`` times that of the rest, if at least ``min_support`` have a score of the kind; an unseen instance of
+    a form that the kind can have then gets the confidence of its best pattern above the threshold, and with it a score.
+
+    Patterns of fewer than ``min_support`` distinct values can never hold, so they leave before the rounds.
     """
     edges = materialize(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.min("ordinary").alias("ordinary")), "pii-edges")
-    negatives = materialize(edges.where("kind IS NULL AND ordinary").groupBy("pattern").agg(F.count("*").alias("negatives")), "pii-negatives")
-    scores = materialize(edges.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
-    unseen = edges.where("kind IS NULL AND NOT ordinary").select("pattern", "value").join(scores.select("value"), "value", "left_anti")
-    seeds = scores
-    patterns = None
+    negative = F.count_if(F.col("kind").isNull() & F.col("ordinary"))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n_values"), negative.alias("negatives")).where(F.col("n_values") >= min_support)
+    sizes = materialize(sizes, "pii-sizes")
+    edges = materialize(edges.join(hint_small(sizes.select("pattern"), 24, "pattern"), "pattern"), "pii-graph")
+    seeds = materialize(edges.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
+    unseen = edges.where("kind IS NULL AND NOT ordinary").select("pattern", "value").join(seeds.select("value").distinct(), "value", "left_anti")
+    scores, patterns = seeds, None
     for k in range(rounds):
         support = edges.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("score").alias("mass"))
         per_kind = support.groupBy("pattern").agg(F.sum("support").alias("scored"), F.collect_list(F.struct("kind", "support", "mass")).alias("kinds"))
-        known = per_kind.join(negatives, "pattern", "left").select("pattern", (F.col("scored") + F.coalesce("negatives", F.lit(0))).alias("n"), F.explode("kinds").alias("s"))
-        good = known.select("pattern", "s.kind", "s.support", (F.col("s.mass") / F.col("n")).alias("confidence")).where(F.col("support") >= min_support)
+        known = F.col("scored") + F.col("negatives")
+        rest = F.greatest(F.col("n_values") - known, F.lit(0))
+        weighed = per_kind.join(sizes, "pattern").select("pattern", (known + F.lit(unseen_weight) * rest).alias("n"), F.explode("kinds").alias("s"))
+        good = weighed.select("pattern", "s.kind", "s.support", (F.col("s.mass") / F.col("n")).alias("confidence")).where(F.col("support") >= min_support)
         best = F.max(F.struct("confidence", "kind"))
         good = good.where(F.col("confidence") >= min_confidence).groupBy("pattern").agg(best.alias("b"))
         patterns = materialize(good.select("pattern", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence")), f"pii-patterns-{k}")
         if k + 1 < rounds:
-            found = unseen.join(hint_small(patterns, 120), "pattern").where(has_form(F.col("value"), F.col("kind")))
+            found = unseen.join(hint_small(patterns, 64, "pattern"), "pattern").where(has_form(F.col("value"), F.col("kind")))
             grown = found.groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("value", "b.kind", F.col("b.confidence").alias("score"))
             scores = materialize(seeds.unionByName(grown), f"pii-scores-{k}")
     return patterns
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    unseen_weight: float = UNSEEN_WEIGHT,
+) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, value), for every row: base spans by kind, then those that context adds.
 
     Base spans are the four fixed patterns with their checks. They and quoted credentials (``SECRET``) are the seeds. Mentions are runs of adjacent numbers, other tokens with a digit
-    or an @, and forms in (English) words. The word before a mention is one pattern and the word after it another, whatever the
-    mention looks like. Base values seed a graph of patterns and values over the whole corpus, which is scored in ``rounds``
+    or an @, and forms in (English) words. Its patterns are the one to three words before it, those after it, and the nearest
+    on both sides joined, whatever the mention looks like. Base values seed a graph of patterns and values over the whole corpus, which is scored in ``rounds``
     rounds; mentions in patterns of ``min_confidence`` and more that no base span touches are added with kind ``ctx_<kind>``,
     unless they are ordinary numbers or have no form of that kind (an e-mail has an @ or says 'at', other kinds have neither).
+    A value of which nothing is known weighs ``unseen_weight`` against its patterns, so many of them outweigh a few seeds.
     Credentials are no base spans: they too are added, as ``ctx_secret`` and without quotes, only where such a pattern holds.
     Patterns are learnt from distinct values, so copies of a document carry no weight.
 
@@ -200,26 +230,25 @@ def find_personal_data(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string,right:string>>)")
+    no_mentions = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:array<string>,right:array<string>>>)")
     read = read.withColumn("mentions", F.when(F.col("text").rlike(_HINT), spans_of(F.col("text"), MENTION, words=True)).otherwise(no_mentions))
 
     def mark(m: Column) -> Column:
         touched = F.get(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), F.lit(0))
-        sides = F.array(F.concat(m["left"], F.lit("|")), F.concat(F.lit("|"), m["right"]))
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.filter(sides, lambda p: p != "|").alias("patterns"),
+            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"),
             F.coalesce(touched["kind"], F.when(m["value"].rlike(SECRET), "secret")).alias("kind"), F.coalesce(touched["value"], m["value"]).alias("instance"), is_ordinary(m["value"]).alias("ordinary"),
         )
 
-    marked = F.transform("mentions", mark)
-    rows = materialize(read.select("doc_id", "base", F.filter(marked, lambda m: F.size(m["patterns"]) > 0).alias("mentions")), "pii-rows")
-    edges = rows.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("value"), "m.kind", "m.ordinary")
-    patterns = _bootstrap(edges, rounds, min_support, min_confidence)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    rows = materialize(rows, "pii-numbered")
-    free = rows.select("_row", F.explode("mentions").alias("m")).where("(m.kind IS NULL OR m.kind = 'secret') AND NOT m.ordinary")
-    free = free.select("_row", F.explode("m.patterns").alias("pattern"), "m.start", "m.end", "m.value")
-    fits = free.join(hint_small(patterns, 120), "pattern").where(has_form(F.col("value"), F.col("kind")))
+    marked = F.filter(F.transform("mentions", mark), lambda m: (F.size(m["left"]) > 0) | (F.size(m["right"]) > 0))
+    # Rows are numbered as they are written, for ids may repeat.
+    rows = materialize(read.select("doc_id", "base", marked.alias("mentions"), F.monotonically_increasing_id().alias("_row")), "pii-rows")
+    mentions = rows.select("_row", F.explode("mentions").alias("m")).withColumn("patterns", patterns_of(F.col("m.left"), F.col("m.right")))
+    edges = mentions.select(F.explode("patterns").alias("pattern"), F.col("m.instance").alias("value"), "m.kind", "m.ordinary")
+    patterns = _bootstrap(edges, rounds, min_support, min_confidence, unseen_weight)
+    free = mentions.where("(m.kind IS NULL OR m.kind = 'secret') AND NOT m.ordinary")
+    free = free.select("_row", F.explode("patterns").alias("pattern"), "m.start", "m.end", "m.value")
+    fits = free.join(hint_small(patterns, 64, "pattern"), "pattern").where(has_form(F.col("value"), F.col("kind")))
     once = fits.groupBy("_row", "start", "end", "value").agg(F.max(F.struct("confidence", "kind")).alias("b")).withColumn("kind", F.col("b.kind"))
     # A credential's span is what stands inside its quotes.
     bare = F.when(F.col("kind") == "secret", F.regexp_extract("value", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}=])?", 0)).otherwise(F.col("value"))

@@ -83,9 +83,27 @@ def private(text):
     return found
 
 
-def contextual(rows, rounds=3, support=5, confidence=0.8):
+def contexts(before, after):
+    """Patterns of a mention from the text before and after it, word by word outwards."""
+    word, left, right, at = r"\p{L}[\p{L}\p{M}'_-]{0,30}+", [], [], 0
+    while len(left) < 3:  # the leftmost start from which one more word can be said, then fewer other characters than nine
+        need = "".join(rf"[^\p{{L}}]{{1,8}}+{word}" for _ in left)
+        m = regex.search(rf"({word}){need}[^\p{{L}}]{{0,8}}+\Z", before)
+        if not m:
+            break
+        left.insert(0, m[1].lower())
+    while len(right) < 3:
+        m = regex.compile(rf"[^\p{{L}}]{{{1 if right else 0},8}}+({word})").match(after, at)
+        if not m:
+            break
+        right.append(m[1].lower())
+        at = m.end()
+    found = {("left", *left[-k:]) for k in range(1, len(left) + 1)} | {("right", *right[:k]) for k in range(1, len(right) + 1)}
+    return found | ({("both", left[-1], right[0])} if left and right else set())
+
+
+def contextual(rows, rounds=3, support=5, confidence=0.8, unseen=0.1):
     """{id: spans that context adds, as (kind, start, end)} of (id, text) rows, from dictionaries of all patterns and instances."""
-    word = r"\p{L}[\p{L}\p{M}'_-]{0,30}"
     found, seeds, where, plain_numbers = [], {}, {}, set()
     for i, text in rows:
         text, base = text or "", private(text)
@@ -93,9 +111,7 @@ def contextual(rows, rounds=3, support=5, confidence=0.8):
         ends = [0, *(m.end() for m in hits)]
         starts = [*(m.start() for m in hits), len(text)]
         for k, m in enumerate(hits):
-            left = regex.search(rf"({word})[^\p{{L}}]{{0,8}}\Z", text[ends[k] : starts[k]])
-            right = regex.match(rf"[^\p{{L}}]{{0,8}}({word})", text[ends[k + 1] : starts[k + 1]])
-            patterns = {(side, w[1].lower()) for side, w in (("left", left), ("right", right)) if w}
+            patterns = contexts(text[ends[k] : starts[k]], text[ends[k + 1] : starts[k + 1]])
             own = next(((kind, text[a:b]) for kind, a, b in base if a < m.end() and m.start() < b), None)
             secret = bool(regex.match(pii.SECRET, m[0]))
             if own or secret:
@@ -123,7 +139,7 @@ def contextual(rows, rounds=3, support=5, confidence=0.8):
             kinds = [(k, s) for v in values for k, s in scores.get(v, {}).items()]
             for kind in {k for k, _ in kinds}:
                 mine = [s for k, s in kinds if k == kind]
-                c = sum(mine) / (len(kinds) + negative)
+                c = sum(mine) / (len(kinds) + negative + unseen * max(len(values) - len(kinds) - negative, 0))
                 if len(mine) >= support and c >= confidence:
                     best[p] = max(best.get(p, (0, "")), (c, kind))
         scores = dict(seeds)

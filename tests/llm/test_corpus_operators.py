@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import plain
@@ -252,6 +253,50 @@ def test_context_equals_brute_force(spark, odd, support, confidence):
     assert got == plain.contextual(rows, support=support, confidence=confidence) and got
 
 
+def test_a_few_seeds_do_not_claim_a_common_context(spark):
+    """Order numbers stand where some phones do; the words further off tell them apart."""
+    seeds = [f"Her phone number +49 30 5551{i:03} is new" for i in range(5)]
+    orders = [f"The order number {83728371 + 7 * i} was sent" for i in range(200)]
+    texts = [*seeds, *orders, "His phone number 0171 2345678 rang"]
+    found = {r.doc_id: [(s.kind, s.value) for s in r.extra] for r in pii.find_personal_data(frame(spark, texts)).collect() if r.extra}
+    assert found == {205: [("ctx_phone", "0171 2345678")]}
+
+
+def test_unseen_identifiers_in_a_planted_corpus(spark):
+    """Shapes that no expression for identifiers has, among other numbers in like contexts: precision and recall by kind."""
+    cards = [n for n in range(1000, 9999) if plain.luhn(f"411111111111{n}")]
+    planted = {
+        "phone": (["call me under", "my mobile is", "phone number"], lambda i: f"+49 30 55{i:05}", lambda i: (f"0171 23{i:05}", f"(030) 9{i:06}", f"ext-77{i:05}")[i % 3]),
+        "ip": (["logged in from", "client address", "banned host"], lambda i: f"10.0.{i // 200}.{i % 200}", lambda i: (f"fe80::{i + 4096:x}:1", f"2001:db8::{i + 256:x}", f"host-44{i:05}")[i % 3]),
+        "card": (["charged to card", "visa ending", "paid with"], lambda i: f"4111 1111 1111 {cards[i]}", lambda i: (f"4111.1111.1111.{i:04}", f"4111/1111/1111/{i:04}")[i % 2]),
+        "email": (["write to", "contact via"], lambda i: f"p{i}@x.org", lambda i: (f"user{i}@intranet", f"p{i} at example dot com")[i % 2]),
+    }
+    rng, texts, want = random.Random(5), [], set()
+    fill = lambda: " ".join(rng.choice(["red", "stone", "river", "walks", "under", "old", "light"]) for _ in range(rng.randint(2, 6)))
+    for kind, (contexts, seed, other) in planted.items():
+        for i in range(150):
+            unseen = i % 5 == 0
+            value = (other if unseen else seed)(i)
+            if unseen:
+                want.add((len(texts), f"ctx_{kind}", value))
+            texts.append(f"{fill()} {contexts[i % len(contexts)]} {value} {fill()}")
+    texts += [f"{fill()} {c} {9_000_000 + 13 * i} {fill()}" for i in range(150) for c in ("order number", "invoice number", "counted", "batch")]
+    found = {(r.doc_id, s.kind, s.value) for r in pii.find_personal_data(frame(spark, texts)).collect() for s in r.extra}
+    assert len(found & want) >= 0.95 * len(found) and len(found & want) >= 0.95 * len(want)
+    assert {k for _, k, _ in found & want} == {f"ctx_{k}" for k in planted}
+
+
+def test_contexts_of_mentions(spark):
+    texts = ["one two three four 123456 five, six -- seven eight", "a" * 40 + " b 777777 " + "c" * 40, "x ......... 888888", "999999", "é'e-_ 'f (1234567) ... Ü"]
+    spans = frame(spark, texts).select("doc_id", pii.spans_of(F.col("text"), pii.MENTION, words=True).alias("s"))
+    got = {r.doc_id: set(r.p) for r in spans.select("doc_id", pii.patterns_of(F.col("s")[0]["left"], F.col("s")[0]["right"]).alias("p")).collect()}
+    shape = {"left": lambda w: " ".join(w) + "|", "right": lambda w: "|" + " ".join(w), "both": "|".join}
+    for i, t in enumerate(texts):
+        m = regex.search(pii.MENTION, t)
+        assert got[i] == {shape[side](w) for side, *w in plain.contexts(t[: m.start()], t[m.end() :])}
+    assert got[0] == {"four|", "three four|", "two three four|", "|five", "|five six", "|five six seven", "four|five"} and got[3] == set() == got[2]
+
+
 def test_copies_do_not_make_a_pattern(spark):
     texts = ["call number +1 (523) 555-1055 now"] * 30 + ["call number 77-88 now"]
     assert not any(r.extra for r in pii.find_personal_data(frame(spark, texts)).collect())
