@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, hint_small, lower_ascii, materialize
+from .common import UPPER, hint_small, lower_ascii, materialize, unused
 
 PREFIX_CHARS = 256
 KEY = ["_len", "_prefix", "_full"]
@@ -63,11 +63,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns unchanged; the rules are those of ``exact_duplicates``.
 
-    Texts are not shuffled: the winners of groups of two or more go to the rows (broadcast if counted small). Only rows that
-    tie with their winner on the id are brought together to leave one.
+    The winners of groups of two or more go to the rows: broadcast if counted small, so that no text is shuffled; beyond that (about
+    a million recurring prefixes, or 280,000 groups) the join shuffles the rows. Rows that tie with their winner on the id are
+    brought together to leave one. Columns may have any names, those that begin with an underscore too.
     """
-    clash = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    # Columns that begin with an underscore, id and text too, go by other names meanwhile, as the work's own names begin so.
+    clash = {c: unused(docs.columns, f"own{i}") for i, c in enumerate(docs.columns) if c.startswith("_")}
     renamed = docs.withColumnsRenamed(clash) if clash else docs
+    id_col, text_col = clash.get(id_col, id_col), clash.get(text_col, text_col)
     refined = _refined(renamed, text_col, prefix_chars)
     per_id = refined.where(F.col("_full").isNotNull()).groupBy(*KEY, F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"))
     best = F.max(F.struct(F.col("_id").isNotNull().alias("has"), F.col("_id"), F.col("_rows")))

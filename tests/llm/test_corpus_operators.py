@@ -53,6 +53,13 @@ def test_drop_exact_duplicates(odd, empty):
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
+def test_drop_exact_duplicates_of_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "Ab", 5, "p"), (2, "aB", 6, "q"), (3, "c", 7, "r"), (None, None, 8, "s")], "_id long, _text string, _len int, _own1 string")
+    kept = exact_dedup.drop_exact_duplicates(rows, "_id", "_text")
+    assert kept.columns == rows.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "aB", 6, "q"), (3, "c", 7, "r"), (None, None, 8, "s")], key=str)
+
+
 def test_long_texts_with_equal_prefixes_are_told_apart(spark):
     head = "h" * 1000
     found = exact_dedup.exact_duplicates(frame(spark, [head + "a", head + "b", head + "A", head]))
