@@ -437,12 +437,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     named = materialize(joined.join(smallest, "component").select("a", "b", "n", "component_id", links.alias("n_links")), "ngram-named")
-    out = rows.join(named, ["a", "b", "n"], "left")
-    some = F.col("n") > 0
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("a")).alias("node"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(some, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    # Rows without shingles, all of one key, have no part in the join.
+    linked = rows.where("n > 0").join(named, ["a", "b", "n"])
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("node"), "component_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
