@@ -697,15 +697,25 @@ def csv_unknown_header(spark, d):
     return rows.select((~old).alias("made"), per_id.alias("rows_of_id"), F.when(old, F.col("transaction_id")).alias("old_id"), "user_id", "final_amount", "unit_price", "store_id", "store_name", "city")
 
 
+#: Splits of a few thousand bytes are read by so many tasks, else each would be a task and report to the driver.
+SPLIT_TASKS = 256
+
+
 @contextmanager
 def _split_at(spark, size: int):
-    """Files are split at ``size`` bytes in here."""
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    """Files are split at ``size`` bytes in here; a task reads several splits where there are more than ``SPLIT_TASKS``."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.maxPartitionNum": str(SPLIT_TASKS)}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for n, value in before.items():
+            if value is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, value)
 
 
 def _kept(df: DataFrame, tag: str) -> DataFrame:

@@ -124,11 +124,12 @@ def read_records(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataF
     return is no part of a record.
     """
     numbered, splits = _numbered(spark, folder, glob)
+    n_splits, spans, plain = splits.agg(F.count("*"), F.bool_or("_spans"), F.bool_or(~F.col("_spans"))).first()
     found = numbered.where(~F.col("_spans")).select("value", "file_path", "line")
-    if splits.where("_spans").head(1):
+    if spans:
         # In a shuffled join, which only a great many splits need, the order of lines is lost.
         lines = numbered.where("_spans").select("value", "file_path", "line", "_block", "_inside")
-        if splits.count() * 64 > SPLIT_BYTES:
+        if n_splits * 64 > SPLIT_BYTES:
             lines = lines.repartition("file_path", "_block").sortWithinPartitions("file_path", "_block", "line")
         path = scratch_path(spark, "records")
         ship_package(spark)
@@ -139,6 +140,7 @@ def read_records(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataF
         pieces = F.sort_array(F.collect_list(F.struct("block", "line", "value")))
         mended = torn.withColumn("_record", begun).groupBy("file_path", "_record").agg(pieces.alias("p"), F.min("line").alias("line"))
         mended = mended.select(F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"), "file_path", "line")
-        found = found.unionByName(parts.where(F.col("kind") == WHOLE).select("value", "file_path", "line")).unionByName(mended)
+        joined = parts.where(F.col("kind") == WHOLE).select("value", "file_path", "line").unionByName(mended)
+        found = found.unionByName(joined) if plain else joined  # files of no record across lines are read again only where there are any
     ends = F.endswith("value", F.lit("\r"))
     return found.withColumn("value", F.when(ends, F.expr("left(value, char_length(value) - 1)")).otherwise(F.col("value")))

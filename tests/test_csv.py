@@ -258,3 +258,19 @@ def test_result_lines_keep_odd_clients_and_fields(spark, tmp_path):
     df = spark.createDataFrame(rows, "client_id string, f string, g string")
     write_result_files(result_lines(df, 2).unionByName(result_lines(df, 3)), f"file://{tmp_path}/r")
     assert sorted((tuple(r) for r in read_result_files(spark, f"file://{tmp_path}/r", 2, ["f", "g"]).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_many_small_splits_are_few_tasks(spark, tmp_path):
+    """Splits stay small, so quotes run across them, but not each is a task that reports to the driver."""
+    from ledgerloom.plans.queries import SPLIT_TASKS, _split_at
+    from ledgerloom.sources.records import _scan, read_records
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.maxPartitionNum", None)
+    (tmp_path / "x.csv").write_text("".join(f'{i},"a\n""{i}"""\n' for i in range(2000)))
+    with _split_at(spark, 10):
+        scan = _scan(spark, f"file://{tmp_path}", "*.csv")
+        assert scan.select("_block").distinct().count() > 4 * SPLIT_TASKS and scan.rdd.getNumPartitions() < 2 * SPLIT_TASKS
+        found = read_records(spark, f"file://{tmp_path}")
+        assert sorted((r.line, r.value) for r in found.collect()) == [(2 * i + 1, f'{i},"a\n""{i}"""') for i in range(2000)]
+        assert not any(f.endswith(".csv") for f in found.inputFiles())  # no file is without such records, so none is read as lines again
+    assert (spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.maxPartitionNum", None)) == before
