@@ -51,8 +51,17 @@ def read_raw(spark: SparkSession, folder: str, schema: T.StructType, glob: str =
     ``line`` is the number of a record's first line in its file, the same in every read, however files are split. Quoted fields
     may hold commas, doubled quotes and line breaks (see ``read_records``).
     """
-    rows = read_records(spark, folder, glob).select(parsed(F.col("value"), schema.names).alias("_row"), "file_path", "line")
-    return rows.select("_row.*", "file_path", "line")
+    # Generated rows, for conditions on a plain column are moved below it, with a parse of the record in place of each field they name.
+    return read_records(spark, folder, glob).select(F.inline(F.array(parsed(F.col("value"), schema.names))), "file_path", "line")
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """file_path, its rows (n) and in how many lines they begin (places).
+
+    Lines are bits, 64 of them a group, so a task holds a sixty-fourth of what a set of its rows' places would take.
+    """
+    blocks = rows.groupBy("file_path", F.shiftright("line", 6).alias("block")).agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, CAST(line % 64 AS INT)))").alias("seen"))
+    return blocks.groupBy("file_path").agg(F.sum("n").alias("n"), F.sum(F.bit_count("seen")).alias("places"))
 
 
 def is_header(schema: T.StructType) -> Column:
@@ -62,7 +71,7 @@ def is_header(schema: T.StructType) -> Column:
 
 def split_good_bad(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine). Headers and blank lines go. Rows with too few fields are set aside; longer ones are kept."""
-    blank = F.forall(F.array(*(F.coalesce(F.trim(F.col(c)), F.lit("")) for c in schema.names)), lambda v: v == "")
+    blank = reduce(lambda x, y: x & y, (F.coalesce(F.trim(F.col(c)), F.lit("")) == "" for c in schema.names))
     bare = F.regexp_replace(F.col(BAD), r'"[^"]*+(?:"|\z)', "")  # commas inside quotes separate nothing; a doubled quote ends one run and begins the next
     short = F.col(BAD).isNotNull() & (F.size(F.split(bare, ",")) < len(schema.names))
     rows = raw.where(~F.coalesce(is_header(schema), F.lit(False)) & ~(blank & F.col(BAD).isNull()))

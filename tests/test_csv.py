@@ -274,3 +274,9 @@ def test_many_small_splits_are_few_tasks(spark, tmp_path):
         assert sorted((r.line, r.value) for r in found.collect()) == [(2 * i + 1, f'{i},"a\n""{i}"""') for i in range(2000)]
         assert not any(f.endswith(".csv") for f in found.inputFiles())  # no file is without such records, so none is read as lines again
     assert (spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.maxPartitionNum", None)) == before
+
+
+def test_a_record_is_parsed_once(spark, folder):
+    """Conditions on the fields must not bring a parse of their own each."""
+    rows = T.read_table(spark, f"{folder}/transactions", "TR").select("transaction_id", "final_amount")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
