@@ -993,11 +993,14 @@ def stream_client_answers(spark, d):
 @query(TOP_USERS)
 def stream_top_users(spark, d):
     """Rankings from counts that grow as batches arrive: three users a store are held, whatever has come."""
-    counts = agg_user_store(spark, d)
+    counts = _kept(agg_user_store(spark, d), "counts")
     src, out, checkpoint = (scratch_path(spark, n) for n in ("top-src", "top-out", "top-checkpoint"))
+    seen = 0
     for part in (counts.withColumn("count", F.lit(1).cast("bigint")), counts):
-        part.coalesce(2).write.mode("append").parquet(src)
-        stream = S.file_stream(spark, src, counts.schema, files_per_trigger=1)
+        part.write.mode("append").parquet(src)
+        there = len(spark.read.schema(counts.schema).parquet(src).inputFiles())
+        stream = S.file_stream(spark, src, counts.schema, files_per_trigger=-(-(there - seen) // 2))  # two batches a delivery
+        seen = there
         S.upsert_run(streaming_top_users(stream), ["store_id", "rank"], out, checkpoint)
     return S.read_upserted(spark, out, ["store_id", "rank"]).select("user_id", F.col("store_id").cast("bigint").alias("store_id"), "purchase_count", "rank")
 

@@ -140,30 +140,59 @@ def client_aggregates(stream: DataFrame, keys: Sequence[str], value: str, bucket
     return told.groupBy("client_id", "share").transformWithStateInPandas(ClientAggregates(keys, first, ms), out, "Append", "ProcessingTime" if ms else "None")
 
 
+TOP = ["store_id", "user_id", "count"]
+#: Stores are dealt to so many keys of state, for each key costs a call of Python and of the state's server in every batch.
+SHARES = 256
+#: Rows that a task holds before it ranks them.
+HELD_ROWS = 1 << 19
+
+
 class TopUsers(StatefulProcessor):
-    """The ``k`` users of a store with the most purchases so far, and nothing else of it."""
+    """The ``k`` users with the most purchases so far in each store of a share, and nothing else of it."""
 
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, store: str):
+        self.k, self.store = k, store
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getListState("best", "user_id bigint, count bigint")
+        self.best = handle.getListState("best", f"store_id {self.store}, user_id bigint, count bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = [(r[0], r[1]) for r in self.best.get()] if self.best.exists() else []
-        seen = pd.concat([pd.DataFrame(old, columns=["user_id", "count"]), *(b[["user_id", "count"]] for b in rows)], ignore_index=True).astype("int64")
-        best = _best(seen.groupby("user_id", as_index=False)["count"].max(), self.k)
-        new = list(best.itertuples(index=False, name=None))
-        if new != old:
-            self.best.put(new)
-            yield pd.DataFrame({"store_id": key[0], "user_id": best["user_id"], "purchase_count": best["count"], "rank": range(1, len(best) + 1)})
+        held = list(self.best.get()) if self.best.exists() else []
+        old = pd.DataFrame([tuple(r) for r in held], columns=TOP) if held else None
+        # Ranking again before all is there keeps no more than a few rows a store.
+        new = _ranked(_folded((b[TOP] for b in rows), self.k, old))
+        if old is not None:
+            now = new.merge(_ranked(old), how="left", on=[*TOP, "rank"], indicator=True)
+            changed = new["store_id"].isin(now.loc[now["_merge"] == "left_only", "store_id"])
+        else:
+            changed = pd.Series(True, index=new.index)
+        if changed.any():
+            self.best.put(list(new[TOP].itertuples(index=False, name=None)))
+            yield new[changed].rename(columns={"count": "purchase_count"})[["store_id", "user_id", "purchase_count", "rank"]]
 
     def close(self) -> None:
         pass
 
 
 def _best(counts: pd.DataFrame, k: int) -> pd.DataFrame:
-    return counts.sort_values(["count", "user_id"], ascending=[False, True]).head(k)
+    """In each store the ``k`` users with the largest counts, each once, in order."""
+    ordered = counts.sort_values(["store_id", "count", "user_id"], ascending=[True, False, True])
+    return ordered.drop_duplicates(["store_id", "user_id"]).groupby("store_id", sort=False).head(k)
+
+
+def _ranked(best: pd.DataFrame) -> pd.DataFrame:
+    return best.assign(rank=(best.groupby("store_id", sort=False).cumcount() + 1).astype("int32"))
+
+
+def _folded(batches: Iterator[pd.DataFrame], k: int, first: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The best of all batches, which are ranked whenever ``HELD_ROWS`` have come."""
+    held, n = ([] if first is None else [first]), 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= HELD_ROWS:
+            held, n = [_best(pd.concat(held, ignore_index=True), k)], 0
+    return _best(pd.concat(held, ignore_index=True), k)
 
 
 def streaming_top_users(counts: DataFrame, k: int = 3) -> DataFrame:
@@ -171,15 +200,28 @@ def streaming_top_users(counts: DataFrame, k: int = 3) -> DataFrame:
     whose ranking changed, in update mode.
 
     A user may come again with another count; the largest counts, so counts that grow are right, and none that is lowered. State
-    is ``k`` rows a store, whatever has arrived. Each task sends ``k`` users of a store and batch of rows at most.
+    is ``k`` rows a store, whatever has arrived, and stores share ``SHARES`` keys of it. A task sends ``k`` users of a store at most for
+    each ``HELD_ROWS`` rows that it has read.
     """
     stateful(counts.sparkSession)
+    store = counts.schema["store_id"].dataType.simpleString()
 
     def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in batches:
-            most = batch.groupby(["store_id", "user_id"], as_index=False)["count"].max()
-            yield most.sort_values(["count", "user_id"], ascending=[False, True]).groupby("store_id").head(k)[["store_id", "user_id", "count"]]
+            held.append(batch)
+            n += len(batch)
+            if n >= HELD_ROWS:
+                best = _best(pd.concat(held, ignore_index=True), k)
+                if len(best) > HELD_ROWS // 2:  # too many stores for a task to wait for more of each
+                    yield best
+                    best = best.head(0)
+                held, n = [best], len(best)
+        if n:
+            yield _best(pd.concat(held, ignore_index=True), k)
 
     rows = counts.where("store_id IS NOT NULL AND user_id IS NOT NULL AND count IS NOT NULL")
-    rows = rows.select(F.col("store_id").cast("string"), F.col("user_id").cast("bigint"), F.col("count").cast("bigint")).mapInPandas(ahead, "store_id string, user_id bigint, count bigint")
-    return rows.groupBy("store_id").transformWithStateInPandas(TopUsers(k), "store_id string, user_id bigint, purchase_count bigint, rank int", "Update", "None")
+    rows = rows.select("store_id", F.col("user_id").cast("bigint"), F.col("count").cast("bigint")).mapInPandas(ahead, f"store_id {store}, user_id bigint, count bigint")
+    dealt = rows.withColumn("share", hash_bucket(SHARES, F.col("store_id"))).groupBy("share")
+    best = dealt.transformWithStateInPandas(TopUsers(k, store), f"store_id {store}, user_id bigint, purchase_count bigint, rank int", "Update", "None")
+    return best.withColumn("store_id", F.col("store_id").cast("string"))

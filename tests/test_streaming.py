@@ -151,3 +151,23 @@ def test_stream_counters_are_those_of_the_batch(spark, tmp_path):
             S.append_run(stream, out, ck)
     found = {r.counter: r.v for r in counters.read().groupBy("counter").agg(F.sum("value").alias("v")).collect()}
     assert found == {"rows": events.count(), "large": events.where("value >= 75").count()} and counters.read().select("batch").distinct().count() >= 4
+
+
+def test_many_stores_are_few_keys_of_state(spark, tmp_path):
+    from ledgerloom.operators.ranking import top_users
+    from ledgerloom.streaming import clients
+
+    src, ck, got = f"file://{tmp_path}/src", f"file://{tmp_path}/ck", []
+    full = spark.range(9000).selectExpr("id % 1500 AS store_id", "id * 7919 % 97 AS user_id", "id * 31 % 50 + 1 AS count")
+    for i in range(2):
+        full.where(f"count % 2 = {i}").coalesce(1).write.mode("append").parquet(src)
+    stream = clients.streaming_top_users(S.file_stream(spark, src, full.schema, files_per_trigger=1))
+
+    def store(batch, number):
+        got.append({(r.store_id, r["rank"]): (r.user_id, r.purchase_count) for r in batch.collect()})
+
+    run = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    run.awaitTermination()
+    best = top_users(full.groupBy("store_id", "user_id").agg(F.max("count").alias("count")))
+    assert {k: v for g in got for k, v in g.items()} == {(str(r.store_id), r["rank"]): (r.user_id, r.purchase_count) for r in best.collect()}
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * clients.SHARES
