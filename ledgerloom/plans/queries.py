@@ -660,7 +660,7 @@ def csv_lineage(spark, d):
     for name, kind in (("transaction_items", "TI"), ("menu_items", "MN"), ("users", "US")):
         part = T.read_table(spark, f"{folder}/{name}", kind).select("file_path", "line")
         rows = part if rows is None else rows.unionByName(part)
-    per = rows.groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("line").alias("places")).join(files, "file_path")
+    per = T.places(rows).join(files, "file_path")
     ids = F.count_distinct("file_id") == F.count("*")
     return per.groupBy("kind").agg(F.sum("n").alias("n_rows"), F.sum("places").alias("n_places"), (ids & F.every(F.startswith("file_id", "kind"))).alias("in_one_file"))
 

@@ -280,3 +280,11 @@ def test_a_record_is_parsed_once(spark, folder):
     """Conditions on the fields must not bring a parse of their own each."""
     rows = T.read_table(spark, f"{folder}/transactions", "TR").select("transaction_id", "final_amount")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+
+
+def test_places_are_counted_by_blocks_of_lines(spark):
+    """Lines that come twice count once, also the last bit of a block; what is shuffled is a row for 64 lines."""
+    lines = spark.range(1, 6401).selectExpr("'f' AS file_path", "id AS line")
+    rows = lines.unionByName(lines.where("line IN (63, 64, 127)")).unionByName(lines.where("line < 3").withColumn("file_path", F.lit("g"))).coalesce(1)
+    assert sorted(map(tuple, T.places(rows).collect())) == [("f", 6403, 6400), ("g", 2, 2)]
+    assert "distinct" not in T.places(rows)._jdf.queryExecution().optimizedPlan().toString()
